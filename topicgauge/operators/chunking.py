@@ -25,7 +25,7 @@ _MD_HEADING = rf"#{{2,3}}[{X.WS_NO_LF}][^\n]"
 
 def detect_format(text: Column) -> Column:
     """``markdown`` before ``html`` before ``flat``. Looser than the section parsers by design."""
-    markdown = F.regexp_like(text, F.lit(rf"(?dm)^#{{2,3}}[{X.WS}]+[^\n]"))
+    markdown = F.regexp_like(text, F.lit(rf"(?dmU)^#{{2,3}}{X.SPACE}+[^\n]"))
     html = F.regexp_like(text, F.lit(r"(?is)<h[23][^>]*>.*?</h[23]>"))
     return F.when(markdown, "markdown").when(html, "html").otherwise("flat")
 

@@ -66,18 +66,18 @@ def chunks_by_section(scored: DataFrame) -> DataFrame:
     )
 
 
-def child_lists(chunks: DataFrame) -> DataFrame:
-    """Children of each parent chunk, per document; independent of the queries."""
+def child_lists(scored: DataFrame) -> DataFrame:
+    """Children of each parent chunk. A list is shorter than the document its chunks were cut from."""
     return (
-        chunks.filter(F.col("parent_index").isNotNull())
-        .groupBy("doc_id", F.col("parent_index").alias("chunk_index"))
+        scored.filter(F.col("parent_index").isNotNull())
+        .groupBy(*REPORT, F.col("parent_index").alias("chunk_index"))
         .agg(F.array_sort(F.collect_list("chunk_index")).alias("children"))
     )
 
 
-def hierarchy_heatmap(diagnostics: DataFrame, children: DataFrame) -> DataFrame:
-    """Heatmap rows with their place in the hierarchy."""
-    rows = diagnostics.join(children, ["doc_id", "chunk_index"], "left")
+def hierarchy_heatmap(diagnostics: DataFrame) -> DataFrame:
+    """Heatmap rows with their place in the hierarchy. Reads ``diagnostics`` twice; store it first."""
+    rows = diagnostics.join(child_lists(diagnostics), [*REPORT, "chunk_index"], "left")
     return rows.select(
         *REPORT,
         F.col("chunk_index").alias("index"),

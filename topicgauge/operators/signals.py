@@ -6,6 +6,9 @@ lines is built. Everything here is one narrow pass per document; queries join on
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,6 +19,8 @@ from topicgauge.functions import text as X
 _ANY_CASE = "(?Uiu)"
 _LINES = "(?dmUiu)"
 _I = X.INLINE_WS
+#: Letters that equal s, i or k when case is ignored but do not become them in lower case.
+_CASE_VARIANTS = ("\u017f", "\u0130", "\u0131", "\u212a")
 
 
 def _found(c: Column, pattern: str) -> Column:
@@ -26,6 +31,19 @@ def _count(c: Column, pattern: str) -> Column:
     return F.regexp_count(c, F.lit(pattern))
 
 
+def _contains(c: Column, *needles: str) -> Column:
+    return reduce(or_, [c.contains(n) for n in needles])
+
+
+def _found_if(needles: Column, c: Column, pattern: str) -> Column:
+    """A pattern that can only match where ``needles`` holds: a byte search spares most texts the regex."""
+    return F.when(needles, _found(c, pattern)).otherwise(False)
+
+
+def _count_if(needles: Column, c: Column, pattern: str) -> Column:
+    return F.when(needles, _count(c, pattern)).otherwise(0)
+
+
 def query_terms(query: Column) -> Column:
     """Up to eight distinct longer words of a query, in their order."""
     words = F.split(F.lower(query), "[^a-zA-Z0-9]+", -1)
@@ -66,38 +84,60 @@ def non_code_lines(documents: DataFrame) -> DataFrame:
 
 def document_signals(documents: DataFrame) -> DataFrame:
     """Signals that need no query, plus the lower-cased openings the query rules look into."""
-    text, body = F.col("text"), F.col("_body")
+    text, body, low, odd = F.col("text"), F.col("_body"), F.col("_low"), F.col("_odd")
+    unified = X.unify_line_ends(text)
     heading = rf"(?:[{_I}]{{0,3}}#+[{_I}]*|[{_I}]*)"
-    top = X.first_words(text, S.DEFINITION_WORDS)
-    numbered = _count(body, r"(?dmU)^[^\n\d]*\d")
+    marks, pipes = body.contains("##"), body.contains("|")
+    tags2, tags3 = _contains(low, "<h2"), _contains(low, "<h3")
     return (
-        documents.withColumn("_body", X.without_code_blocks(X.unify_line_ends(text)))
-        .withColumn("_top", top)
+        documents.withColumn(
+            "_body", F.when(text.contains("```"), X.without_code_blocks(unified)).otherwise(unified)
+        )
+        .withColumns(
+            {
+                "_top": X.first_words(text, S.DEFINITION_WORDS),
+                "_low": F.lower(text),
+                "_odd": _contains(text, *_CASE_VARIANTS),
+            }
+        )
         .withColumns(
             {
                 "word_count": X.word_count(text),
-                "h2_count": _count(body, rf"(?dm)^[{_I}]*##[{_I}]+[^{X.WS}]") + _count(text, _ANY_CASE + r"<h2\b"),
-                "h3_count": _count(body, rf"(?dm)^[{_I}]*###[{_I}]+[^{X.WS}]") + _count(text, _ANY_CASE + r"<h3\b"),
+                "h2_count": _count_if(marks, body, rf"(?dmU)^[{_I}]*##[{_I}]+{X.NOT_SPACE}")
+                + _count_if(tags2, text, _ANY_CASE + r"<h2\b"),
+                "h3_count": _count_if(marks, body, rf"(?dmU)^[{_I}]*###[{_I}]+{X.NOT_SPACE}")
+                + _count_if(tags3, text, _ANY_CASE + r"<h3\b"),
                 "link_count": F.greatest(
-                    _count(body, r"\[[^\]\n]+\]\(https?://[^)\n]+\)"), _count(text, rf"https?://[^{X.WS})]+")
+                    _count_if(body.contains("](http"), body, r"\[[^\]\n]+\]\(https?://[^)\n]+\)"),
+                    _count_if(text.contains("://"), text, r"(?U)https?://[^\s\x1c-\x1f)]+"),
+                ),
+                "table_like_lines": _count_if(pipes, body, rf"(?dm)^[{_I}]*\|[^\n]*\|[{_I}]*$"),
+                "has_faq": _found_if(
+                    odd | _contains(low, "faq", "frequently asked questions"), body, _ANY_CASE + S.FAQ_PATTERN
                 ),
-                "table_like_lines": _count(body, rf"(?dm)^[{_I}]*\|[^\n]*\|[{_I}]*$"),
-                "has_faq": _found(body, _ANY_CASE + S.FAQ_PATTERN),
                 "has_tldr": _found(F.substring(text, 1, S.TLDR_CHARS), _ANY_CASE + S.TLDR_PATTERN),
-                "has_sources_section": _found(body, rf"{_LINES}^{heading}(?:{S.SOURCES_HEADINGS})[{_I}]*$"),
+                "has_sources_section": _found_if(
+                    odd | _contains(low, *S.SOURCES_HEADINGS.split("|")),
+                    body, rf"{_LINES}^{heading}(?:{S.SOURCES_HEADINGS})[{_I}]*$",
+                ),
                 "has_steps": _found(body, rf"{_LINES}^[{_I}]*(?:step[{_I}]+\d+|[0-9]+\.)[{_I}]"),
-                "has_examples": _found(body, _ANY_CASE + S.EXAMPLE_PATTERN),
-                "has_comparison_language": _found(body, _ANY_CASE + S.COMPARISON_PATTERN),
+                "has_examples": _found_if(
+                    odd | _contains(low, "for example", "e.g.", "example:"), body, _ANY_CASE + S.EXAMPLE_PATTERN
+                ),
+                "has_comparison_language": _found_if(
+                    odd | _contains(low, "vs", "versus", "compar", "alternative"),
+                    body, _ANY_CASE + S.COMPARISON_PATTERN,
+                ),
                 "has_freshness_signals": _found(
                     F.substring(text, 1, S.FRESHNESS_CHARS), _ANY_CASE + S.FRESHNESS_PATTERN
                 ),
-                "numeric_density": numbered / F.greatest(X.line_count(body), F.lit(1)),
+                "numeric_density": _count(body, r"(?d)\p{Nd}[^\n]*") / F.greatest(X.line_count(body), F.lit(1)),
                 "defines_near_top": _found(F.col("_top"), _ANY_CASE + S.DEFINITION_PATTERN),
                 "top_text": F.lower("_top"),
                 "intro_text": F.lower(F.array_join(F.slice(F.split("_top", " ", -1), 1, S.INTRO_WORDS), " ")),
             }
         )
-        .drop("_body", "_top", "text")
+        .drop("_body", "_top", "_low", "_odd", "text")
     )
 
 

@@ -39,10 +39,20 @@ def _similarity(dim: int | None) -> Column:
 _QUERY_COLUMNS = ("query_id", "query_vector", "query_norm", "bands")
 
 
-def score(chunks: DataFrame, queries: DataFrame, on: str = "scope", dim: int | None = None) -> DataFrame:
-    """Every chunk against every query of its scope."""
+def score(
+    chunks: DataFrame, queries: DataFrame, on: str = "scope", dim: int | None = None, salts: int = 1
+) -> DataFrame:
+    """Every chunk against every query of its scope.
+
+    Where the queries are too many to be broadcast and a scope holds much of the chunks, ``salts``
+    spreads that scope over as many join keys; the queries are repeated once per salt.
+    """
     asked = queries.select(on, *_QUERY_COLUMNS)
-    return _scored(chunks.join(asked, on), dim)
+    if salts == 1:
+        return _scored(chunks.join(asked, on), dim)
+    repeated = asked.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    salted = chunks.withColumn("_salt", F.pmod(F.hash("doc_id", "chunk_index"), F.lit(salts)))
+    return _scored(salted.join(repeated, [on, "_salt"]).drop("_salt"), dim)
 
 
 def score_pairs(chunks: DataFrame, queries: DataFrame, pairs: DataFrame, dim: int | None = None) -> DataFrame:

@@ -14,6 +14,7 @@ from topicgauge.operators.embedding import Embedder
 from topicgauge.operators.ranking import REPORT
 from topicgauge.plans.compare import score_documents
 from topicgauge.settings import STANDARD_BANDS
+from topicgauge.sources.storage import materialize
 
 
 @dataclass(frozen=True)
@@ -92,17 +93,15 @@ def analyze(
     queries: DataFrame,
     embedder: Embedder,
     strategy: str | Column = "flat",
-    keep: Callable[[DataFrame], DataFrame] | None = None,
+    keep: Callable[[DataFrame], DataFrame] = materialize,
 ) -> Analysis:
     """Analysis of ``documents`` against the queries of their scope.
 
-    ``keep`` stores the two tables every report reads, for instance
-    :func:`topicgauge.sources.storage.materialize`; without it each report recomputes them.
+    The scored table is slim (no text, no vectors) and every report reads it, most of them
+    more than once, so it is stored by ``keep`` instead of being recomputed from the text.
     """
-    scored = score_documents(documents, queries, embedder, strategy)
+    scored = keep(score_documents(documents, queries, embedder, strategy))
     content = signals.content_signals(documents.select("doc_id", "text", "scope"), signals.with_query_facts(queries))
-    if keep is not None:
-        scored, content = keep(scored), keep(content)
     return Analysis(scored, content, hierarchical=not (isinstance(strategy, str) and strategy == "flat"))
 
 

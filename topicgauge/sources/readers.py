@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,8 +49,14 @@ def as_documents(
 
 
 def make_queries(spark: SparkSession, rows: list[tuple[int, str, str, str | None]]) -> DataFrame:
-    """A query table from ``(query_id, query, scope, intent_override)`` tuples given as job options."""
-    return spark.createDataFrame(rows, QUERIES)
+    """A query table from ``(query_id, query, scope, intent_override)`` tuples given as job options.
+
+    Built through Arrow, so Spark knows its exact size and broadcasts it only where it is small.
+    """
+    columns = list(zip(*rows, strict=True))
+    types = (pa.int64(), pa.string(), pa.string(), pa.string())
+    arrays = [pa.array(c, t) for c, t in zip(columns, types, strict=True)]
+    return spark.createDataFrame(pa.table(arrays, names=QUERIES.names), QUERIES)
 
 
 def _reason(c: Column, what: str) -> Column:

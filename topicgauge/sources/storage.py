@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,20 +13,25 @@ CHECKPOINT_SETTING = "spark.checkpoint.dir"
 
 def checkpoint_folder(spark: SparkSession) -> str:
     """The shared folder the cluster names; a temporary one only for local sessions."""
-    folder = spark.conf.get(CHECKPOINT_SETTING, None) or spark.sparkContext.getCheckpointDir()
+    context = spark.sparkContext
+    folder = spark.conf.get(CHECKPOINT_SETTING, None) or context.getCheckpointDir()
     if folder:
         return folder
-    if not spark.sparkContext.master.startswith("local"):
+    if not context.master.startswith("local"):
         raise RuntimeError(f"set {CHECKPOINT_SETTING} to a folder all executors share")
-    return tempfile.mkdtemp(prefix="topicgauge-")
+    context.setCheckpointDir(tempfile.mkdtemp(prefix="topicgauge-"))
+    return context.getCheckpointDir()
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Compute once, keep in reliable storage, and cut the lineage there."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(checkpoint_folder(df.sparkSession))
-    return df.checkpoint()
+    """Compute a table once and read it back from the shared folder.
+
+    The copy survives lost executors, cuts the lineage, and lets every reader fetch only the
+    columns it needs.
+    """
+    path = f"{checkpoint_folder(df.sparkSession).rstrip('/')}/topicgauge-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def write_table(

@@ -35,21 +35,21 @@ TOPICS: list[tuple[int, str, str, str | None]] = [
 ]
 
 # Line rewrites that give plain prose the structure the section parsers and signals look for.
-# Fixed pairs of (pattern, replacement) in Java syntax; the SQL side writes \1 for $1.
+# Pairs of (pattern, replacement) in Java syntax; the SQL side writes \1 for $1. ``^`` is the start of a line.
 MARKDOWN_REWRITES: list[tuple[str, str]] = [
-    (r"(^|\n)To ", r"$11. To "),
-    (r"(^|\n)Of ", r"$1step 2 Of "),
-    (r"(^|\n)In ([^\n]*)", r"$1| In | $2 |"),
-    (r"(^|\n)And ", r"$1[And](https://example.com/and) "),
-    (r"(^|\n)With ", "$1```\n"),
-    (r"(^|\n)Is ", r"$1FAQ: Is "),
-    (r"(^|\n)Or [^\n]*", r"$1## Sources"),
-    (r"(^|\n)It ", r"$1TL;DR it "),
-    (r"(^|\n)A ", r"$1For example A "),
-    (r"(^|\n)That ", r"$1Updated 2024. That "),
-    (r"(^|\n)By ", r"$1Compare https://example.org/by) by "),
-    (r"(^|\n)([A-MÉ][^.\n]{0,40})\.( |\n)", "$1## $2\n"),
-    (r"(^|\n)([N-Z][^.\n]{0,40})\.( |\n)", "$1### $2\n"),
+    (r"^To ", r"1. To "),
+    (r"^Of ", r"step 2 Of "),
+    (r"^In ([^\n]*)", r"| In | $1 |"),
+    (r"^And ", r"[And](https://example.com/and) "),
+    (r"^With ", "```\n"),
+    (r"^Is ", r"FAQ: Is "),
+    (r"^Or [^\n]*", r"## Sources"),
+    (r"^It ", r"TL;DR it "),
+    (r"^A ", r"For example A "),
+    (r"^That ", r"Updated 2024. That "),
+    (r"^By ", r"Compare https://example.org/by) by "),
+    (r"^([A-MÉ][^.\n]{0,40})\.[ \n]", "## $1\n"),
+    (r"^([N-Z][^.\n]{0,40})\.[ \n]", "### $1\n"),
 ]
 HTML_REWRITES: list[tuple[str, str]] = [
     (r"<(/?)h1>", r"<$1h2>"),
@@ -59,7 +59,7 @@ HTML_REWRITES: list[tuple[str, str]] = [
 
 def _rewritten(c, rewrites):
     for pattern, replacement in rewrites:
-        c = F.regexp_replace(c, pattern, replacement)
+        c = F.regexp_replace(c, "(?dm)" + pattern, replacement)
     return c
 
 

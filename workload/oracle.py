@@ -60,7 +60,7 @@ def border(alternatives: str, flags: str = "(?i)") -> str:
 def rewritten(c: str, rewrites: list[tuple[str, str]]) -> str:
     for pattern, replacement in rewrites:
         new = replacement.replace("$", "\\")
-        c = f"regexp_replace({c}, {lit(pattern)}, {lit(new)}, 'g')"
+        c = f"regexp_replace({c}, {lit("(?m)" + pattern)}, {lit(new)}, 'g')"
     return c
 
 

@@ -19,6 +19,7 @@ from topicgauge.plans.compare import compare_documents, embed_queries as embed_q
 from topicgauge.plans.compare import score_prechunked as score_chunk_table
 from topicgauge.settings import ChunkOptions
 from topicgauge.sources.readers import rejected_inputs
+from topicgauge.sources.storage import materialize
 from workload import corpora as W
 from workload import oracle as O
 
@@ -432,7 +433,7 @@ round(CASE WHEN hi = lo THEN 0.5 ELSE (similarity - lo) / (hi - lo) END, 6) AS n
 @register(_VECTOR_RANK)
 def similarity_rank_hot(spark, sf):
     """Reports of unknown size: every label above 40 vectors is ranked in cells."""
-    rows = diagnostics.diagnose(vector_scored(spark, sf), hot_group_rows=40)
+    rows = diagnostics.diagnose(materialize(vector_scored(spark, sf)), hot_group_rows=40)
     return shown(rows, *K, "similarity", "similarity_rank", "normalized_score")
 
 
@@ -604,9 +605,7 @@ interpretation, level, heading, depth, parent_index, word_count, coalesce(childr
 LEFT JOIN (SELECT doc_id, parent_index AS chunk_index, string_agg(chunk_index::VARCHAR, ',' ORDER BY chunk_index) AS children
   FROM chunks WHERE parent_index IS NOT NULL GROUP BY ALL) USING (doc_id, chunk_index)"""))
 def hierarchy_heatmap(spark, sf):
-    docs = W.mixed_documents(spark, sf)
-    chunks = chunking.chunk_documents(docs, "auto", ChunkOptions(with_offsets=False))
-    rows = sections.hierarchy_heatmap(diagnostics.diagnose(mixed_scored(spark, sf)), sections.child_lists(chunks))
+    rows = sections.hierarchy_heatmap(diagnostics.diagnose(materialize(mixed_scored(spark, sf))))
     return shown(rows.withColumn("children", joined(F.col("children"))))
 
 
