@@ -10,14 +10,13 @@ from topicgauge.operators.embedding import HashedTerms, ModelVectors, Precompute
 from topicgauge.sources.readers import make_queries
 
 
-@pytest.mark.parametrize("dim", [None, 3])
-def test_cosine_of_known_pairs(spark, dim):
+def test_cosine_of_known_pairs(spark):
     pairs = [
         ([1.0, 2.0, 2.0], [1.0, 2.0, 2.0], 1.0), ([1.0, 0.0, 0.0], [-1.0, 0.0, 0.0], -1.0),
         ([1.0, 0.0, 0.0], [0.0, 1.0, 0.0], 0.0), ([1.0, 2.0, 2.0], [10.0, 20.0, 20.0], 1.0),
     ]
     df = spark.createDataFrame(pairs, "a array<double>, b array<double>, want double")
-    for r in df.withColumn("got", V.cosine(F.col("a"), F.col("b"), dim)).collect():
+    for r in df.withColumn("got", V.cosine(F.col("a"), F.col("b"))).collect():
         assert r.got == pytest.approx(r.want) and -1 <= r.got <= 1
 
 
@@ -87,19 +86,17 @@ def test_scope_pairs_and_salts_agree(spark):
     def rows(df):
         return sorted(map(tuple, df.select(*key).collect()))
 
-    plain = rows(similarity.score(vectors, queries, dim=16))
+    plain = rows(similarity.score(vectors, queries))
     assert len(plain) == 40
-    assert plain == rows(similarity.score(vectors, queries, dim=16, salts=3))
-    assert plain == rows(similarity.score_pairs(vectors, queries, pairs, 16))
-    for a, b in zip(plain, rows(similarity.score(vectors, queries))):
-        assert a[:3] == b[:3] and a[3] == pytest.approx(b[3])
+    assert plain == rows(similarity.score(vectors, queries, salts=3))
+    assert plain == rows(similarity.score_pairs(vectors, queries, pairs))
 
 
 def test_chunk_without_terms_scores_zero(spark):
     chunks = spark.createDataFrame([(1, 0, "all", "...")], "doc_id long, chunk_index int, scope string, text string")
     e = HashedTerms(16)
     q = similarity.prepare_queries(make_queries(spark, [(1, "a b c", "all", None)]), e)
-    row = similarity.score(embedding.embed(chunks, e), q, dim=16).first()
+    row = similarity.score(embedding.embed(chunks, e), q).first()
     assert row.similarity == 0 and row.interpretation == "Off-topic"
 
 

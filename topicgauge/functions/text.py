@@ -64,8 +64,13 @@ def sentences(c: Column) -> Column:
     return F.split(c, f"(?U)(?<=[.!?]){SPACE}+", -1)
 
 
-def preview(c: Column, chars: int) -> Column:
-    return F.when(F.length(c) > chars, F.concat(rstrip(F.substring(c, 1, chars)), F.lit("..."))).otherwise(c)
+def preview(c: Column, chars: int, length: Column | None = None) -> Column:
+    """The first ``chars`` characters, marked where text was left out.
+
+    ``length`` is that of the whole text where ``c`` holds only its beginning.
+    """
+    size = F.length(c) if length is None else length
+    return F.when(size > chars, F.concat(rstrip(F.substring(c, 1, chars)), F.lit("..."))).otherwise(c)
 
 
 def unify_line_ends(c: Column) -> Column:

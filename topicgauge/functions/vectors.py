@@ -2,19 +2,11 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Up to this width a dot product is written out term by term, which compiles to
-#: straight-line code; wider vectors use the array functions.
-UNROLL_LIMIT = 128
-
 
-def dot(a: Column, b: Column, dim: int | None = None) -> Column:
-    if dim is not None and dim <= UNROLL_LIMIT:
-        return reduce(lambda x, y: x + y, [F.get(a, F.lit(i)) * F.get(b, F.lit(i)) for i in range(dim)])
+def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
 
@@ -32,9 +24,9 @@ def clamp(c: Column) -> Column:
     return F.greatest(F.lit(-1.0), F.least(F.lit(1.0), c))
 
 
-def cosine_normalized(a: Column, b: Column, dim: int | None = None) -> Column:
+def cosine_normalized(a: Column, b: Column) -> Column:
     """Unit vectors: the dot product alone. Null where the sizes differ."""
-    return F.when(F.size(a) == F.size(b), clamp(dot(a, b, dim)))
+    return F.when(F.size(a) == F.size(b), clamp(dot(a, b)))
 
 
 def cosine_reject_reason(a: Column, b: Column) -> Column:
@@ -45,10 +37,10 @@ def cosine_reject_reason(a: Column, b: Column) -> Column:
     )
 
 
-def cosine(a: Column, b: Column, dim: int | None = None) -> Column:
+def cosine(a: Column, b: Column) -> Column:
     """Full cosine. Null where :func:`cosine_reject_reason` has a reason."""
     valid = cosine_reject_reason(a, b).isNull()
-    return F.when(valid, clamp(dot(a, b, dim) / (norm(a) * norm(b))))
+    return F.when(valid, clamp(dot(a, b) / (norm(a) * norm(b))))
 
 
 def term_buckets(text: Column, dim: int) -> Column:
@@ -63,7 +55,5 @@ def term_buckets(text: Column, dim: int) -> Column:
 def bucket_counts(buckets: Column, dim: int) -> Column:
     """Term count per bucket: whole numbers kept as doubles, so dots and norms are exact."""
     total = F.size(buckets)
-    if dim <= UNROLL_LIMIT:
-        return F.array(*[(total - F.size(F.array_remove(buckets, i))).cast("double") for i in range(dim)])
     slots = F.sequence(F.lit(0), F.lit(dim - 1))
     return F.transform(slots, lambda i: (total - F.size(F.array_remove(buckets, i))).cast("double"))

@@ -256,12 +256,12 @@ def explode_chunks(chunked: DataFrame) -> DataFrame:
     """Chunk rows from :func:`with_chunks`.
 
     The outer explode plus a filter on its output keeps the optimizer from testing the size
-    of the array below the projection that builds it, which would build it twice.
+    of the array below the projection that builds it, which would build it twice. The count
+    is taken before the explode, so that no output row carries the whole array.
     """
     keep = [c for c in chunked.columns if c not in ("chunks", "text")]
-    rows = chunked.select(
-        *keep, F.size("chunks").alias("chunk_count"), F.posexplode_outer("chunks").alias("chunk_index", "_c")
-    )
+    counted = chunked.select(*keep, F.size("chunks").alias("chunk_count"), "chunks")
+    rows = counted.select(*keep, "chunk_count", F.posexplode_outer("chunks").alias("chunk_index", "_c"))
     return rows.filter(F.col("chunk_index").isNotNull()).select(*keep, "chunk_index", "chunk_count", "_c.*")
 
 

@@ -23,30 +23,34 @@ def position_percent() -> Column:
 # --- chunk level ----------------------------------------------------------------
 
 
-def with_text_facts(chunks: DataFrame, preview_chars: int = S.PREVIEW_CHARS) -> DataFrame:
-    """What later steps need of the text, so that the text itself need not be shuffled."""
+def with_text_facts(chunks: DataFrame) -> DataFrame:
+    """What later steps need of the text, so that the text itself is neither shuffled nor stored.
+
+    Every preview is cut from ``lead_text``, the beginning of the chunk.
+    """
     t = F.col("text")
     return chunks.withColumns(
-        {
-            "text_preview": X.preview(t, preview_chars),
-            "target_preview": X.preview(t, S.TARGET_PREVIEW_CHARS),
-            "example_text": X.preview(t, S.EXAMPLE_CHARS),
-            "char_count": F.length(t),
-            "word_count": X.word_count(t),
-        }
+        {"lead_text": F.substring(t, 1, S.EXAMPLE_CHARS), "char_count": F.length(t), "word_count": X.word_count(t)}
     )
 
 
+def preview(chars: int) -> Column:
+    if chars > S.EXAMPLE_CHARS:
+        raise ValueError(f"previews are at most {S.EXAMPLE_CHARS} characters long")
+    return X.preview(F.col("lead_text"), chars, F.col("char_count"))
+
+
 def normalized_score() -> Column:
     spread = F.col("report_max") - F.col("report_min")
     return F.when(spread == 0, F.lit(0.5)).otherwise((F.col("similarity") - F.col("report_min")) / spread)
 
 
-def chunk_diagnostics(ranked: DataFrame) -> DataFrame:
+def chunk_diagnostics(ranked: DataFrame, preview_chars: int = S.PREVIEW_CHARS) -> DataFrame:
     """One wide row per scored chunk, from :func:`rank_chunks` output."""
     s, bands = F.col("similarity"), F.col("bands")
     return ranked.withColumns(
         {
+            "text_preview": preview(preview_chars),
             "normalized_score": normalized_score(),
             "position_percent": position_percent(),
             "is_max": s == F.col("report_max"),
@@ -55,7 +59,7 @@ def chunk_diagnostics(ranked: DataFrame) -> DataFrame:
             "above_moderate_threshold": s >= bands["moderate"],
             "below_weak_threshold": s < bands["weak"],
         }
-    ).drop("report_min", "report_max", "report_chunks")
+    ).drop("report_min", "report_max", "report_chunks", "lead_text")
 
 
 def diagnose(scored: DataFrame, hot_group_rows: int | None = None) -> DataFrame:
@@ -140,7 +144,7 @@ def report_facts(scored: DataFrame) -> DataFrame:
     """
     s, idx, n = F.col("similarity"), F.col("chunk_index"), F.col("chunk_count")
     band = position_percent() <= 0.2
-    best = F.max(F.struct(s.alias("s"), (-idx).alias("i"), F.col("example_text").alias("t")))
+    best = F.max(F.struct(s.alias("s"), (-idx).alias("i"), preview(S.EXAMPLE_CHARS).alias("t")))
     facts = scored.groupBy(*REPORT).agg(
         *_basic(),
         best.alias("_best"),
@@ -294,5 +298,5 @@ def drift_rows(scored: DataFrame) -> DataFrame:
         height.alias("bar_height"),
         F.bround("similarity", 2).alias("shown_similarity"),
         "interpretation",
-        X.collapse(F.col("text_preview")).alias("preview"),
+        X.collapse(preview(S.PREVIEW_CHARS)).alias("preview"),
     )

@@ -9,7 +9,7 @@ from topicgauge import guidance
 from topicgauge import settings as S
 from topicgauge.functions import bands as B
 from topicgauge.operators.candidates import priority, ranked_rows
-from topicgauge.operators.diagnostics import in_band
+from topicgauge.operators.diagnostics import in_band, preview
 from topicgauge.operators.ranking import REPORT, first_n
 
 #: Chunks listed for an opening that needs work.
@@ -105,7 +105,7 @@ def step_targets(steps: DataFrame, scored: DataFrame) -> DataFrame:
     def rows(df: DataFrame, step: str) -> DataFrame:
         return df.select(
             *REPORT, F.lit(step).alias("step"), "chunk_index",
-            F.col("target_preview").alias("text_preview"), "similarity", "interpretation",
+            preview(S.TARGET_PREVIEW_CHARS).alias("text_preview"), "similarity", "interpretation",
         )
 
     listed = (

@@ -13,7 +13,7 @@ from topicgauge import guidance
 from topicgauge import settings as S
 from topicgauge.functions import bands as B
 from topicgauge.operators.candidates import priority, ranked_rows
-from topicgauge.operators.diagnostics import in_band, off_topic_chunks, weak_or_off_topic_chunks
+from topicgauge.operators.diagnostics import in_band, off_topic_chunks, preview, weak_or_off_topic_chunks
 from topicgauge.operators.ranking import REPORT, first_n
 
 TYPES = ("rewrite_off_topic", "strengthen_weak", "expand_strong", "restructure_section", "remove_dilution")
@@ -133,7 +133,7 @@ def targets(scored: DataFrame, facts: DataFrame, summaries: DataFrame | None = N
     def rows(df: DataFrame, kind: str) -> DataFrame:
         return df.select(
             *REPORT, F.lit(kind).alias("rec_type"), "chunk_index",
-            F.col("target_preview").alias("text_preview"), "similarity", "interpretation",
+            preview(S.TARGET_PREVIEW_CHARS).alias("text_preview"), "similarity", "interpretation",
         )
 
     key = list(REPORT)

@@ -29,9 +29,9 @@ def prepare_queries(queries: DataFrame, embedder: Embedder, bands: Mapping[str,
     )
 
 
-def _similarity(dim: int | None) -> Column:
+def _similarity() -> Column:
     lengths = F.col("query_norm") * F.col("norm")
-    products = V.dot(F.col("query_vector"), F.col("vector"), dim)
+    products = V.dot(F.col("query_vector"), F.col("vector"))
     # A chunk without any term has a zero vector: similarity 0, as a plain dot product gives.
     return F.when(lengths == 0, 0.0).otherwise(V.clamp(products / lengths))
 
@@ -39,9 +39,7 @@ def _similarity(dim: int | None) -> Column:
 _QUERY_COLUMNS = ("query_id", "query_vector", "query_norm", "bands")
 
 
-def score(
-    chunks: DataFrame, queries: DataFrame, on: str = "scope", dim: int | None = None, salts: int = 1
-) -> DataFrame:
+def score(chunks: DataFrame, queries: DataFrame, on: str = "scope", salts: int = 1) -> DataFrame:
     """Every chunk against every query of its scope.
 
     Where the queries are too many to be broadcast and a scope holds much of the chunks, ``salts``
@@ -49,21 +47,21 @@ def score(
     """
     asked = queries.select(on, *_QUERY_COLUMNS)
     if salts == 1:
-        return _scored(chunks.join(asked, on), dim)
+        return _scored(chunks.join(asked, on))
     repeated = asked.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     salted = chunks.withColumn("_salt", F.pmod(F.hash("doc_id", "chunk_index"), F.lit(salts)))
-    return _scored(salted.join(repeated, [on, "_salt"]).drop("_salt"), dim)
+    return _scored(salted.join(repeated, [on, "_salt"]).drop("_salt"))
 
 
-def score_pairs(chunks: DataFrame, queries: DataFrame, pairs: DataFrame, dim: int | None = None) -> DataFrame:
+def score_pairs(chunks: DataFrame, queries: DataFrame, pairs: DataFrame) -> DataFrame:
     """Only the requested ``(query_id, doc_id)`` pairs."""
     asked = pairs.select("query_id", "doc_id").join(queries.select(*_QUERY_COLUMNS), "query_id")
-    return _scored(chunks.join(asked, "doc_id"), dim)
+    return _scored(chunks.join(asked, "doc_id"))
 
 
-def _scored(joined: DataFrame, dim: int | None) -> DataFrame:
+def _scored(joined: DataFrame) -> DataFrame:
     return (
-        joined.withColumn("similarity", _similarity(dim))
+        joined.withColumn("similarity", _similarity())
         .withColumn("interpretation", B.interpret(F.col("similarity"), F.col("bands")))
         .drop("query_vector", "query_norm", "vector", "norm")
     )

@@ -39,7 +39,7 @@ def score_documents(
     """Scored chunks of every document against the queries of its scope."""
     vectors = chunk_vectors(documents, embedder, strategy, options)
     asked = similarity.prepare_queries(queries, embedder, bands)
-    return similarity.score(vectors, asked, on, embedder.dim)
+    return similarity.score(vectors, asked, on)
 
 
 def score_prechunked(
@@ -51,7 +51,7 @@ def score_prechunked(
 ) -> DataFrame:
     """Score an existing chunk table; only the embedding is computed anew."""
     vectors = embed(diagnostics.with_text_facts(chunks), embedder).drop("text")
-    return similarity.score(vectors, similarity.prepare_queries(queries, embedder, bands), on, embedder.dim)
+    return similarity.score(vectors, similarity.prepare_queries(queries, embedder, bands), on)
 
 
 def compare_documents(

@@ -84,7 +84,7 @@ def mixed_analysis(spark: SparkSession, sf: str) -> Analysis:
 
 def vector_scored(spark: SparkSession, sf: str) -> DataFrame:
     chunks = W.vectors(spark, sf).embed(W.vector_chunks(spark, sf))
-    return similarity.score(chunks, W.centroid_queries(spark, sf), dim=64)
+    return similarity.score(chunks, W.centroid_queries(spark, sf))
 
 
 # --- sources -------------------------------------------------------------------------
@@ -305,7 +305,7 @@ def cosine_pairs(spark, sf):
     pairs = _vector_pairs(spark, sf)
     a, b = F.transform("query_vector", lambda x: x * 3.0), F.col("vector")
     return pairs.select(
-        "query_id", "vec_id", F.round(V.cosine(a, b, 64), 6).alias("similarity"),
+        "query_id", "vec_id", F.round(V.cosine(a, b), 6).alias("similarity"),
         V.cosine_reject_reason(a, b).alias("reason"),
     )
 
@@ -313,7 +313,7 @@ def cosine_pairs(spark, sf):
 @register(_VECTOR_SCORED + "\nSELECT query_id, vec_id, round(similarity, 6) AS similarity FROM vec_scored")
 def cosine_normalized(spark, sf):
     pairs = _vector_pairs(spark, sf)
-    value = V.cosine_normalized(F.col("query_vector"), F.col("vector"), 64)
+    value = V.cosine_normalized(F.col("query_vector"), F.col("vector"))
     return pairs.select("query_id", "vec_id", F.round(value, 6).alias("similarity"))
 
 
@@ -383,7 +383,7 @@ def compare_pairs(spark, sf):
     replies, turns, pairs = _reply_pairs(spark, sf)
     rows = chunking.chunk_documents(replies, "flat", ChunkOptions(with_offsets=False))
     chunks = embedding.embed(rows, W.EMBEDDER)
-    scored = similarity.score_pairs(chunks, similarity.prepare_queries(turns, W.EMBEDDER), pairs, W.EMBEDDER.dim)
+    scored = similarity.score_pairs(chunks, similarity.prepare_queries(turns, W.EMBEDDER), pairs)
     return shown(scored, *K, "similarity", "interpretation")
 
 
@@ -391,7 +391,7 @@ def compare_pairs(spark, sf):
 def score_prechunked(spark, sf):
     """A chunk table as another job left it: only text and keys, no vectors."""
     table = chunking.chunk_documents(W.documents(spark, sf), "flat", ChunkOptions(with_offsets=False))
-    scored = score_chunk_table(table, W.topics(spark), W.EMBEDDER)
+    scored = score_chunk_table(table, W.topics(spark), W.EMBEDDER).withColumn("text_preview", diagnostics.preview(S.PREVIEW_CHARS))
     return shown(scored, *K, "similarity", "interpretation", "text_preview")
 
 
@@ -433,7 +433,8 @@ round(CASE WHEN hi = lo THEN 0.5 ELSE (similarity - lo) / (hi - lo) END, 6) AS n
 @register(_VECTOR_RANK)
 def similarity_rank_hot(spark, sf):
     """Reports of unknown size: every label above 40 vectors is ranked in cells."""
-    rows = diagnostics.diagnose(materialize(vector_scored(spark, sf)), hot_group_rows=40)
+    ranked = ranking.rank_chunks(materialize(vector_scored(spark, sf)), hot_group_rows=40)
+    rows = ranked.withColumn("normalized_score", diagnostics.normalized_score())
     return shown(rows, *K, "similarity", "similarity_rank", "normalized_score")
 
 
@@ -453,7 +454,9 @@ def position_percent(spark, sf):
 @register(O.on("plain", "SELECT doc_id, chunk_index, text_preview, target_preview, example_text FROM chunks"))
 def text_preview(spark, sf):
     rows = chunking.chunk_documents(W.documents(spark, sf), "flat", ChunkOptions(with_offsets=False))
-    return diagnostics.with_text_facts(rows).select("doc_id", "chunk_index", "text_preview", "target_preview", "example_text")
+    lengths = {"text_preview": S.PREVIEW_CHARS, "target_preview": S.TARGET_PREVIEW_CHARS, "example_text": S.EXAMPLE_CHARS}
+    previews = [diagnostics.preview(n).alias(c) for c, n in lengths.items()]
+    return diagnostics.with_text_facts(rows).select("doc_id", "chunk_index", *previews)
 
 
 _COUNTS = "chunks_strong, chunks_moderate, chunks_weak, chunks_off_topic"
