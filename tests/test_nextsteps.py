@@ -1,5 +1,4 @@
 import pytest
-from pyspark.sql import functions as F
 
 from tests.reports import by_doc, scored
 from topicgauge.operators import diagnostics as D

@@ -27,7 +27,13 @@ def detect_format(text: Column) -> Column:
     """``markdown`` before ``html`` before ``flat``. Looser than the section parsers by design."""
     markdown = F.regexp_like(text, F.lit(rf"(?dmU)^#{{2,3}}{X.SPACE}+[^\n]"))
     html = F.regexp_like(text, F.lit(r"(?is)<h[23][^>]*>.*?</h[23]>"))
-    return F.when(markdown, "markdown").when(html, "html").otherwise("flat")
+    return F.when(markdown, "markdown").when(_closes_heading(text) & html, "html").otherwise("flat")
+
+
+def _closes_heading(text: Column) -> Column:
+    """Without a closing tag no heading matches; this spares the search from every opening tag to the end."""
+    low = F.lower(text)
+    return low.contains("</h2>") | low.contains("</h3>")
 
 
 def effective_strategy(strategy: Column, text: Column) -> Column:
@@ -134,9 +140,12 @@ def _with_html(df: DataFrame, guard: Column) -> DataFrame:
     Sections without text stay in the list: a document that has headings never falls back
     to flat chunks, even if all of them are empty.
     """
+    closes = _closes_heading(F.col("text"))
+    cut = F.when(closes, F.split("text", _HTML_HEADING, -1)).otherwise(F.array("text"))
+    found = F.when(closes, F.regexp_extract_all("text", F.lit(_HTML_HEADING), F.lit(0)))
     df = (
-        df.withColumn("_between", F.when(guard, F.split("text", _HTML_HEADING, -1)))
-        .withColumn("_heads", F.when(guard, F.regexp_extract_all("text", F.lit(_HTML_HEADING), F.lit(0))))
+        df.withColumn("_between", F.when(guard, cut))
+        .withColumn("_heads", F.when(guard, F.coalesce(found, F.array().cast("array<string>"))))
         .withColumn(
             "_ends",
             A.prefix_sums(

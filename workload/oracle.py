@@ -108,7 +108,7 @@ def _chunks(corpus: str) -> list[str]:
         f"""md_lines AS (SELECT doc_id, generate_subscripts(ls, 1) AS ln, unnest(ls) AS line
   FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM tagged WHERE strategy = 'markdown'))""",
         f"""md_marked AS (SELECT *, regexp_matches(line, '{MD_HEAD}') AS head,
-  sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY ln) - length(line) - 1 AS pos FROM md_lines)""",
+  (sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY ln))::BIGINT - length(line) - 1 AS pos FROM md_lines)""",
         """md_numbered AS (SELECT *, sum(head::INT) OVER (PARTITION BY doc_id ORDER BY ln) AS sec FROM md_marked)""",
         f"""md_all AS (SELECT doc_id, sec,
   coalesce(max(CASE WHEN head THEN CASE WHEN starts_with(line, '###') THEN 3 ELSE 2 END END), 4) AS level,
@@ -122,8 +122,8 @@ def _chunks(corpus: str) -> list[str]:
   string_split_regex(text, '{HTML_HEAD}') AS gaps FROM tagged WHERE strategy = 'html')""",
         """html_at AS (SELECT doc_id, heads, gaps, unnest(range(0, len(heads) + 1)) AS sec FROM html_cut)""",
         """html_pos AS (SELECT *, gaps[sec + 1] AS c, coalesce(heads[sec], '') AS h,
-  coalesce(list_sum(list_transform(gaps[1:sec], lambda x: length(x))), 0)
-  + coalesce(list_sum(list_transform(heads[1:sec - 1], lambda x: length(x))), 0) AS begin FROM html_at)""",
+  (coalesce(list_sum(list_transform(gaps[1:sec], lambda x: length(x))), 0)
+  + coalesce(list_sum(list_transform(heads[1:sec - 1], lambda x: length(x))), 0))::BIGINT AS begin FROM html_at)""",
         f"""html AS (SELECT doc_id, sec, CASE WHEN sec = 0 THEN 4 ELSE substr(h, 3, 1)::INT END AS level,
   CASE WHEN sec > 0 THEN {strip("regexp_replace(regexp_extract(h, '(?is)^<h[23][^>]*>(.*)</h[23]>$', 1), '<[^>]+>', '', 'g')")} END AS heading,
   {clean} AS content, CASE WHEN sec = 0 THEN 0 ELSE begin END AS char_start,
@@ -183,7 +183,7 @@ def _offsets() -> list[str]:
 
 
 def _topics() -> str:
-    rows = ", ".join(f"({i}, {lit(q)}, {lit(s)}, {lit(o)})" for i, q, s, o in TOPICS)
+    rows = ", ".join(f"({i}::BIGINT, {lit(q)}, {lit(s)}, {lit(o)})" for i, q, s, o in TOPICS)
     return f"topics(query_id, query, scope, intent_override) AS (VALUES {rows})"
 
 
@@ -259,7 +259,7 @@ def _reports() -> list[str]:
   max(CASE WHEN chunk_index = section_index THEN heading END) AS heading,
   max(CASE WHEN chunk_index = section_index AND level IN ('macro', 'micro') THEN level END) AS level,
   count(*) AS chunk_count, avg(similarity) AS avg_similarity, max(similarity) AS max_similarity,
-  min(similarity) AS min_similarity, sum(word_count) AS total_words, {_COUNTS} FROM sec_members GROUP BY ALL)""",
+  min(similarity) AS min_similarity, sum(word_count)::BIGINT AS total_words, {_COUNTS} FROM sec_members GROUP BY ALL)""",
         f"secs AS MATERIALIZED (SELECT *, {section_score} AS coverage_score FROM sec_all WHERE level IS NOT NULL)",
         f"""low_secs AS (SELECT query_id, doc_id, count(*) AS low_sections FROM secs
   WHERE coverage_score < {S.LOW_SECTION_COVERAGE} GROUP BY ALL)""",
@@ -356,7 +356,7 @@ def _signals() -> list[str]:
         rf"""line_signals AS (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (regexp_matches(line, '\p{{Nd}}')) AS numbered,
   count(*) FILTER (regexp_matches(line, '^[{INL}]*##[{INL}]+[^{WS}]')) AS h2,
   count(*) FILTER (regexp_matches(line, '^[{INL}]*###[{INL}]+[^{WS}]')) AS h3,
-  sum(len(regexp_extract_all(line, '\[[^\]]+\]\(https?://[^)]+\)'))) AS links,
+  sum(len(regexp_extract_all(line, '\[[^\]]+\]\(https?://[^)]+\)')))::BIGINT AS links,
   count(*) FILTER (regexp_matches(line, '^[{INL}]*\|.*\|[{INL}]*$')) AS tables,
   {any_line(border('FAQ') + '|(?i)frequently asked questions')} AS has_faq,
   {any_line('(?i)' + heading + f'(?:{S.SOURCES_HEADINGS})[{INL}]*$')} AS has_sources_section,
