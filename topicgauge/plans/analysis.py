@@ -19,20 +19,27 @@ from topicgauge.sources.storage import materialize
 
 @dataclass(frozen=True)
 class Analysis:
-    """Lazy tables over ``scored`` and ``signals``; nothing runs until one is read or written."""
+    """Tables over ``scored`` and ``signals``.
+
+    The rows per report are stored by ``keep`` when first needed: they are small, and every
+    further table reads them instead of the text or the scored chunks.
+    """
 
     scored: DataFrame
     signals: DataFrame
     hierarchical: bool = True
     hot_group_rows: int | None = None
+    keep: Callable[[DataFrame], DataFrame] = materialize
 
     @cached_property
     def facts(self) -> DataFrame:
-        return recommendations.with_low_sections(diagnostics.report_facts(self.scored), self._low_sections)
+        """Report aggregates: all that recommendations need."""
+        return self.keep(recommendations.with_low_sections(diagnostics.report_facts(self.scored), self._low_sections))
 
     @cached_property
     def reports(self) -> DataFrame:
-        return nextsteps.with_signals(self.facts, self.signals)
+        """Report aggregates with the content signals: all that next steps and readiness need."""
+        return self.keep(nextsteps.with_signals(self.facts, self.signals))
 
     @cached_property
     def section_summaries(self) -> DataFrame:
@@ -102,7 +109,7 @@ def analyze(
     """
     scored = keep(score_documents(documents, queries, embedder, strategy))
     content = signals.content_signals(documents.select("doc_id", "text", "scope"), signals.with_query_facts(queries))
-    return Analysis(scored, content, hierarchical=not (isinstance(strategy, str) and strategy == "flat"))
+    return Analysis(scored, content, not (isinstance(strategy, str) and strategy == "flat"), keep=keep)
 
 
 def action_plan(steps: DataFrame, recs: DataFrame) -> DataFrame:
