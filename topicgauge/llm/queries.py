@@ -8,9 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from topicgauge.llm import byte_bpe, exact_dedup, url_filter
+from topicgauge.llm import byte_bpe, exact_dedup, language_id, mixing, quality, url_filter
 from topicgauge.llm import sql as Q
-from topicgauge.llm.common import table
+from topicgauge.llm.common import crc_bucket, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -45,6 +45,22 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"), rules)
 
 
+@register(Q.mixing(mixing.WEIGHTS, mixing.SHARE, mixing.LIMIT, mixing.CURRICULUM, mixing.FILLS))
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mix = mixing.mixture(table(spark, sf_dir, "documents"))
+    first = F.round(F.try_element_at("positions", F.lit(1)), 9).alias("position")
+    return mix.select("doc_id", "size", "source_size", "target", "copies", "taken", first).orderBy(F.col("position").asc_nulls_last(), "doc_id")
+
+
+@register()
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.coalesce(crc_bucket(F.col("doc_id"), 4) == 2, F.lit(False))
+    profiles = language_id.learn(docs.select("doc_id", "text", "lang"), crc_bucket(F.col("doc_id"), 4) != 2)
+    judged = language_id.identify(docs.select("doc_id", "text"), profiles)
+    return judged.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 @register()
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, pattern = public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN
@@ -53,3 +69,15 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", byte_bpe.n_tokens(F.col("ids")).alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )
+
+
+@register()
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    fold = crc_bucket(F.col("doc_id"), 5)
+    weights = quality.train(quality.training_rows(docs, table(spark, sf_dir, "labels"), fold != 0))
+    scored = quality.score(docs.select("doc_id", "text"), weights)
+    return scored.select(
+        "doc_id", F.coalesce(fold == 0, F.lit(False)).alias("held_out"), "score",
+        F.when(F.col("score") >= quality.THRESHOLD, 1).otherwise(0).alias("predicted"),
+    )

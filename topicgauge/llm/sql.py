@@ -31,3 +31,58 @@ hits AS (
 SELECT p.page_id, p.host, p.path, h.rule, coalesce(h.rverdict, 'allow') AS verdict
 FROM p LEFT JOIN hits h ON h.page_id = p.page_id AND h.n = 1
 """
+
+
+def mixing(weights, share, limit, curriculum, fills) -> str:
+    """Targets, epochs and fill rounds as window functions; one-segment schedules only."""
+    pick = lambda values, number: f"[{', '.join(repr(float(v)) for v in values)}][({number} - 1) % {len(values)} + 1]"
+    low = pick([knots[0][1] for knots in curriculum], "source_no")
+    high = pick([knots[-1][1] for knots in curriculum], "source_no")
+    order = "ORDER BY hash, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
+    rounds, last = "", "r0"
+    for k in range(1, fills + 1):
+        rounds += f"""
+c{k} AS (
+  SELECT *, rest_start IS NULL AND size > 0 AND size <= rest AS open,
+    coalesce(sum(CASE WHEN rest_start IS NULL AND size > 0 AND size <= rest THEN size ELSE 0 END)
+      OVER (PARTITION BY source_no {order}), 0) AS start
+  FROM {last}
+),
+d{k} AS (SELECT * EXCLUDE (rest_start), CASE WHEN open AND start + size <= rest THEN filled + start ELSE rest_start END AS rest_start FROM c{k}),
+r{k} AS (
+  SELECT * EXCLUDE (rest, filled, open, start, taken_now), rest + filled - taken_now AS rest, taken_now AS filled
+  FROM (SELECT *, coalesce(sum(CASE WHEN rest_start IS NOT NULL THEN size ELSE 0 END) OVER (PARTITION BY source_no), 0) AS taken_now FROM d{k})
+),"""
+        last = f"r{k}"
+    return f"""
+WITH sized AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size, md5(coalesce(doc_id::VARCHAR, '')) AS hash
+  FROM documents
+),
+s0 AS (SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source),
+s1 AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) AS source_no FROM s0),
+s2 AS (SELECT *, {pick(weights, "source_no")} AS weight, source_size * {float(limit)!r}::DOUBLE AS cap FROM s1),
+s3 AS (SELECT *, cap / weight AS ratio FROM s2),
+s4 AS (
+  SELECT *,
+    ((SELECT sum(source_size) FROM s1) * {float(share)!r}::DOUBLE - coalesce(sum(cap) OVER w, 0)) / ((SELECT sum(weight) FROM s2) - coalesce(sum(weight) OVER w, 0)) AS level
+  FROM s3 WINDOW w AS (ORDER BY ratio, source_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+),
+water AS (SELECT arg_min(level, (ratio, source_no)) AS level FROM s4 WHERE ratio > level),
+sources AS (SELECT source, source_no, source_size, least(cap, coalesce((SELECT level FROM water) * weight, cap)) AS target FROM s4),
+plan AS (SELECT *, coalesce(floor(target / nullif(source_size, 0)), 0)::BIGINT AS epochs FROM sources),
+r0 AS (
+  SELECT t.doc_id, t.size, t.hash, p.source_no, p.source_size, p.target, p.epochs, p.target - p.epochs * p.source_size AS rest, 0 AS filled,
+    coalesce(sum(t.size) OVER (PARTITION BY p.source_no {order}), 0) AS epoch_start, NULL::BIGINT AS rest_start
+  FROM sized t JOIN plan p ON t.source IS NOT DISTINCT FROM p.source
+),{rounds}
+done AS (
+  SELECT *, CASE WHEN size > 0 THEN epochs + CASE WHEN rest_start IS NOT NULL THEN 1 ELSE 0 END ELSE 0 END AS copies,
+    ((CASE WHEN epochs > 0 THEN epoch_start ELSE rest_start END) + size / 2.0::DOUBLE) / (epochs * source_size + filled) AS x,
+    {low} AS low, {high} AS high
+  FROM {last}
+)
+SELECT doc_id, size, source_size, target, copies::BIGINT AS copies, (size * copies)::BIGINT AS taken,
+  CASE WHEN copies > 0 THEN round(2.0 * x * (low + high) / 2 / (low + sqrt(low * low + 2.0 * (high - low) * x * (low + high) / 2)), 9) END AS position
+FROM done
+"""
