@@ -35,8 +35,8 @@ BITS = 18
 #: Labelled rows that are learned from at most, chosen by hash of the id.
 TRAIN_ROWS = 16_000
 SHARDS = 8
-ROUNDS = 4
-ALPHA, BETA, L1, L2 = 0.3, 1.0, 0.02, 0.0
+ROUNDS = 8
+ALPHA, BETA, L1, L2 = 2.0, 1.0, 0.02, 0.0
 THRESHOLD = 0.3
 #: Entries of a worker's memory of words; it starts anew when full.
 WORDS_HELD = 300_000
