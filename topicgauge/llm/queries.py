@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from topicgauge.llm import byte_bpe, exact_dedup, language_id, mixing, quality, url_filter
+from topicgauge.llm import byte_bpe, exact_dedup, language_id, mixing, ngram_join, quality, url_filter
 from topicgauge.llm import sql as Q
 from topicgauge.llm.common import crc_bucket, table
 
@@ -81,3 +81,8 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", F.coalesce(fold == 0, F.lit(False)).alias("held_out"), "score",
         F.when(F.col("score") >= quality.THRESHOLD, 1).otherwise(0).alias("predicted"),
     )
+
+
+@register(Q.NGRAM_JOIN)
+def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_duplicates(table(spark, sf_dir, "documents"))

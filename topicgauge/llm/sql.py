@@ -86,3 +86,24 @@ SELECT doc_id, size, source_size, target, copies::BIGINT AS copies, (size * copi
   CASE WHEN copies > 0 THEN round(2.0 * x * (low + high) / 2 / (low + sqrt(low * low + 2.0 * (high - low) * x * (low + high) / 2)), 9) END AS position
 FROM done
 """
+
+
+NGRAM_JOIN = f"""
+WITH RECURSIVE t AS MATERIALIZED (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UP}', '{LOW}'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents
+),
+s AS MATERIALIZED (
+  SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS gram
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM t WHERE len(w) > 0)
+),
+n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+o AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM s a JOIN s b ON a.gram = b.gram AND a.doc_id <> b.doc_id GROUP BY ALL),
+links AS MATERIALIZED (
+  SELECT a, b FROM o JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * shared >= 75 * (x.n + y.n - shared)
+),
+reach AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a)
+SELECT t.doc_id, coalesce(n.n, 0) AS n_shingles, least(t.doc_id, coalesce(c.least_id, t.doc_id)) AS component_id, coalesce(d.n_links, 0) AS n_links
+FROM t LEFT JOIN n ON n.doc_id = t.doc_id
+LEFT JOIN (SELECT a, min(b) AS least_id FROM reach GROUP BY a) c ON c.a = t.doc_id
+LEFT JOIN (SELECT a, count(*) AS n_links FROM links GROUP BY a) d ON d.a = t.doc_id
+"""
