@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from topicgauge.llm import byte_bpe, exact_dedup, language_id, mixing, ngram_join, quality, url_filter
+from topicgauge.llm import byte_bpe, exact_dedup, language_id, mixing, ngram_join, quality, topk_search, url_filter
 from topicgauge.llm import sql as Q
 from topicgauge.llm.common import crc_bucket, table
 
@@ -45,6 +45,11 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"), rules)
 
 
+@register(Q.TOPK_SEARCH)
+def op3_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk_search.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 @register(Q.mixing(mixing.WEIGHTS, mixing.SHARE, mixing.LIMIT, mixing.CURRICULUM, mixing.FILLS))
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mix = mixing.mixture(table(spark, sf_dir, "documents"))

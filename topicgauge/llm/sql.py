@@ -107,3 +107,17 @@ FROM t LEFT JOIN n ON n.doc_id = t.doc_id
 LEFT JOIN (SELECT a, min(b) AS least_id FROM reach GROUP BY a) c ON c.a = t.doc_id
 LEFT JOIN (SELECT a, count(*) AS n_links FROM links GROUP BY a) d ON d.a = t.doc_id
 """
+
+
+TOPK_SEARCH = """
+WITH v AS (
+  SELECT vec_id, [floor(256 * x::DOUBLE) for x in embedding] AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0
+),
+p AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e)::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id
+),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM p)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+"""
