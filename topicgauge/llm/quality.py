@@ -211,3 +211,20 @@ def score(docs: DataFrame, weights: np.ndarray) -> DataFrame:
         yield from out.flush()
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(scan, schema)
+
+
+def keep_good(docs: DataFrame, weights: np.ndarray, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` whose text scores at least the threshold, with all their columns: a filter, no join."""
+    shared = docs.sparkSession.sparkContext.broadcast(weights)
+    text_at = docs.columns.index("text")
+
+    def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        w = shared.value
+        for batch in batches:
+            good = []
+            for (text,) in rows_of([batch.select([text_at])]):
+                index, value = features(text or b"")
+                good.append(probability(w[index] @ value) >= threshold)
+            yield batch.filter(pa.array(good, pa.bool_()))
+
+    return docs.mapInArrow(scan, docs.schema)

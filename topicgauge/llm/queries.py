@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from topicgauge.llm import byte_bpe, exact_dedup, language_id, mixing, ngram_join, quality, topk_search, url_filter
+from topicgauge.llm import byte_bpe, exact_dedup, language_id, mixing, ngram_join, pii, quality, token_counts, topk_search, url_filter
 from topicgauge.llm import sql as Q
 from topicgauge.llm.common import crc_bucket, table
 
@@ -91,3 +91,18 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register(Q.NGRAM_JOIN)
 def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+#: A pseudonym is only as secret as its key; this one is for the given test tables.
+PSEUDONYM_KEY = b"key of the registered query"
+
+
+@register()
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymize(table(spark, sf_dir, "documents"), PSEUDONYM_KEY)
+
+
+@register()
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = token_counts.attribute(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)
+    return counts.select("doc_id", F.col("section").cast("int").alias("line"), "char_start", "char_end", F.col("n_tokens").cast("long").alias("n_tokens"))
