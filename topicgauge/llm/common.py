@@ -27,9 +27,16 @@ def crc_bucket(doc_id: Column, n: int) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % n
 
 
-def documents_of(docs: DataFrame, *columns: str) -> DataFrame:
-    """Only the columns an operator reads, so that clashing extra columns never meet its own."""
-    return docs.select(*columns)
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Column names like ``names`` that ``df`` does not have in any case."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
 def arrow_schema(fields: str) -> pa.Schema:

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from topicgauge.llm.common import Rows, arrow_schema, ascii_lower, rows_of
+from topicgauge.llm.common import Rows, arrow_schema, ascii_lower, fresh, rows_of
 from topicgauge.sources.storage import materialize
 
 #: Bytes of distinct normalised texts that a bucket holds before it is split.
@@ -196,7 +196,8 @@ def find_duplicates(docs: DataFrame, capacity: int = BUCKET_BYTES, hasher: Hash
 
 def drop_duplicates(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns."""
-    kept = find_duplicates(docs).filter("kept").select(F.col("doc_id").alias("_kept_id"), F.col("text_sha256").alias("_kept_text"))
-    keyed = docs.withColumn("_text", F.sha2(ascii_lower(F.coalesce("text", F.lit(""))).cast("binary"), 256))
-    same = F.col("doc_id").eqNullSafe(F.col("_kept_id")) & (F.col("_text") == F.col("_kept_text"))
-    return keyed.join(kept, same, "left_semi").dropDuplicates(["doc_id", "_text"]).select(*docs.columns)
+    digest, kept_id, kept_text = fresh(docs, "digest", "kept_id", "kept_text")
+    kept = find_duplicates(docs).filter("kept").select(F.col("doc_id").alias(kept_id), F.col("text_sha256").alias(kept_text))
+    keyed = docs.withColumn(digest, F.sha2(ascii_lower(F.coalesce("text", F.lit(""))).cast("binary"), 256))
+    same = F.col("doc_id").eqNullSafe(F.col(kept_id)) & (F.col(digest) == F.col(kept_text))
+    return keyed.join(kept, same, "left_semi").dropDuplicates(["doc_id", digest]).select(*docs.columns)

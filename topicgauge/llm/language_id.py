@@ -106,11 +106,11 @@ class Profiles:
 
 def learn(docs: DataFrame, may_learn: Column, per_language: int = TRAIN_PER_LANGUAGE) -> Profiles:
     """Profiles from ``text, lang`` of the rows that ``may_learn``."""
-    labelled = docs.filter(may_learn & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    labelled = docs.filter(may_learn & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang")
     # stored, so that Spark knows its size and hands it to the scan instead of shuffling texts by language
     counts = materialize(labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("_n")))
     draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20))
-    sample = labelled.select("doc_id", "text", "lang").join(counts, "lang").filter(draw * F.col("_n") < F.lit(per_language << 20)).select("lang", "text")
+    sample = labelled.join(counts, "lang").filter(draw * F.col("_n") < F.lit(per_language << 20)).select("lang", "text")
     schema = "lang string, code long, n long"
 
     def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

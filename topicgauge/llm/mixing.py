@@ -33,6 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from topicgauge.llm.common import fresh
 from topicgauge.sources.storage import materialize
 
 WEIGHTS = (5, 2, 1)
@@ -171,10 +172,12 @@ def mixture(
 
 def training_order(docs: DataFrame, **options) -> DataFrame:
     """The documents the mix takes, each as often as it is taken, with all their columns, in training order."""
-    nth = lambda size: F.row_number().over(W.partitionBy("doc_id").orderBy(size))
-    mix = mixture(docs, **options).withColumn("_nth", nth(F.col("size")))
-    mix = mix.filter("copies > 0").select(F.col("doc_id").alias("_doc"), "_nth", F.explode("positions").alias("_position"))
+    doc, row, mixed_row, position = fresh(docs, "doc", "row", "mixed_row", "position")
+    mix = mixture(docs, **options).withColumn(mixed_row, F.row_number().over(W.partitionBy("doc_id").orderBy("source_no", "size")))
+    mix = mix.filter("copies > 0").select(F.col("doc_id").alias(doc), mixed_row, F.explode("positions").alias(position))
+    # rows that repeat an id are told apart by source and size
     size = F.regexp_count(F.coalesce(F.col("text").cast("string"), F.lit("")), F.lit(WORD))
-    keyed = docs.select(*[F.col(c) for c in docs.columns], nth(size).alias("_row"))
-    joined = keyed.join(mix, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_row") == F.col("_nth")))
-    return joined.orderBy("_position", "doc_id").select(*docs.columns)
+    within = W.partitionBy("doc_id").orderBy(F.col("source").cast("string").asc_nulls_last(), size)
+    keyed = docs.select("*", F.row_number().over(within).alias(row))
+    joined = keyed.join(mix, F.col("doc_id").eqNullSafe(F.col(doc)) & (F.col(row) == F.col(mixed_row)))
+    return joined.orderBy(position, "doc_id").select(*docs.columns)

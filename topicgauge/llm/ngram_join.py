@@ -42,7 +42,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from topicgauge.llm.common import Rows, arrow_schema, grouped, rows_of
+from topicgauge.llm.common import Rows, arrow_schema, fresh, grouped, rows_of
 from topicgauge.llm.components import components
 from topicgauge.sources.storage import materialize
 
@@ -422,7 +422,7 @@ def near_duplicates(docs: DataFrame, width: int = WORDS, percent: int = PERCENT,
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stay: of each component the one with the smallest id."""
-    stays = near_duplicates(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_stays")).distinct()
-    kept = docs.join(stays, F.col("doc_id").eqNullSafe(F.col("_stays")), "left_semi")
-    return kept
+    """The rows of ``docs`` that stay: of each component the document with the smallest id, whose rows all stay."""
+    (stays,) = fresh(docs, "stays")
+    first = near_duplicates(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(stays))
+    return docs.join(first, F.col("doc_id").eqNullSafe(F.col(stays)), "left_semi")
