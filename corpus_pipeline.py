@@ -19,7 +19,7 @@ from topicgauge.sources.storage import materialize
 
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier, trained on all labels, accepts."""
-    weights = quality.train(quality.training_rows(docs, table(spark, sf_dir, "labels"), F.lit(True)))
+    weights = quality.train(quality.training_shards(docs, table(spark, sf_dir, "labels"), F.lit(True)))
     return quality.keep_good(docs, weights)
 
 

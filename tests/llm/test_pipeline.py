@@ -34,7 +34,7 @@ def test_stages_one_by_one(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     columns = docs.columns
     good = C.good_documents(spark, docs, SF)
-    weights = quality.train(quality.training_rows(docs, spark.read.parquet(f"{SF}/labels.parquet"), F.lit(True)))
+    weights = quality.train(quality.training_shards(docs, spark.read.parquet(f"{SF}/labels.parquet"), F.lit(True)))
     accepted = {r.doc_id for r in quality.score(docs, weights).collect() if r.score >= quality.THRESHOLD}
     assert good.columns == columns and {r.doc_id for r in good.collect()} == accepted
 

@@ -40,8 +40,8 @@ def test_updates_follow_the_formula():
 def test_held_out_accuracy(spark):
     docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
     fold = crc_bucket(F.col("doc_id"), 5)
-    rows = Q.training_rows(docs, labels, fold != 0, limit=1500)
-    assert rows.count() == 1500
+    rows = Q.training_shards(docs, labels, fold != 0, limit=1500)
+    assert sum(len(r.labels) for r in rows.collect()) == 1500
     weights = Q.train(rows)
     assert (weights == Q.train(rows)).all()
     held = labels.filter(fold == 0).select("doc_id", "quality")
@@ -56,15 +56,15 @@ def test_edge_cases(spark):
     labels = spark.createDataFrame(
         [(1, 0, 0), (4, 1, 0), (4, 0, 0), (4, 1, 1), (5, None, 0), (None, 1, 0), (7, 1, 0), (99, 1, 0)], "doc_id long, quality long, toxic long"
     )
-    rows = Q.training_rows(docs, labels, F.lit(True))
-    assert sorted(r.label for r in rows.collect()) == [0, 1, 1, 1]
+    rows = Q.training_shards(docs, labels, F.lit(True))
+    assert sorted(label for r in rows.collect() for label in r.labels) == [0, 1, 1, 1]
     scored = Q.score(docs, Q.train(rows)).collect()
     assert len(scored) == len(edge_rows()) and all(0 < r.score < 1 for r in scored)
 
 
 def test_nothing_to_learn_and_empty_table(spark):
     labels = spark.createDataFrame([], "doc_id long, quality long")
-    weights = Q.train(Q.training_rows(documents(spark, [(1, "a b")]), labels, F.lit(True)))
+    weights = Q.train(Q.training_shards(documents(spark, [(1, "a b")]), labels, F.lit(True)))
     assert [r.score for r in Q.score(documents(spark, [(1, "a b"), (2, None)]), weights).collect()] == [0.5, 0.5]
     assert Q.score(documents(spark, []), weights).collect() == []
 

@@ -33,7 +33,7 @@ from topicgauge.sources.storage import materialize
 
 BITS = 18
 #: Labelled rows that are learned from at most, chosen by hash of the id.
-TRAIN_ROWS = 16_000
+TRAIN_ROWS = 6_000
 SHARDS = 8
 ROUNDS = 8
 ALPHA, BETA, L1, L2 = 2.0, 1.0, 0.02, 0.0
@@ -146,8 +146,8 @@ def follow_leader(z: np.ndarray, n: np.ndarray, rows: Iterable[tuple[np.ndarray,
         np.add.at(n, index, squared)
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, may_learn: Column, limit: int = TRAIN_ROWS) -> DataFrame:
-    """``shard, turn, label, index, value`` of the sampled labelled documents, stored."""
+def training_shards(docs: DataFrame, labels: DataFrame, may_learn: Column, limit: int = TRAIN_ROWS) -> DataFrame:
+    """The features of the sampled labelled documents, stored: one packed row per shard, in training order."""
     label = (F.avg(F.col("quality").cast("double")) > 0.5).cast("int").alias("label")
     known = labels.filter(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & may_learn).groupBy("doc_id").agg(label)
     known = materialize(known.withColumn("turn", F.xxhash64("doc_id", F.lit(11))))
@@ -157,34 +157,47 @@ def training_rows(docs: DataFrame, labels: DataFrame, may_learn: Column, limit:
     drawn = drawn.orderBy("turn", "doc_id").limit(limit)
     # at most `limit` rows of three numbers
     sample = docs.select(F.col("doc_id"), F.col("text").cast("string")).join(F.broadcast(drawn), "doc_id")
-    schema = "shard int, turn long, label int, index binary, value binary"
+    featured, packed = "shard int, turn long, label int, entries int, index binary, value binary", "shard int, labels binary, entries binary, index binary, value binary"
 
     def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = Rows(arrow_schema(schema))
+        out = Rows(arrow_schema(featured))
         for turn, label_, text in rows_of(batches):
             index, value = features(text or b"")
-            row = (turn % SHARDS, turn, label_, index.astype("<i4").tobytes(), value.astype("<f4").tobytes())
-            yield from out.add(row, 8 * len(index))
+            yield from out.add((turn % SHARDS, turn, label_, len(index), index.astype("<i4").tobytes(), value.astype("<f4").tobytes()), 8 * len(index))
+        yield from out.flush()
+
+    def pack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = Rows(arrow_schema(packed))
+        for (shard,), run in grouped(rows_of(batches), 1):
+            row = (shard, np.array([r[2] for r in run], "i1").tobytes(), np.array([r[3] for r in run], "<i4").tobytes(), b"".join(r[4] for r in run), b"".join(r[5] for r in run))
+            yield from out.add(row, sum(map(len, row[1:])))
         yield from out.flush()
 
-    return materialize(sample.select("turn", "label", "text").mapInArrow(scan, schema))
+    rows = sample.select("turn", "label", "text").mapInArrow(scan, featured)
+    return materialize(rows.repartitionById(SHARDS, "shard").sortWithinPartitions("turn", "index").mapInArrow(pack, packed))
+
+
+def rows_of_shard(labels: bytes, entries: bytes, index: bytes, value: bytes) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+    indices, values, at = np.frombuffer(index, "<i4"), np.frombuffer(value, "<f4").astype(float), 0
+    for label, n in zip(np.frombuffer(labels, "i1").tolist(), np.frombuffer(entries, "<i4").tolist()):
+        yield indices[at : at + n], values[at : at + n], label
+        at += n
 
 
-def train(rows: DataFrame, rounds: int = ROUNDS) -> np.ndarray:
+def train(shards: DataFrame, rounds: int = ROUNDS) -> np.ndarray:
     """The weights: one number per feature."""
-    spark = rows.sparkSession
+    spark = shards.sparkSession
     size = 1 << BITS
     z, n = np.zeros(size), np.zeros(size)
     schema = "shard int, z binary, n binary"
-    shards = rows.repartition(SHARDS, "shard").sortWithinPartitions("shard", "turn")
     for _ in range(rounds):
         state = spark.sparkContext.broadcast((z, n))
 
         def shard_round(batches: Iterable[pa.RecordBatch], state=state) -> Iterator[pa.RecordBatch]:
             out = Rows(arrow_schema(schema))
-            for (shard,), run in grouped(rows_of(batches), 1):
+            for shard, *packed in rows_of(batches):
                 own_z, own_n = state.value[0].copy(), state.value[1].copy()
-                follow_leader(own_z, own_n, ((np.frombuffer(i, "<i4"), np.frombuffer(v, "<f4").astype(float), y) for _, _, y, i, v in run))
+                follow_leader(own_z, own_n, rows_of_shard(*packed))
                 yield from out.add((shard, own_z.tobytes(), own_n.tobytes()), 16 * size)
             yield from out.flush()
 

@@ -80,7 +80,7 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     fold = crc_bucket(F.col("doc_id"), 5)
-    weights = quality.train(quality.training_rows(docs, table(spark, sf_dir, "labels"), fold != 0))
+    weights = quality.train(quality.training_shards(docs, table(spark, sf_dir, "labels"), fold != 0))
     scored = quality.score(docs.select("doc_id", "text"), weights)
     return scored.select(
         "doc_id", F.coalesce(fold == 0, F.lit(False)).alias("held_out"), "score",
