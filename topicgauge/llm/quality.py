@@ -106,11 +106,13 @@ def features(text: bytes) -> tuple[np.ndarray, np.ndarray]:
     words = text.split()
     counts: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in range(5)]
     for at in range(0, len(words), STRETCH):
-        part = words[at : at + STRETCH + 2]
-        own = min(STRETCH, len(part))
+        lead = min(at, 1)  # the word before tells whether the first one repeats it
+        part = words[at - lead : at + STRETCH + 2]
+        own = min(STRETCH, len(part) - lead)
         pair = np.frombuffer(b"".join(map(_words.__getitem__, part)), "<u8").reshape(-1, 2)
         word, form = pair[:, 0], pair[:, 1].copy()
         form[1:][word[1:] == word[:-1]] = _AGAIN
+        word, form = word[lead:], form[lead:]
         for kind, grams in enumerate(([word], [word] * 2, [form], [form] * 2, [form] * 3)):
             found = (_mixed(grams, kind)[:own] >> np.uint64(64 - BITS)).astype(np.int32)
             if len(found):
