@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from topicgauge.llm.common import Rows, arrow_schema, grouped, rows_of
 from topicgauge.sources.storage import materialize
 
-BITS = 18
+BITS = 16
 #: Labelled rows that are learned from at most, chosen by hash of the id.
 TRAIN_ROWS = 6_000
 SHARDS = 8
@@ -200,14 +200,14 @@ def train(shards: DataFrame, rounds: int = ROUNDS) -> np.ndarray:
             for shard, *packed in rows_of(batches):
                 own_z, own_n = state.value[0].copy(), state.value[1].copy()
                 follow_leader(own_z, own_n, rows_of_shard(*packed))
-                yield from out.add((shard, own_z.tobytes(), own_n.tobytes()), 16 * size)
+                yield from out.add((shard, own_z.astype("<f4").tobytes(), own_n.astype("<f4").tobytes()), 8 * size)
             yield from out.flush()
 
         # SHARDS states of a fixed size
         states = sorted(shards.mapInArrow(shard_round, schema).collect())
         if states:
-            z = np.mean([np.frombuffer(s[1]) for s in states], axis=0)
-            n = np.mean([np.frombuffer(s[2]) for s in states], axis=0)
+            z = np.mean([np.frombuffer(s[1], "<f4") for s in states], axis=0, dtype=float)
+            n = np.mean([np.frombuffer(s[2], "<f4") for s in states], axis=0, dtype=float)
         state.destroy()
     return weights_of(z, n).astype(np.float32)
 
