@@ -47,7 +47,7 @@ DECODE_LEAF = 1 << 18
 #: Stretches up to this many bytes keep their tokens, because words share their halves.
 SHARED_BYTES = 24
 #: Entries of each of a worker's memories of encoded pieces, halves, windows and borders.
-MEMO_ENTRIES = 300_000
+MEMO_ENTRIES = 200_000
 
 ENCODED = "doc_id long, ids binary"
 DECODED = "doc_id long, ids binary, decoded binary"

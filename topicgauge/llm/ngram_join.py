@@ -50,7 +50,7 @@ from topicgauge.sources.storage import materialize
 WORDS = 5
 PERCENT = 75
 #: Non-zeros of a row block; a longer text is a block of its own.
-BLOCK_ENTRIES = 1 << 21
+BLOCK_ENTRIES = 1 << 20
 BLOCK_ROWS = (1 << 16) - 2
 #: An n-gram in more than this share of a block's rows, and in HOT_ROWS at least, is folded.
 HOT_SHARE = 1 / 64

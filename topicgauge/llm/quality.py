@@ -39,7 +39,7 @@ ROUNDS = 8
 ALPHA, BETA, L1, L2 = 2.0, 1.0, 0.02, 0.0
 THRESHOLD = 0.3
 #: Entries of a worker's memory of words; it starts anew when full.
-WORDS_HELD = 300_000
+WORDS_HELD = 150_000
 #: Words of a text that are turned into features at a time.
 STRETCH = 1 << 18
 
