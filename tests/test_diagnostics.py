@@ -47,20 +47,22 @@ def test_short_query_bands(spark):
 
 
 @pytest.mark.parametrize("descending", [True, False])
-def test_hot_reports_rank_like_others(spark, descending):
+def test_hot_reports_rank_like_others(spark, monkeypatch, descending):
     rng = random.Random(3)
     levels = [-1.0, -0.5, -0.0, 0.0, 1 / 3, 0.2500001, 0.25, 1.0]
     reports = {d: [rng.choice(levels) if rng.random() < 0.5 else rng.uniform(-1, 1) for _ in range(60 * d)] for d in (1, 2, 3)}
     t = scored(spark, reports)
     key = ("doc_id", "chunk_index", "similarity_rank", "report_chunks", "report_min", "report_max")
 
-    def ranks(limit):
-        return sorted(map(tuple, ranking.rank_chunks(t, limit, descending).select(*key).collect()))
+    def ranks(pre_chunked):
+        return sorted(map(tuple, ranking.rank_chunks(t, pre_chunked, descending).select(*key).collect()))
 
-    assert ranks(None) == ranks(100) == ranks(0)
+    assert ranks(False) == ranks(True)
+    monkeypatch.setattr(ranking, "_BLOCK_ROWS", 5)  # cells of ties are split further
+    assert ranks(False) == ranks(True)
     best = sorted(range(180), key=lambda i: -reports[3][i] if descending else reports[3][i])
     want = {i: n + 1 for n, i in enumerate(best)}
-    assert {r[1]: r[2] for r in ranks(0) if r[0] == 3} == want
+    assert {r[1]: r[2] for r in ranks(True) if r[0] == 3} == want
 
 
 def test_positions_without_a_group_window(spark, monkeypatch):
@@ -101,11 +103,10 @@ def test_sorted_views(table):
         D.sorted_view(table, "by_length")
 
 
-def test_sequences_are_segmented(table, monkeypatch):
+def test_sequences_are_segmented(table):
     rows = D.sequences(D.diagnose(table)).filter("doc_id = 1").collect()
     assert [(r.segment, r.similarities) for r in rows] == [(0, MIXED)]
-    monkeypatch.setattr(D, "SEQUENCE_ROWS", 3)
-    rows = D.sequences(D.diagnose(table)).filter("doc_id = 1").orderBy("segment").collect()
+    rows = D.sequences(D.diagnose(table), segment_rows=3).filter("doc_id = 1").orderBy("segment").collect()
     assert [r.similarities for r in rows] == [MIXED[:3], MIXED[3:]]
 
 
@@ -135,3 +136,26 @@ def test_coverage_labels(spark):
     t = scored(spark, {1: [0.9] * 4 + [0.1], 2: [0.7], 3: [0.7, 0.7, 0.5], 4: [0.1]})
     got = {d: (r.coverage_label, r.coverage_rounded) for d, r in by_doc(D.coverage(t)).items()}
     assert got == {1: ("Strong", 80), 2: ("Moderate", 60), 3: ("Weak", 47), 4: ("Low", 0)}
+
+
+def test_previews_are_as_long_as_what_was_kept(spark):
+    chunks = spark.createDataFrame([(1, 0, "word " * 100)], "doc_id long, chunk_index int, text string")
+    long = D.with_text_facts(chunks, lead_chars=300).select(D.preview(300).alias("p")).first().p
+    assert long == ("word " * 60).rstrip() + "..."
+    with pytest.raises(Exception, match="lead_chars=300"):
+        D.with_text_facts(chunks).select(D.preview(300)).collect()
+
+
+def test_best_chunk_is_the_first_of_the_most_similar(spark):
+    t = scored(spark, {1: [0.1, 0.7, 0.7, -0.2], 2: [-0.5, -0.25, -0.25], 3: [0.0, 0.0], 4: [1.0, -1.0, 1.0]})
+    assert {d: r.max_similarity_chunk_index for d, r in by_doc(D.compare(t)).items()} == {1: 1, 2: 1, 3: 0, 4: 0}
+    assert {d: r.best_chunk_index for d, r in by_doc(D.report_numbers(t)).items()} == {1: 1, 2: 1, 3: 0, 4: 0}
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_reports_are_aggregated_by_hash(table):
+    for df in (D.compare(table), D.report_numbers(table), D.coverage(table)):
+        assert "HashAggregate" in _plan(df) and "SortAggregate" not in _plan(df)

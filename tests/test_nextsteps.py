@@ -58,8 +58,10 @@ def test_steps(spark):
         targets.setdefault((s.doc_id, s.step), []).append(s.chunk_index)
     assert sorted(targets[1, "reduce_drift"]) == [0, 1, 3] and sorted(targets[3, "strengthen_weak"]) == [1, 2]
     assert (2, "front_load") not in targets
-    assert all(s.title and s.why and s.how for s in N.with_wording(steps).collect())
-    assert by_doc(N.step_report(r))[2].summary.startswith("The topic is well covered")
+    assert all(s.title and s.why and s.how for s in steps.collect())
+    weak = next(s for s in steps.collect() if (s.doc_id, s.step) == (3, "strengthen_weak"))
+    assert weak.why == "2 chunks score from 0.45 to 0.65."
+    assert by_doc(N.step_report(r))[2].summary.startswith("Coverage is 80 or more")
     assert N.next_steps(r, max_steps=2).filter("doc_id = 1").count() == 2
 
 

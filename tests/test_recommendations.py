@@ -85,10 +85,10 @@ def test_report(parts):
 
 def test_wording_and_priority_filter(parts):
     recs = R.recommendations(parts[2])
-    worded = R.with_wording(recs, parts[2]).collect()
+    worded = recs.collect()
     assert all(r.what and r.why and r.how for r in worded)
     section = next(r for r in worded if r.rec_type == "restructure_section")
-    assert section.what == "Section 'Weather' scores only 0"
+    assert section.what == "1 sections score below 40, the first of them 'Weather' with 0"
     weak = next(r for r in worded if r.doc_id == 4)
-    assert weak.what == "3 chunk(s) sit in the weak band 0.45-0.65"
+    assert weak.what == "3 chunks lie between 0.45 and 0.65"
     assert {r.priority for r in R.by_priority(recs, "low").collect()} == {"low"}

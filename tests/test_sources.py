@@ -3,6 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from topicgauge.sources.readers import make_queries
 from topicgauge import HashedTerms, analyze, compare_documents, score_documents
 from topicgauge.operators import diagnostics as D
 from topicgauge.sources import readers, storage
@@ -52,10 +53,59 @@ def test_materialize_uses_the_named_folder(spark, tmp_path_factory):
     assert all(folder in f for f in kept.inputFiles())
 
 
-def test_spread_only_small_inputs(spark):
-    assert readers.spread(spark.range(10).coalesce(1), "id").rdd.getNumPartitions() == 8
-    wide = spark.range(10).repartition(9)
-    assert readers.spread(wide, "id") is wide
+def test_spread_by_a_given_number(spark):
+    one = spark.range(10).coalesce(1)
+    assert readers.spread(one, 0, "id") is one
+    assert readers.spread(one, 6, "id").rdd.getNumPartitions() == 6
+    assert readers.input_partitions(spark) == 0 and readers.input_partitions(spark, 5) == 5
+
+
+def test_a_cluster_must_name_its_shared_folder():
+    class Cluster:
+        class conf:
+            get = staticmethod(lambda *_: None)
+
+        class sparkContext:
+            master = "local-cluster[2,1,1024]"
+            getCheckpointDir = staticmethod(lambda: None)
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        storage.checkpoint_folder(Cluster)
+
+
+def test_no_document_disappears(spark):
+    """Every asked pair has a report or an empty one; every faulty row has a reason."""
+    docs = spark.createDataFrame(
+        [(1, TEXT, "a", "flat"), (2, "<h2></h2>", "a", "html"), (3, None, "a", "flat"), (4, TEXT, "b", "flat"), (5, TEXT, "a", "odd"), (6, " ", "a", "flat"),
+         (7, TEXT, "a", None)],
+        "doc_id long, text string, scope string, strategy string",
+    )
+    queries = make_queries(spark, [(1, "widgets and tools", "a", None), (2, None, "a", None), (3, "alone here", "c", None)])
+    a = analyze(docs, queries, HashedTerms(16), F.col("strategy"))
+    assert {r.doc_id for r in a.coverage.collect()} == {1}
+    reasons = {r.doc_id: r.reason for r in a.rejects.collect() if r.doc_id}
+    assert reasons == {
+        2: "no chunks", 3: "document is null", 4: "no query asks for it", 5: "unknown strategy", 6: "document is blank", 7: "unknown strategy",
+    }
+    assert {r.query_id: r.reason for r in a.rejects.collect() if r.query_id} == {2: "query is null", 3: "no document to ask"}
+    empty = {r.doc_id: (r.coverage_score, r.coverage_label, r.reason) for r in a.empty_reports.collect()}
+    assert empty == {d: (0.0, "Low", reasons[d]) for d in (2, 3, 5, 6, 7)}
+
+
+def test_scored_rows_hold_no_text(spark, queries):
+    docs = spark.createDataFrame([(1, TEXT, "all")], "doc_id long, text string, scope string")
+    scored = analyze(docs, queries, HashedTerms(16)).scored
+    assert [c for c, t in scored.dtypes if t == "string"] == ["interpretation"]
+
+
+def test_pairs_give_the_same_reports_as_their_scope(spark, queries):
+    docs = spark.createDataFrame([(i, f"{TEXT} {i}", "all") for i in range(3)], "doc_id long, text string, scope string")
+    whole = analyze(docs, queries, HashedTerms(16))
+    pairs = whole.asked
+    by_pairs = analyze(docs, queries, HashedTerms(16), pairs=pairs)
+    salted = analyze(docs, queries, HashedTerms(16), salts=3)
+    rows = lambda a: sorted(map(repr, a.next_steps.collect()))
+    assert rows(whole) == rows(by_pairs) == rows(salted) and len(rows(whole)) > 0
 
 
 def test_analysis_is_consistent(spark, queries):

@@ -104,3 +104,46 @@ def test_bands_follow_query_length(spark):
     q = make_queries(spark, [(1, "one two", "all", None), (2, "one two three", "all", None)])
     got = {r.query_id: r.bands.strong for r in similarity.prepare_queries(q, HashedTerms(16)).collect()}
     assert got == {1: 0.72, 2: 0.80}
+
+
+BAD = {
+    "null vector": None, "dimension mismatch": [1.0], "null element": [1.0, None], "not a number": [float("nan"), 0.0], "zero-length vector": [],
+}
+
+
+def test_bad_vectors_have_no_similarity(spark):
+    rows = [(1, i, "all", v) for i, v in enumerate([*BAD.values(), [3.0, 0.0], [0.0, 0.0], [float("inf"), 1.0]])]
+    chunks = spark.createDataFrame(rows, "doc_id long, chunk_index int, scope string, vector array<double>").withColumn("norm", V.norm(F.col("vector")))
+    queries = spark.createDataFrame([(1, "all", [1.0, 0.0], 1.0)], "query_id long, scope string, query_vector array<double>, query_norm double")
+    queries = queries.withColumn("bands", similarity.B.band_struct({"strong": 0.8, "moderate": 0.65, "weak": 0.45}))
+    got = {r.chunk_index: (r.similarity, r.interpretation) for r in similarity.score(chunks, queries).collect()}
+    assert got == {5: (1.0, "Strong"), 6: (0.0, "Off-topic")}
+    why = {r.chunk_index: r.reason for r in similarity.score_rejects(chunks, queries).collect()}
+    assert why == {**dict(enumerate(BAD)), 7: "not a number"}
+    assumed = {r.chunk_index: r.similarity for r in similarity.score(chunks, queries, assume_normalized=True).collect()}
+    assert assumed == {5: 1.0, 6: 0.0, 7: 1.0}
+
+
+def test_cosine_functions_reject_alike(spark):
+    rows = [(k, v) for k, v in BAD.items()]
+    df = spark.createDataFrame(rows, "kind string, v array<double>")
+    good = F.array(F.lit(1.0), F.lit(0.0))
+    for r in df.select("kind", V.cosine_reject_reason(good, F.col("v")).alias("why"), V.cosine(good, F.col("v")).alias("s"), V.cosine_normalized(F.col("v"), good).alias("n")).collect():
+        assert (r.why, r.s, r.n) == (r.kind, None, None)
+
+
+def test_vector_tables_are_scaled_unless_told(spark):
+    table = spark.createDataFrame([(1, [3.0, 4.0])], "vec_id int, embedding array<float>")
+    keys = table.select("vec_id").union(spark.createDataFrame([(9,)], "vec_id int"))
+    store = PrecomputedVectors(table, ("vec_id",), 2)
+    assert [r.norm for r in store.embed(keys).collect()] == [5.0]
+    assert [r.norm for r in PrecomputedVectors(table, ("vec_id",), 2, normalized=True).embed(keys).collect()] == [1.0]
+    assert [(r.vec_id, r.reason) for r in embedding.without_vector(keys, store).collect()] == [(9, "no vector")]
+
+
+def test_filters_do_not_repeat_the_product(spark):
+    chunks = spark.createDataFrame([(1, 0, "all", "alpha beta")], "doc_id long, chunk_index int, scope string, text string")
+    e = HashedTerms(16)
+    scored = similarity.score(embedding.embed(chunks, e), similarity.prepare_queries(make_queries(spark, [(1, "alpha", "all", None)]), e))
+    plan = scored.filter(F.col("similarity") > 0.5)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("zip_with") == 1

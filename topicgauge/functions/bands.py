@@ -21,9 +21,11 @@ def bands_for_query(query: Column) -> Column:
 
 
 def interpret(similarity: Column, bands: Column) -> Column:
+    """The band's label; null where there is no similarity."""
     strong, moderate, weak, off = S.BAND_LABELS
     return (
-        F.when(similarity >= bands["strong"], strong)
+        F.when(similarity.isNull(), F.lit(None).cast("string"))
+        .when(similarity >= bands["strong"], strong)
         .when(similarity >= bands["moderate"], moderate)
         .when(similarity >= bands["weak"], weak)
         .otherwise(off)

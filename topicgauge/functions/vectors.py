@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -20,21 +22,39 @@ def l2_normalize(a: Column) -> Column:
     return F.when(length > 0, F.transform(a, lambda x: x / length))
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, however often ``use`` names it."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def clamp(c: Column) -> Column:
-    return F.greatest(F.lit(-1.0), F.least(F.lit(1.0), c))
+    """Into -1 .. 1; what is null or not a number has no place there and gives null."""
+    inside = lambda x: F.when(x.isNotNull() & ~F.isnan(x), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), x)))
+    return bound(c, inside)
+
+
+def vector_reject_reason(a: Column) -> Column:
+    """Why a single vector cannot be compared; null where it can."""
+    return (
+        F.when(a.isNull(), "null vector")
+        .when(F.size(a) == 0, "zero-length vector")
+        .when(F.exists(a, lambda x: x.isNull()), "null element")
+        .when(F.exists(a, lambda x: F.isnan(x) | (F.abs(x) == float("inf"))), "not a number")
+    )
+
+
+def sizes_differ(a: Column, b: Column) -> Column:
+    return F.when(F.size(a) != F.size(b), "dimension mismatch")
 
 
 def cosine_normalized(a: Column, b: Column) -> Column:
-    """Unit vectors: the dot product alone. Null where the sizes differ."""
+    """Unit vectors: the dot product alone. Null for vectors that cannot be compared."""
     return F.when(F.size(a) == F.size(b), clamp(dot(a, b)))
 
 
 def cosine_reject_reason(a: Column, b: Column) -> Column:
-    return (
-        F.when(F.size(a) != F.size(b), "dimension mismatch")
-        .when(F.size(a) == 0, "zero-length vector")
-        .when((norm(a) == 0) | (norm(b) == 0), "zero-magnitude vector")
-    )
+    zero = F.when((norm(a) == 0) | (norm(b) == 0), "zero-magnitude vector")
+    return F.coalesce(vector_reject_reason(a), vector_reject_reason(b), sizes_differ(a, b), zero)
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -53,7 +73,20 @@ def term_buckets(text: Column, dim: int) -> Column:
 
 
 def bucket_counts(buckets: Column, dim: int) -> Column:
-    """Term count per bucket: whole numbers kept as doubles, so dots and norms are exact."""
-    total = F.size(buckets)
+    """Term count per bucket: whole numbers kept as doubles, so dots and norms are exact.
+
+    The buckets are sorted once with every slot added once; a slot's count is then the distance
+    between the places of its neighbours, found in one pass over the sorted list.
+    """
     slots = F.sequence(F.lit(0), F.lit(dim - 1))
-    return F.transform(slots, lambda i: (total - F.size(F.array_remove(buckets, i))).cast("double"))
+
+    def starts(ordered: Column) -> Column:
+        end = F.size(ordered)
+        return F.filter(
+            F.sequence(F.lit(0), end), lambda i: (i == 0) | (i == end) | (F.get(ordered, i) != F.get(ordered, i - 1))
+        )
+
+    def counts(places: Column) -> Column:
+        return F.transform(slots, lambda i: (F.get(places, i + 1) - F.get(places, i) - 1).cast("double"))
+
+    return bound(bound(F.array_sort(F.concat(buckets, slots)), starts), counts)

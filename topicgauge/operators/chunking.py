@@ -287,6 +287,13 @@ def unchunkable(chunked: DataFrame) -> DataFrame:
     return chunked.filter(empty).select("doc_id", reason.alias("reason"))
 
 
+def unknown_strategies(documents: DataFrame, strategy: str | Column) -> DataFrame:
+    """Documents whose row names no known strategy, with the reason."""
+    named = F.lit(S.check_strategy(strategy)) if isinstance(strategy, str) else strategy
+    unknown = named.isNull() | ~named.isin(*S.STRATEGIES)
+    return documents.filter(unknown).select("doc_id", F.lit("unknown strategy").alias("reason"))
+
+
 def sections(documents: DataFrame, fmt: str) -> DataFrame:
     """Section rows as the parsers see them, before levels become chunks."""
     usable = ~X.is_blank(F.col("text"))

@@ -10,10 +10,6 @@ from topicgauge.functions import bands as B
 from topicgauge.functions import text as X
 from topicgauge.operators.ranking import REPORT, rank_chunks, top_n
 
-#: Rows per array when a whole report is returned as a sequence.
-SEQUENCE_ROWS = 1 << 16
-
-
 def position_percent() -> Column:
     """Needs no window: a document's chunk count is known when it is cut."""
     n = F.col("chunk_count")
@@ -23,21 +19,34 @@ def position_percent() -> Column:
 # --- chunk level ----------------------------------------------------------------
 
 
-def with_text_facts(chunks: DataFrame) -> DataFrame:
+def with_text_facts(chunks: DataFrame, lead_chars: int = S.EXAMPLE_CHARS) -> DataFrame:
     """What later steps need of the text, so that the text itself is neither shuffled nor stored.
 
-    Every preview is cut from ``lead_text``, the beginning of the chunk.
+    Every preview is cut from ``lead_text``, the first ``lead_chars`` characters of the chunk.
     """
     t = F.col("text")
     return chunks.withColumns(
-        {"lead_text": F.substring(t, 1, S.EXAMPLE_CHARS), "char_count": F.length(t), "word_count": X.word_count(t)}
+        {"lead_text": F.substring(t, 1, lead_chars), "char_count": F.length(t), "word_count": X.word_count(t)}
     )
 
 
 def preview(chars: int) -> Column:
-    if chars > S.EXAMPLE_CHARS:
-        raise ValueError(f"previews are at most {S.EXAMPLE_CHARS} characters long")
-    return X.preview(F.col("lead_text"), chars, F.col("char_count"))
+    """A preview of any length up to the ``lead_chars`` that were kept; asking for more fails the job."""
+    lead, size = F.col("lead_text"), F.col("char_count")
+    enough = F.length(lead) >= F.least(F.lit(chars), size)
+    short = F.raise_error(F.lit(f"a preview of {chars} characters needs lead_chars={chars}")).cast("string")
+    return F.when(enough | lead.isNull(), X.preview(lead, chars, size)).otherwise(short)
+
+
+def with_lead(rows: DataFrame, texts: DataFrame | None) -> DataFrame:
+    """Rows beside the beginning of their chunk: their own, or looked up in a table of chunk texts.
+
+    Scored rows are kept without text, because they are repeated once per query.
+    """
+    if texts is None:
+        return rows
+    found = [c for c in ("lead_text", "char_count", "level", "heading", "depth") if c in texts.columns]
+    return rows.drop(*found).join(texts.select("doc_id", "chunk_index", *found), ["doc_id", "chunk_index"], "left")
 
 
 def normalized_score() -> Column:
@@ -48,9 +57,10 @@ def normalized_score() -> Column:
 def chunk_diagnostics(ranked: DataFrame, preview_chars: int = S.PREVIEW_CHARS) -> DataFrame:
     """One wide row per scored chunk, from :func:`rank_chunks` output."""
     s, bands = F.col("similarity"), F.col("bands")
+    shown = {} if "text_preview" in ranked.columns else {"text_preview": preview(preview_chars)}
     return ranked.withColumns(
         {
-            "text_preview": preview(preview_chars),
+            **shown,
             "normalized_score": normalized_score(),
             "position_percent": position_percent(),
             "is_max": s == F.col("report_max"),
@@ -62,8 +72,15 @@ def chunk_diagnostics(ranked: DataFrame, preview_chars: int = S.PREVIEW_CHARS) -
     ).drop("report_min", "report_max", "report_chunks", "lead_text")
 
 
-def diagnose(scored: DataFrame, hot_group_rows: int | None = None) -> DataFrame:
-    return chunk_diagnostics(rank_chunks(scored, hot_group_rows))
+def diagnose(
+    scored: DataFrame, pre_chunked: bool = False, texts: DataFrame | None = None, preview_chars: int = S.PREVIEW_CHARS
+) -> DataFrame:
+    """Ranks and flags of all chunks. Rows with text are cut to their preview before they are shuffled."""
+    if texts is not None:
+        return chunk_diagnostics(with_lead(rank_chunks(scored, pre_chunked), texts), preview_chars)
+    if "lead_text" in scored.columns:
+        scored = scored.withColumn("text_preview", preview(preview_chars)).drop("lead_text")
+    return chunk_diagnostics(rank_chunks(scored, pre_chunked), preview_chars)
 
 
 # --- report level -----------------------------------------------------------------
@@ -136,61 +153,110 @@ def diagnostic_summary(ranked: DataFrame) -> DataFrame:
     )
 
 
-def report_facts(scored: DataFrame) -> DataFrame:
+#: Similarities as whole numbers: 2^53 steps per unit keep every double from 0.5 to 1 apart.
+_STEPS = float(1 << 53)
+_INDICES = 1 << 31
+
+
+def _best_key() -> Column:
+    """Similarity and chunk index as one number, whose maximum is the first of the most similar chunks.
+
+    Unlike a struct it has a fixed width, so the aggregation that takes its maximum is hashed.
+    """
+    steps = F.floor(F.col("similarity") * _STEPS).cast("decimal(17,0)")
+    return steps * F.lit(_INDICES).cast("decimal(10,0)") - F.col("chunk_index").cast("decimal(10,0)")
+
+
+def _best_index(key: Column) -> Column:
+    return F.pmod(-key, F.lit(_INDICES).cast("decimal(10,0)")).cast("int")
+
+
+_BAND_NAMES = ("strong", "moderate", "weak")
+
+
+def _band_values() -> list[Column]:
+    """The bands of a report, number by number: a struct could not be aggregated by hash."""
+    return [F.max(F.col("bands")[b]).alias(f"_{b}") for b in _BAND_NAMES]
+
+
+def _band_struct() -> Column:
+    return F.struct(*[F.col(f"_{b}").alias(b) for b in _BAND_NAMES])
+
+
+def is_section_row(scored: DataFrame) -> Column:
+    """Whether a chunk belongs to a hierarchy; slim rows carry the flag instead of the level."""
+    return F.col("in_hierarchy") if "in_hierarchy" in scored.columns else F.col("level") != "flat"
+
+
+def report_facts(scored: DataFrame, texts: DataFrame | None = None) -> DataFrame:
+    """:func:`report_numbers` with the text of the best chunk, looked up by key in ``texts`` or ``scored`` itself."""
+    return with_example(report_numbers(scored), scored if texts is None else texts)
+
+
+def report_numbers(scored: DataFrame) -> DataFrame:
     """All report-level numbers the recommendations, next steps and readiness score use.
 
-    One aggregation: the rows of a report leave a document together, so the partial step
-    reduces them to about one row before anything is shuffled.
+    One aggregation by hash over numbers: the rows of a report leave a document together, so the
+    partial step reduces them to about one row before anything is shuffled.
     """
-    s, idx, n = F.col("similarity"), F.col("chunk_index"), F.col("chunk_count")
+    s, idx = F.col("similarity"), F.col("chunk_index")
     band = position_percent() <= 0.2
-    best = F.max(F.struct(s.alias("s"), (-idx).alias("i"), preview(S.EXAMPLE_CHARS).alias("t")))
     facts = scored.groupBy(*REPORT).agg(
         *_basic(),
-        best.alias("_best"),
+        F.max(_best_key()).alias("_best"),
         F.count_if(band).alias("_band_n"),
         F.sum(F.when(band, s)).alias("_band_sum"),
         F.count_if(idx < 3).alias("_head_n"),
         F.sum(F.when(idx < 3, s)).alias("_head_sum"),
-        F.max("bands").alias("bands"),
-        F.bool_or(F.col("level") != "flat").alias("is_hierarchical"),
+        *_band_values(),
+        F.bool_or(is_section_row(scored)).alias("is_hierarchical"),
     )
     total = F.col("total_chunks")
-    best_index = -F.col("_best.i")
+    best_index = F.col("best_chunk_index")
     wide_band = F.col("_band_n") >= 2
     return with_coverage(
-        facts.withColumns(
+        facts.withColumn("best_chunk_index", _best_index(F.col("_best")))
+        .withColumns(
             {
-                "best_chunk_index": best_index,
                 "best_position": F.when(total > 1, best_index / (total - 1)).otherwise(F.lit(0.0)),
-                "best_example": F.when(F.col("chunks_strong") > 0, F.col("_best.t")),
                 "intro_chunks": F.when(wide_band, F.col("_band_n")).otherwise(F.col("_head_n")).cast("int"),
                 "intro_similarity": F.when(wide_band, F.col("_band_sum") / F.col("_band_n")).otherwise(
                     F.col("_head_sum") / F.col("_head_n")
                 ),
+                "bands": _band_struct(),
             }
-        ).drop("_best", "_band_n", "_band_sum", "_head_n", "_head_sum")
+        )
+        .drop("_best", "_band_n", "_band_sum", "_head_n", "_head_sum", *[f"_{b}" for b in _BAND_NAMES])
+    )
+
+
+def with_example(facts: DataFrame, texts: DataFrame) -> DataFrame:
+    """Add ``best_example``, the beginning of the best chunk, to reports that have a strong chunk."""
+    keys = [k for k in REPORT if k in texts.columns]
+    example = texts.select(
+        *keys, F.col("chunk_index").alias("best_chunk_index"), preview(S.EXAMPLE_CHARS).alias("best_example")
     )
+    strong = F.col("chunks_strong") > 0
+    named = facts.filter(strong).select(*REPORT, "best_chunk_index").join(example, [*keys, "best_chunk_index"])
+    return facts.join(named.drop("best_chunk_index"), list(REPORT), "left")
 
 
 def compare(scored: DataFrame) -> DataFrame:
     """One comparison row per (query, document)."""
     s = F.col("similarity")
-    best = F.max(F.struct(s.alias("s"), (-F.col("chunk_index")).alias("i")))
     return (
         scored.groupBy(*REPORT)
         .agg(
             F.max("document_char_count").alias("document_char_count"),
             F.sum("token_count").cast("int").alias("document_token_count"),
             F.count("*").cast("int").alias("chunk_count"),
-            best.alias("_best"),
+            F.max(_best_key()).alias("_best"),
+            F.max(s).alias("max_similarity"),
             F.avg(s).alias("avg_similarity"),
-            F.max("bands").alias("bands"),
-        )
-        .withColumns(
-            {"max_similarity": F.col("_best.s"), "max_similarity_chunk_index": -F.col("_best.i")}
+            *_band_values(),
         )
-        .drop("_best")
+        .withColumns({"max_similarity_chunk_index": _best_index(F.col("_best")), "bands": _band_struct()})
+        .drop("_best", *[f"_{b}" for b in _BAND_NAMES])
     )
 
 
@@ -259,7 +325,7 @@ def chunks_at_level(scored: DataFrame, level: str) -> DataFrame:
 
 
 def hierarchical_reports(scored: DataFrame) -> DataFrame:
-    return scored.groupBy(*REPORT).agg(F.bool_or(F.col("level") != "flat").alias("is_hierarchical"))
+    return scored.groupBy(*REPORT).agg(F.bool_or(is_section_row(scored)).alias("is_hierarchical"))
 
 
 def heatmap(diagnostics: DataFrame) -> DataFrame:
@@ -272,13 +338,13 @@ def heatmap(diagnostics: DataFrame) -> DataFrame:
     )
 
 
-def sequences(diagnostics: DataFrame) -> DataFrame:
-    """Similarities and normalized scores in document order.
+def sequences(diagnostics: DataFrame, segment_rows: int = 1 << 16) -> DataFrame:
+    """Similarities and normalized scores in document order: one row per report and segment.
 
-    A report is one row unless it has more than :data:`SEQUENCE_ROWS` chunks; then it is
-    continued in further segments, so no array grows without bound.
+    A segment holds the chunks of ``segment_rows`` consecutive positions, so no array grows without
+    bound, however long a report is.
     """
-    segment = F.floor(F.col("chunk_index") / SEQUENCE_ROWS).cast("int").alias("segment")
+    segment = F.floor(F.col("chunk_index") / segment_rows).cast("int").alias("segment")
     entry = F.struct("chunk_index", "similarity", "normalized_score")
     ordered = diagnostics.groupBy(*REPORT, segment).agg(F.array_sort(F.collect_list(entry)).alias("_e"))
     return ordered.select(

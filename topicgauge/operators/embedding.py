@@ -39,6 +39,14 @@ def unembeddable(df: DataFrame, text: str = "text") -> DataFrame:
     return df.filter(blank).withColumn("reason", F.lit("blank text"))
 
 
+def without_vector(df: DataFrame, embedder: Embedder) -> DataFrame:
+    """Rows that a vector table has no row for."""
+    if not isinstance(embedder, PrecomputedVectors):
+        return df.filter(F.lit(False)).withColumn("reason", F.lit("no vector"))
+    known = embedder.table.select(*embedder.keys)
+    return df.join(known, list(embedder.keys), "left_anti").withColumn("reason", F.lit("no vector"))
+
+
 def with_metadata(df: DataFrame, embedder: Embedder) -> DataFrame:
     return df.withColumns({"model_name": F.lit(embedder.name), "embedding_dim": F.size("vector")})
 
@@ -64,17 +72,20 @@ class HashedTerms:
 
 @dataclass(frozen=True)
 class PrecomputedVectors:
-    """Unit vectors from a table with ``keys`` and a vector column."""
+    """Vectors from a table with ``keys`` and a vector column; ``normalized`` states that all have length 1."""
 
     table: DataFrame
     keys: tuple[str, ...]
     dim: int
     column: str = "embedding"
     name: str = "precomputed"
+    normalized: bool = False
 
     def embed(self, df: DataFrame, text: str | None = None) -> DataFrame:
+        """Rows without a vector are left out; :func:`without_vector` lists them."""
         vectors = self.table.select(*self.keys, as_vector(F.col(self.column)).alias("vector"))
-        return df.join(vectors, list(self.keys)).withColumn("norm", F.lit(1.0))
+        length = F.lit(1.0) if self.normalized else V.norm(F.col("vector"))
+        return df.join(vectors, list(self.keys)).withColumn("norm", length)
 
 
 @dataclass(frozen=True)

@@ -9,16 +9,25 @@ from topicgauge import guidance
 from topicgauge import settings as S
 from topicgauge.functions import bands as B
 from topicgauge.operators.candidates import priority, ranked_rows
-from topicgauge.operators.diagnostics import in_band, preview
+from topicgauge.operators.diagnostics import in_band, preview, with_lead
 from topicgauge.operators.ranking import REPORT, first_n
+from topicgauge.operators.signals import with_query_signals
 
 #: Chunks listed for an opening that needs work.
 OPENING_CHUNKS = 3
 
 
-def with_signals(facts: DataFrame, signals: DataFrame) -> DataFrame:
-    """Report aggregates and signals side by side. Both are one slim row per report."""
-    return facts.join(signals, list(REPORT))
+def with_signals(facts: DataFrame, signals: DataFrame, queries: DataFrame | None = None) -> DataFrame:
+    """Report aggregates and signals side by side.
+
+    With ``queries`` (from :func:`with_query_facts`) the signals are one row per document: they meet
+    the reports on ``doc_id``, and what depends on the query is worked out beside them. Without, they
+    are one row per report already.
+    """
+    if queries is None:
+        return facts.join(signals, list(REPORT))
+    asked = queries.select("query_id", "terms", "intent")
+    return with_query_signals(facts.join(signals.drop("scope"), "doc_id").join(asked, "query_id"))
 
 
 def intro_band(facts: DataFrame) -> DataFrame:
@@ -38,7 +47,7 @@ def _off_share() -> Column:
 
 
 def next_steps(reports: DataFrame, max_steps: int = S.MAX_NEXT_STEPS) -> DataFrame:
-    """Up to ``max_steps`` rows per report: by priority, then minutes, then rule order."""
+    """Up to ``max_steps`` rows per report, with their wording: by priority, then minutes, then rule order."""
     score, words, intent = F.col("coverage_score"), F.col("word_count"), F.col("intent")
     weak, off, n = F.col("chunks_weak"), F.col("chunks_off_topic"), F.col("total_chunks")
 
@@ -72,12 +81,20 @@ def next_steps(reports: DataFrame, max_steps: int = S.MAX_NEXT_STEPS) -> DataFra
         ("add_faq", ~F.col("has_faq") & (words >= 500), order(score < 70, 2), 25, none),
         ("add_summary_box", ~F.col("has_tldr") & (words >= 700), F.lit(3), 10, none),
     )
+    known = guidance.values(reports.columns)
+
+    def worded(name: str) -> list[Column]:
+        text = guidance.NEXT_STEPS[name]
+        example = F.lit(text.example).cast("string")
+        why, how = guidance.fill(text.why, known), guidance.fill(text.how, known)
+        return [F.lit(text.title).alias("title"), why.alias("why"), how.alias("how"), example.alias("example")]
+
     rules = [
         (
             cond,
             F.struct(
                 rank.alias("_order"), F.lit(minutes).alias("minutes"), F.lit(no).alias("_rule"),
-                F.lit(name).alias("step"), targets.alias("target_count"),
+                F.lit(name).alias("step"), targets.alias("target_count"), *worded(name),
             ),
         )
         for no, (name, cond, rank, minutes, targets) in enumerate(found)
@@ -86,40 +103,37 @@ def next_steps(reports: DataFrame, max_steps: int = S.MAX_NEXT_STEPS) -> DataFra
     return rows.withColumn("priority", priority(F.col("_order"))).drop("_order", "_rule")
 
 
-def with_wording(steps: DataFrame) -> DataFrame:
-    """Add ``title``, ``why`` and ``how``."""
-    texts = {"title": 0, "why": 1, "how": 2}
-
-    def pick(part: int) -> Column:
-        out = F.lit(None).cast("string")
-        for name, entry in guidance.NEXT_STEPS.items():
-            out = F.when(F.col("step") == name, entry[part]).otherwise(out)
-        return out
-
-    return steps.withColumns({c: pick(i) for c, i in texts.items()})
-
-
-def step_targets(steps: DataFrame, scored: DataFrame) -> DataFrame:
-    """Target chunks of the steps that name some, one row each."""
+def step_targets(steps: DataFrame, scored: DataFrame, texts: DataFrame | None = None) -> DataFrame:
+    """Target chunks of the steps that name some, one row each; previews from ``texts`` where ``scored`` holds none."""
+    lead = [] if texts is not None else ["lead_text", "char_count"]
 
     def rows(df: DataFrame, step: str) -> DataFrame:
-        return df.select(
-            *REPORT, F.lit(step).alias("step"), "chunk_index",
-            preview(S.TARGET_PREVIEW_CHARS).alias("text_preview"), "similarity", "interpretation",
-        )
+        return df.select(*REPORT, F.lit(step).alias("step"), "chunk_index", *lead, "similarity", "interpretation")
 
     listed = (
         rows(scored.filter(F.col("chunk_index") < OPENING_CHUNKS), "front_load")
         .unionByName(rows(first_n(scored.filter(in_band("off_topic")), S.SHORT_TARGET_LIST), "reduce_drift"))
         .unionByName(rows(first_n(scored.filter(in_band("weak")), S.SHORT_TARGET_LIST), "strengthen_weak"))
     )
-    return listed.join(steps.select(*REPORT, "step"), [*REPORT, "step"], "left_semi")
+    named = listed.join(steps.select(*REPORT, "step"), [*REPORT, "step"], "left_semi")
+    return with_lead(named, texts).select(
+        *REPORT, "step", "chunk_index", preview(S.TARGET_PREVIEW_CHARS).alias("text_preview"), "similarity", "interpretation"
+    )
 
 
 def step_report(reports: DataFrame) -> DataFrame:
     """Headline and intent per report."""
     headline = B.label_by_floor(F.col("coverage_score"), guidance.HEADLINES, guidance.LOWEST_HEADLINE)
-    empty = F.col("total_chunks") <= 0
-    return reports.select(
-        *REPORT, "intent", F.when(empty, guidance.EMPTY_REPORT).otherwise(headline).alias("summary")
+    return reports.select(*REPORT, "intent", headline.alias("summary"))
+
+
+def empty_reports(unanswered: DataFrame) -> DataFrame:
+    """Reports of asked ``(query_id, doc_id, reason)`` pairs without any chunk: score 0, the lowest label."""
+    counts = {f"chunks_{b}": F.lit(0) for b in ("strong", "moderate", "weak", "off_topic")}
+    zero = F.lit(0.0)
+    return unanswered.select(*REPORT, "reason").withColumns(
+        {
+            "total_chunks": F.lit(0), **counts, "coverage_score": zero, "coverage_label": B.coverage_label(zero),
+            "coverage_rounded": F.lit(0), "summary": F.lit(guidance.EMPTY_REPORT),
+        }
     )

@@ -2,8 +2,8 @@
 
 Chunks cut from a document row form a group no larger than that row, so a plain window is
 right for them. A pre-chunked or vector table has no such bound: one document may hold a
-third of all rows. ``hot_group_rows`` sets the size above which a group is ranked in cells
-instead, where no task sees more than one cell and the result is the same.
+third of all rows. The caller says which kind it is, and pre-chunked reports are ranked in
+cells of similarity, where no task sees more than one cell; the result is the same.
 """
 
 from __future__ import annotations
@@ -62,51 +62,58 @@ def position_in_group(rows: DataFrame, group: str, order: str, out: str) -> Data
     return numbered.withColumn(out, F.col(out) - 1)
 
 
-def _rank_in_cells(rows: DataFrame, descending: bool, out: str) -> DataFrame:
-    key = -F.col("similarity") if descending else F.col("similarity")
-    return row_number_in_cells(
-        rows,
-        REPORT,
-        {"_cell": F.floor((key + 1.0) * _CELLS)},
-        {"_key": key, "_block": F.floor(F.col("chunk_index") / _BLOCK_ROWS)},
-        "chunk_index",
-        out,
-    )
-
-
 def _order(descending: bool) -> list[Column]:
     s = F.col("similarity")
     return [s.desc() if descending else s.asc(), F.col("chunk_index").asc()]
 
 
 def rank_chunks(
-    scored: DataFrame, hot_group_rows: int | None = None, descending: bool = True, out: str = "similarity_rank"
+    scored: DataFrame, pre_chunked: bool = False, descending: bool = True, out: str = "similarity_rank"
 ) -> DataFrame:
     """Add the rank (ties by chunk index) and the report's size, minimum and maximum.
 
-    ``hot_group_rows=None`` states that every report comes from one document row.
+    ``pre_chunked`` is for tables of chunks that no document row bounds; they are read several
+    times, so store what is costly to compute.
     """
+    return _rank_in_cells(scored, descending, out) if pre_chunked else _rank_by_window(scored, descending, out)
+
+
+def _rank_by_window(scored: DataFrame, descending: bool, out: str) -> DataFrame:
     whole = Window.partitionBy(*REPORT)
-    extent = {
-        "report_chunks": F.count("*"),
-        "report_min": F.min("similarity"),
-        "report_max": F.max("similarity"),
-    }
-    ranked_by = F.row_number().over(whole.orderBy(*_order(descending)))
-
-    def by_window(rows: DataFrame) -> DataFrame:
-        return rows.withColumn(out, ranked_by).withColumns({k: a.over(whole) for k, a in extent.items()})
-
-    if hot_group_rows is None:
-        return by_window(scored)
-    hot = (
-        scored.groupBy(*REPORT)
-        .agg(*[a.alias(k) for k, a in extent.items()])
-        .filter(F.col("report_chunks") > hot_group_rows)
+    s = F.col("similarity")
+    extent = {"report_chunks": F.count("*"), "report_min": F.min(s), "report_max": F.max(s)}
+    ranked = scored.withColumn(out, F.row_number().over(whole.orderBy(*_order(descending))))
+    return ranked.withColumns({k: a.over(whole) for k, a in extent.items()})
+
+
+def _rank_in_cells(scored: DataFrame, descending: bool, out: str) -> DataFrame:
+    """Cells are counted before the shuffle, so a report's offsets come from at most 2 * _CELLS rows.
+
+    Inside a cell a window numbers the rows. A cell that holds more than ``_BLOCK_ROWS`` is split
+    by exact value and, where values tie, by blocks of the chunk index.
+    """
+    key = -F.col("similarity") if descending else F.col("similarity")
+    cell = [*REPORT, "_cell"]
+    rows = scored.withColumn("_cell", F.floor((key + 1.0) * _CELLS))
+    counts = rows.groupBy(*cell).agg(
+        F.count("*").alias("_n"), F.min("similarity").alias("_min"), F.max("similarity").alias("_max")
+    )
+    whole = Window.partitionBy(*REPORT)
+    before = whole.orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(
+        *cell, "_n", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_ahead"),
+        F.sum("_n").over(whole).alias("report_chunks"), F.min("_min").over(whole).alias("report_min"),
+        F.max("_max").over(whole).alias("report_max"),
+    )
+    placed = rows.join(offsets, cell)
+    local = F.row_number().over(Window.partitionBy(*cell).orderBy(*_order(descending)))
+    calm = placed.filter(F.col("_n") <= _BLOCK_ROWS).withColumn("_place", local)
+    full = row_number_in_cells(
+        placed.filter(F.col("_n") > _BLOCK_ROWS), cell, {"_key": key}, {"_block": F.floor(F.col("chunk_index") / _BLOCK_ROWS)},
+        "chunk_index", "_place",
     )
-    cold_rows = by_window(scored.join(hot, list(REPORT), "left_anti"))
-    hot_rows = _rank_in_cells(scored.join(hot, list(REPORT)), descending, out)
-    return cold_rows.unionByName(hot_rows)
+    numbered = calm.unionByName(full).withColumn(out, (F.col("_ahead") + F.col("_place")).cast("int"))
+    return numbered.drop("_cell", "_n", "_ahead", "_place")
 
 
 def top_n(scored: DataFrame, n: int, descending: bool = True) -> DataFrame:

@@ -13,7 +13,7 @@ from topicgauge import guidance
 from topicgauge import settings as S
 from topicgauge.functions import bands as B
 from topicgauge.operators.candidates import priority, ranked_rows
-from topicgauge.operators.diagnostics import in_band, off_topic_chunks, preview, weak_or_off_topic_chunks
+from topicgauge.operators.diagnostics import in_band, off_topic_chunks, preview, weak_or_off_topic_chunks, with_lead
 from topicgauge.operators.ranking import REPORT, first_n
 
 TYPES = ("rewrite_off_topic", "strengthen_weak", "expand_strong", "restructure_section", "remove_dilution")
@@ -45,7 +45,7 @@ def _short(n: Column) -> Column:
 
 
 def recommendations(facts: DataFrame) -> DataFrame:
-    """At most five rows per report, from :func:`with_low_sections` output."""
+    """At most five rows per report with their wording, from :func:`with_low_sections` output."""
     off, weak, strong = F.col("chunks_off_topic"), F.col("chunks_weak"), F.col("chunks_strong")
     example = F.col("best_example")
     none = F.lit(None).cast("string")
@@ -58,6 +58,12 @@ def recommendations(facts: DataFrame) -> DataFrame:
         ("restructure_section", F.col("low_sections") > 0, F.lit(2), F.col("low_sections"), none),
         ("remove_dilution", diluted(), F.lit(3), _short(off), none),
     )
+    known = guidance.values(facts.columns)
+
+    def worded(name: str) -> list[Column]:
+        advice = guidance.RECOMMENDATIONS[name]
+        return [guidance.fill(text, known).alias(part) for part, text in zip(("what", "why", "how"), advice, strict=True)]
+
     rules = [
         (
             cond,
@@ -68,6 +74,7 @@ def recommendations(facts: DataFrame) -> DataFrame:
                 F.lit(name).alias("rec_type"),
                 targets.alias("target_count"),
                 text.alias("example_text"),
+                *worded(name),
             ),
         )
         for no, (name, cond, order, targets, text) in enumerate(found)
@@ -78,63 +85,17 @@ def recommendations(facts: DataFrame) -> DataFrame:
     ).drop("_order", "_fewer", "_rule")
 
 
-def with_wording(recs: DataFrame, facts: DataFrame) -> DataFrame:
-    """Add ``what``, ``why`` and ``how``."""
-    numbers = facts.select(
-        *REPORT, "chunks_strong", "chunks_off_topic", "bands", "low_sections",
-        *[c for c in ("first_low_section",) if c in facts.columns],
-    )
-    n, bands = F.col("target_count"), F.col("bands")
-    weak_band = F.concat(F.format_string("%.2f", bands["weak"]), F.lit("-"), F.format_string("%.2f", bands["moderate"]))
-    several = F.concat(n.cast("string"), F.lit(" sections score below "), F.lit(str(int(S.LOW_SECTION_COVERAGE))))
-    section = several
-    if "first_low_section" in facts.columns:
-        low = F.col("first_low_section")
-        title = F.when(low["heading"] != "", low["heading"]).otherwise(
-            F.concat(F.lit("Section "), (low["section_index"] + 1).cast("string"))
-        )
-        shown = F.bround(low["coverage_score"]).cast("int").cast("string")
-        one = F.concat(F.lit("Section '"), title, F.lit("' scores only "), shown)
-        section = F.when(n == 1, one).otherwise(several)
-    what = {
-        "rewrite_off_topic": F.concat(n.cast("string"), F.lit(" off-topic chunk(s) earn nothing")),
-        "strengthen_weak": F.concat(n.cast("string"), F.lit(" chunk(s) sit in the weak band "), weak_band),
-        "expand_strong": F.concat(F.col("chunks_strong").cast("string"), F.lit(" strong chunk(s) can serve as a model")),
-        "restructure_section": section,
-        "remove_dilution": F.concat(
-            F.col("chunks_strong").cast("string"), F.lit(" strong chunk(s) stand against "),
-            F.col("chunks_off_topic").cast("string"), F.lit(" off-topic one(s)"),
-        ),
-    }
-    kind = F.col("rec_type")
-
-    def pick(texts: dict[str, Column]) -> Column:
-        out = F.lit(None).cast("string")
-        for name, text in texts.items():
-            out = F.when(kind == name, text).otherwise(out)
-        return out
-
-    return (
-        recs.join(numbers, list(REPORT))
-        .withColumns(
-            {
-                "what": pick(what),
-                "why": pick({k: F.lit(v[0]) for k, v in guidance.RECOMMENDATIONS.items()}),
-                "how": pick({k: F.lit(v[1]) for k, v in guidance.RECOMMENDATIONS.items()}),
-            }
-        )
-        .drop(*[c for c in numbers.columns if c not in REPORT])
-    )
-
+def targets(
+    scored: DataFrame, facts: DataFrame, summaries: DataFrame | None = None, texts: DataFrame | None = None
+) -> DataFrame:
+    """Target chunks of every recommendation, one row each, whole bands included.
 
-def targets(scored: DataFrame, facts: DataFrame, summaries: DataFrame | None = None) -> DataFrame:
-    """Target chunks of every recommendation, one row each, whole bands included."""
+    Previews come from ``texts`` by key, where ``scored`` holds no text.
+    """
+    lead = [] if texts is not None else ["lead_text", "char_count"]
 
     def rows(df: DataFrame, kind: str) -> DataFrame:
-        return df.select(
-            *REPORT, F.lit(kind).alias("rec_type"), "chunk_index",
-            preview(S.TARGET_PREVIEW_CHARS).alias("text_preview"), "similarity", "interpretation",
-        )
+        return df.select(*REPORT, F.lit(kind).alias("rec_type"), "chunk_index", *lead, "similarity", "interpretation")
 
     key = list(REPORT)
     with_model = facts.filter(F.col("chunks_strong") > 0).select(*key)
@@ -151,7 +112,9 @@ def targets(scored: DataFrame, facts: DataFrame, summaries: DataFrame | None = N
             *key, F.col("section_index").alias("chunk_index")
         )
         out = out.unionByName(rows(scored.join(low, [*key, "chunk_index"], "left_semi"), "restructure_section"))
-    return out
+    return with_lead(out, texts).select(
+        *REPORT, "rec_type", "chunk_index", preview(S.TARGET_PREVIEW_CHARS).alias("text_preview"), "similarity", "interpretation"
+    )
 
 
 def potential_coverage() -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from topicgauge import settings as S
@@ -11,23 +11,34 @@ from topicgauge.operators.diagnostics import band_counts
 from topicgauge.operators.ranking import REPORT
 
 
+def _opens(scored: DataFrame) -> Column:
+    """Whether a chunk opens a section; slim rows carry the flag instead of the level."""
+    return F.col("opens_section") if "opens_section" in scored.columns else F.col("level").isin("macro", "micro")
+
+
 def section_members(scored: DataFrame) -> DataFrame:
     """One row per (section, member). A chunk emits its own section and its parent's: no join."""
-    heads = F.col("level").isin("macro", "micro")
+    heads = _opens(scored)
     keys = F.array_compact(F.array(F.when(heads, F.col("chunk_index")), F.col("parent_index")))
     return scored.withColumn("section_index", F.explode_outer(keys)).filter(F.col("section_index").isNotNull())
 
 
-def section_summaries(scored: DataFrame) -> DataFrame:
-    """Aggregates per section. Only heading chunks open sections; member rows stay in :func:`section_members`."""
+def section_summaries(scored: DataFrame, texts: DataFrame | None = None) -> DataFrame:
+    """Aggregates per section. Only heading chunks open sections; member rows stay in :func:`section_members`.
+
+    Heading and level are looked up by key in ``texts``, or in ``scored`` itself, after the numbers
+    have been added up.
+    """
     s = F.col("similarity")
-    own = (F.col("chunk_index") == F.col("section_index")) & F.col("level").isin("macro", "micro")
+    source = scored if texts is None else texts
+    keys = [k for k in REPORT if k in source.columns]
+    headings = source.filter(F.col("level").isin("macro", "micro")).select(
+        *keys, F.col("chunk_index").alias("section_index"), "heading", "level"
+    )
     totals = (
         section_members(scored)
         .groupBy(*REPORT, "section_index")
         .agg(
-            F.max(F.when(own, F.col("heading"))).alias("heading"),
-            F.max(F.when(own, F.col("level"))).alias("level"),
             F.count("*").cast("int").alias("chunk_count"),
             F.avg(s).alias("avg_similarity"),
             F.max(s).alias("max_similarity"),
@@ -35,7 +46,7 @@ def section_summaries(scored: DataFrame) -> DataFrame:
             F.sum("word_count").cast("int").alias("total_words"),
             *band_counts(),
         )
-        .filter(F.col("level").isNotNull())
+        .join(headings, [*keys, "section_index"])
     )
     counts = [f"chunks_{b}" for b in ("strong", "moderate", "weak", "off_topic")]
     return totals.withColumn("coverage_score", B.coverage(*map(F.col, counts))).drop(*counts)
@@ -57,7 +68,7 @@ def chunks_by_section(scored: DataFrame) -> DataFrame:
     Inside a section the order is ``leads_section`` first, then document order: a heading
     chunk without a parent leads its own section.
     """
-    heads = F.col("level").isin("macro", "micro")
+    heads = _opens(scored)
     return scored.withColumns(
         {
             "section_key": F.coalesce(F.col("parent_index"), F.when(heads, F.col("chunk_index"))),
@@ -66,8 +77,15 @@ def chunks_by_section(scored: DataFrame) -> DataFrame:
     )
 
 
+def child_rows(scored: DataFrame) -> DataFrame:
+    """Children of each parent chunk, one row each: for tables of chunks that no document row bounds."""
+    return scored.filter(F.col("parent_index").isNotNull()).select(
+        *REPORT, F.col("parent_index").alias("chunk_index"), F.col("chunk_index").alias("child")
+    )
+
+
 def child_lists(scored: DataFrame) -> DataFrame:
-    """Children of each parent chunk. A list is shorter than the document its chunks were cut from."""
+    """Children of each parent chunk as a list, shorter than the document row its chunks were cut from."""
     return (
         scored.filter(F.col("parent_index").isNotNull())
         .groupBy(*REPORT, F.col("parent_index").alias("chunk_index"))

@@ -141,23 +141,31 @@ def document_signals(documents: DataFrame) -> DataFrame:
     )
 
 
-def content_signals(documents: DataFrame, queries: DataFrame, on: str = "scope") -> DataFrame:
-    """The full signal row per (query, document). ``queries`` come from :func:`with_query_facts`."""
-    asked = queries.select(on, "query_id", "terms", "intent")
+def with_query_signals(rows: DataFrame) -> DataFrame:
+    """What depends on the query, from a document's opening and the query's ``terms`` in the same row."""
     terms = F.col("terms")
     named = F.size(F.filter(terms, lambda t: F.col("intro_text").contains(t)))
-    return (
-        document_signals(documents)
-        .join(asked, on)
-        .withColumns(
-            {
-                "has_definition_near_top": F.col("defines_near_top")
-                & F.exists(terms, lambda t: F.col("top_text").contains(t)),
-                "intro_query_term_coverage": F.when(F.size(terms) > 0, named / F.size(terms)).otherwise(F.lit(0.0)),
-            }
-        )
-        .drop("defines_near_top", "top_text", "intro_text", "terms", on)
-    )
+    return rows.withColumns(
+        {
+            "has_definition_near_top": F.col("defines_near_top")
+            & F.exists(terms, lambda t: F.col("top_text").contains(t)),
+            "intro_query_term_coverage": F.when(F.size(terms) > 0, named / F.size(terms)).otherwise(F.lit(0.0)),
+        }
+    ).drop("defines_near_top", "top_text", "intro_text", "terms")
+
+
+def content_signals(
+    documents: DataFrame, queries: DataFrame, on: str = "scope", pairs: DataFrame | None = None
+) -> DataFrame:
+    """The full signal row per (query, document) of a scope, or per requested pair.
+
+    ``queries`` come from :func:`with_query_facts`.
+    """
+    signals = document_signals(documents)
+    if pairs is not None:
+        asked = pairs.select("query_id", "doc_id").join(queries.select("query_id", "terms", "intent"), "query_id")
+        return with_query_signals(signals.join(asked, "doc_id")).drop(on)
+    return with_query_signals(signals.join(queries.select(on, "query_id", "terms", "intent"), on)).drop(on)
 
 
 SIGNAL_COLUMNS = (

@@ -29,50 +29,81 @@ def prepare_queries(queries: DataFrame, embedder: Embedder, bands: Mapping[str,
     )
 
 
-def _similarity() -> Column:
+def _similarity(assume_normalized: bool) -> Column:
+    """From the vectors' ``_product``, which is null where they cannot be multiplied."""
+    product = F.col("_product")
+    if assume_normalized:
+        return V.clamp(product)
     lengths = F.col("query_norm") * F.col("norm")
-    products = V.dot(F.col("query_vector"), F.col("vector"))
     # A chunk without any term has a zero vector: similarity 0, as a plain dot product gives.
-    return F.when(lengths == 0, 0.0).otherwise(V.clamp(products / lengths))
+    return F.when(product.isNotNull() & (lengths == 0), F.lit(0.0)).otherwise(V.clamp(product / lengths))
 
 
 _QUERY_COLUMNS = ("query_id", "query_vector", "query_norm", "bands")
 
 
-def score(chunks: DataFrame, queries: DataFrame, on: str = "scope", salts: int = 1) -> DataFrame:
-    """Every chunk against every query of its scope.
+def _meet(chunks: DataFrame, queries: DataFrame, on: str, salts: int) -> DataFrame:
+    """Chunks beside the queries of their scope.
 
     Where the queries are too many to be broadcast and a scope holds much of the chunks, ``salts``
     spreads that scope over as many join keys; the queries are repeated once per salt.
     """
     asked = queries.select(on, *_QUERY_COLUMNS)
     if salts == 1:
-        return _scored(chunks.join(asked, on))
+        return chunks.join(asked, on)
     repeated = asked.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     salted = chunks.withColumn("_salt", F.pmod(F.hash("doc_id", "chunk_index"), F.lit(salts)))
-    return _scored(salted.join(repeated, [on, "_salt"]).drop("_salt"))
+    return salted.join(repeated, [on, "_salt"]).drop("_salt")
 
 
-def score_pairs(chunks: DataFrame, queries: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Only the requested ``(query_id, doc_id)`` pairs."""
+def _meet_pairs(chunks: DataFrame, queries: DataFrame, pairs: DataFrame) -> DataFrame:
     asked = pairs.select("query_id", "doc_id").join(queries.select(*_QUERY_COLUMNS), "query_id")
-    return _scored(chunks.join(asked, "doc_id"))
+    return chunks.join(asked, "doc_id")
+
+
+def score(
+    chunks: DataFrame, queries: DataFrame, on: str = "scope", salts: int = 1, assume_normalized: bool = False
+) -> DataFrame:
+    """Every chunk against every query of its scope; :func:`score_rejects` has the pairs that have no similarity.
+
+    ``assume_normalized`` takes the dot product alone, for tables known to hold unit vectors.
+    """
+    return _scored(_meet(chunks, queries, on, salts), assume_normalized)
+
 
+def score_pairs(chunks: DataFrame, queries: DataFrame, pairs: DataFrame, assume_normalized: bool = False) -> DataFrame:
+    """Only the requested ``(query_id, doc_id)`` pairs."""
+    return _scored(_meet_pairs(chunks, queries, pairs), assume_normalized)
+
+
+def _with_similarity(joined: DataFrame, assume_normalized: bool) -> DataFrame:
+    # A generator keeps the optimizer from pushing filters on the similarity below it, and from
+    # repeating the product wherever its value is named.
+    a, b = F.col("query_vector"), F.col("vector")
+    product = F.when(F.size(a) == F.size(b), V.dot(a, b))
+    multiplied = joined.withColumn("_product", F.explode(F.array(product)))
+    return multiplied.withColumn("similarity", _similarity(assume_normalized)).drop("_product")
 
-def _scored(joined: DataFrame) -> DataFrame:
+
+def _scored(joined: DataFrame, assume_normalized: bool) -> DataFrame:
     return (
-        joined.withColumn("similarity", _similarity())
+        _with_similarity(joined, assume_normalized)
+        .filter(F.col("similarity").isNotNull())
         .withColumn("interpretation", B.interpret(F.col("similarity"), F.col("bands")))
         .drop("query_vector", "query_norm", "vector", "norm")
     )
 
 
-def above(scored: DataFrame, threshold: float) -> DataFrame:
-    return scored.filter(F.col("similarity") >= threshold)
-
-
-def below(scored: DataFrame, threshold: float) -> DataFrame:
-    return scored.filter(F.col("similarity") < threshold)
+def score_rejects(
+    chunks: DataFrame, queries: DataFrame, on: str = "scope", salts: int = 1, assume_normalized: bool = False,
+    pairs: DataFrame | None = None,
+) -> DataFrame:
+    """``query_id, doc_id, chunk_index, reason`` of the pairs whose vectors cannot be compared."""
+    met = _meet(chunks, queries, on, salts) if pairs is None else _meet_pairs(chunks, queries, pairs)
+    a, b = F.col("query_vector"), F.col("vector")
+    reason = F.coalesce(V.vector_reject_reason(a), V.vector_reject_reason(b), V.sizes_differ(a, b), F.lit("no similarity"))
+    bad = _with_similarity(met, assume_normalized).filter(F.col("similarity").isNull())
+    return bad.select("query_id", "doc_id", "chunk_index", reason.alias("reason"))
 
 
 def with_query_words(queries: DataFrame) -> DataFrame:

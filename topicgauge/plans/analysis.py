@@ -2,48 +2,73 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Mapping
 from dataclasses import dataclass
 from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from topicgauge.functions import bands as B
 from topicgauge.operators import diagnostics, nextsteps, readiness, recommendations, sections, signals
 from topicgauge.operators.embedding import Embedder
 from topicgauge.operators.ranking import REPORT
-from topicgauge.plans.compare import score_documents
-from topicgauge.settings import STANDARD_BANDS
+from topicgauge.plans.compare import asked_pairs, chunk_facts, rejects, score_documents
+from topicgauge.settings import MAX_NEXT_STEPS, SHORT_QUERY_BANDS
+from topicgauge.sources.readers import accepted_documents, accepted_queries
 from topicgauge.sources.storage import materialize
 
 
+#: What is kept of a scored chunk: numbers, flags and the band's label. Its text is looked up by key.
+SLIM = (
+    "query_id", "doc_id", "chunk_index", "chunk_count", "similarity", "interpretation", "bands", "token_count",
+    "document_char_count", "word_count", "parent_index",
+)
+
+
+def slim(scored: DataFrame) -> DataFrame:
+    return scored.select(
+        *SLIM, F.col("level").isin("macro", "micro").alias("opens_section"), (F.col("level") != "flat").alias("in_hierarchy")
+    )
+
+
 @dataclass(frozen=True)
 class Analysis:
-    """Tables over ``scored`` and ``signals``.
+    """Tables over ``scored`` (slim rows), ``texts`` (one row per chunk) and ``signals`` (one per document).
 
-    The rows per report are stored by ``keep`` when first needed: they are small, and every
-    further table reads them instead of the text or the scored chunks.
+    ``keep`` stores a table when it is first read by more than one other: the rows per report, and the
+    beginnings of the chunks.
     """
 
     scored: DataFrame
+    chunk_texts: DataFrame
     signals: DataFrame
+    queries: DataFrame
+    rejects: DataFrame
+    asked: DataFrame
     hierarchical: bool = True
-    hot_group_rows: int | None = None
+    pre_chunked: bool = False
     keep: Callable[[DataFrame], DataFrame] = materialize
 
+    @cached_property
+    def texts(self) -> DataFrame:
+        """The beginning, heading and level of every chunk, once however many queries ask for it."""
+        return self.keep(self.chunk_texts)
+
     @cached_property
     def facts(self) -> DataFrame:
         """Report aggregates: all that recommendations need."""
-        return self.keep(recommendations.with_low_sections(diagnostics.report_facts(self.scored), self._low_sections))
+        facts = diagnostics.report_facts(self.scored, self.texts)
+        return self.keep(recommendations.with_low_sections(facts, self._low_sections))
 
     @cached_property
     def reports(self) -> DataFrame:
         """Report aggregates with the content signals: all that next steps and readiness need."""
-        return self.keep(nextsteps.with_signals(self.facts, self.signals))
+        return self.keep(nextsteps.with_signals(self.facts, self.signals, self.queries))
 
     @cached_property
     def section_summaries(self) -> DataFrame:
-        return sections.section_summaries(self.scored)
+        return sections.section_summaries(self.scored, self.texts)
 
     @property
     def _low_sections(self) -> DataFrame | None:
@@ -53,9 +78,17 @@ class Analysis:
     def coverage(self) -> DataFrame:
         return diagnostics.coverage(self.scored)
 
+    @property
+    def empty_reports(self) -> DataFrame:
+        """A report of score 0 for every asked pair without a scored chunk, with the reason where one is known."""
+        done = self.scored.select(*REPORT).distinct()
+        reasons = self.rejects.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("reason").alias("reason"))
+        left = self.asked.join(done, list(REPORT), "left_anti").join(reasons, "doc_id", "left")
+        return nextsteps.empty_reports(left)
+
     @property
     def diagnostics(self) -> DataFrame:
-        return diagnostics.diagnose(self.scored, self.hot_group_rows)
+        return diagnostics.diagnose(self.scored, self.pre_chunked, self.texts)
 
     @property
     def recommendations(self) -> DataFrame:
@@ -64,19 +97,22 @@ class Analysis:
     @property
     def recommendation_targets(self) -> DataFrame:
         summaries = self.section_summaries if self.hierarchical else None
-        return recommendations.targets(self.scored, self.facts, summaries)
+        return recommendations.targets(self.scored, self.facts, summaries, self.texts)
 
     @property
     def recommendation_report(self) -> DataFrame:
         return recommendations.recommendation_report(self.facts)
 
+    def steps(self, max_steps: int = MAX_NEXT_STEPS) -> DataFrame:
+        return nextsteps.next_steps(self.reports, max_steps)
+
     @property
     def next_steps(self) -> DataFrame:
-        return nextsteps.next_steps(self.reports)
+        return self.steps()
 
     @property
     def step_targets(self) -> DataFrame:
-        return nextsteps.step_targets(self.next_steps, self.scored)
+        return nextsteps.step_targets(self.next_steps, self.scored, self.texts)
 
     @property
     def step_report(self) -> DataFrame:
@@ -101,24 +137,36 @@ def analyze(
     embedder: Embedder,
     strategy: str | Column = "flat",
     keep: Callable[[DataFrame], DataFrame] = materialize,
+    bands: Mapping[str, float] | None = None,
+    on: str = "scope",
+    salts: int = 1,
+    pairs: DataFrame | None = None,
+    assume_normalized: bool = False,
 ) -> Analysis:
-    """Analysis of ``documents`` against the queries of their scope.
+    """Analysis of ``documents`` against the queries of their scope, or of the requested ``pairs``.
 
-    The scored table is slim (no text, no vectors) and every report reads it, most of them
-    more than once, so it is stored by ``keep`` instead of being recomputed from the text.
+    Every report reads the scored rows, most of them more than once, so they are stored by ``keep``
+    instead of being recomputed from the text; they hold no text themselves.
     """
-    scored = keep(score_documents(documents, queries, embedder, strategy))
-    content = signals.content_signals(documents.select("doc_id", "text", "scope"), signals.with_query_facts(queries))
-    return Analysis(scored, content, not (isinstance(strategy, str) and strategy == "flat"), keep=keep)
+    usable, asking = accepted_documents(documents), accepted_queries(queries)
+    how = {"bands": bands, "on": on, "salts": salts, "pairs": pairs, "assume_normalized": assume_normalized}
+    scored = keep(slim(score_documents(usable, asking, embedder, strategy, **how)))
+    texts = chunk_facts(usable, strategy).select("doc_id", "chunk_index", "lead_text", "char_count", "level", "heading", "depth")
+    return Analysis(
+        scored, texts, signals.document_signals(usable.select("doc_id", "text")), signals.with_query_facts(asking),
+        rejects(documents, queries, embedder, strategy, on, pairs, assume_normalized), asked_pairs(documents, queries, on, pairs),
+        not (isinstance(strategy, str) and strategy == "flat"), keep=keep,
+    )
 
 
 def action_plan(steps: DataFrame, recs: DataFrame) -> DataFrame:
     """Next steps, then recommendations, numbered per report: at most twelve rows each."""
     items = steps.select(
-        *REPORT, F.lit("next_step").alias("source"), F.col("step").alias("item"), "priority", "position"
+        *REPORT, F.lit("next_step").alias("source"), F.col("step").alias("item"), "priority", "position", "title", "why", "how"
     ).unionByName(
         recs.select(
-            *REPORT, F.lit("recommendation").alias("source"), F.col("rec_type").alias("item"), "priority", "position"
+            *REPORT, F.lit("recommendation").alias("source"), F.col("rec_type").alias("item"), "priority", "position",
+            F.col("what").alias("title"), "why", "how",
         )
     )
     w = Window.partitionBy(*REPORT).orderBy("source", "position")
@@ -128,7 +176,7 @@ def action_plan(steps: DataFrame, recs: DataFrame) -> DataFrame:
 def score_card(facts: DataFrame) -> DataFrame:
     """Score banner: counts, attainable gain and reliability flags."""
     gain = recommendations.potential_coverage() - F.col("coverage_score")
-    short = F.col("bands.strong") != F.lit(STANDARD_BANDS["strong"])
+    short = F.col("bands") == B.band_struct(SHORT_QUERY_BANDS)
     return facts.select(
         *REPORT,
         "coverage_score", "coverage_rounded", "coverage_label",

@@ -9,19 +9,13 @@ from pyspark.sql import functions as F
 from topicgauge.functions import text as X
 from topicgauge.schemas import QUERIES
 
-#: Tasks per core when a small input has to be spread.
-_TASKS_PER_CORE = 2
+#: A job may name here in how many tasks small input files are to be worked on; unset or 0 keeps the scan's tasks.
+INPUT_PARTITIONS = "topicgauge.input.partitions"
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Repartition an input that was read in fewer tasks than there are cores.
-
-    A single small file is one task. Large inputs are split by the scan and pass unchanged.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:
-        return df
-    return df.repartition(cores * _TASKS_PER_CORE, *keys)
+def spread(df: DataFrame, partitions: int, *keys: str) -> DataFrame:
+    """Repartition an input whose files are too few for the cores; 0 keeps the partitions of the scan."""
+    return df.repartition(partitions, *keys) if partitions else df
 
 
 def read_documents(
@@ -48,6 +42,10 @@ def as_documents(
     return table.select(col(doc_id).cast("bigint").alias("doc_id"), col(text).alias("text"), group.alias("scope"))
 
 
+def input_partitions(spark: SparkSession, default: int = 0) -> int:
+    return int(spark.conf.get(INPUT_PARTITIONS, str(default)))
+
+
 def make_queries(spark: SparkSession, rows: list[tuple[int, str, str, str | None]]) -> DataFrame:
     """A query table from ``(query_id, query, scope, intent_override)`` tuples given as job options.
 
@@ -79,3 +77,14 @@ def rejected_inputs(documents: DataFrame, queries: DataFrame) -> DataFrame:
     )
     asked = queries.select("query_id", no_id.alias("doc_id"), _reason(F.col("query"), "query").alias("reason"))
     return docs.unionByName(asked).filter(F.col("reason").isNotNull())
+
+
+def unasked(documents: DataFrame, queries: DataFrame, on: str = "scope") -> DataFrame:
+    """Documents that no usable query is asked of, and usable queries without any document."""
+    no_id = F.lit(None).cast("bigint")
+    docs, asked = accepted_documents(documents), accepted_queries(queries)
+    lone = docs.join(asked.select(on).distinct(), on, "left_anti")
+    idle = asked.join(docs.select(on).distinct(), on, "left_anti")
+    return lone.select(no_id.alias("query_id"), "doc_id", F.lit("no query asks for it").alias("reason")).unionByName(
+        idle.select("query_id", no_id.alias("doc_id"), F.lit("no document to ask").alias("reason"))
+    )

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Sequence
@@ -12,12 +13,12 @@ CHECKPOINT_SETTING = "spark.checkpoint.dir"
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    """The shared folder the cluster names; a temporary one only for local sessions."""
+    """The shared folder the cluster names. A session in a single process may do without, and gets one of its own."""
     context = spark.sparkContext
     folder = spark.conf.get(CHECKPOINT_SETTING, None) or context.getCheckpointDir()
     if folder:
         return folder
-    if not context.master.startswith("local"):
+    if not re.fullmatch(r"local(\[[^]]*\])?", context.master):
         raise RuntimeError(f"set {CHECKPOINT_SETTING} to a folder all executors share")
     context.setCheckpointDir(tempfile.mkdtemp(prefix="topicgauge-"))
     return context.getCheckpointDir()

@@ -6,20 +6,20 @@ same expressions in SQL.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from topicgauge.functions.bands import band_struct
-from topicgauge.functions.vectors import l2_normalize
+from topicgauge.functions.vectors import l2_normalize, norm
 from topicgauge.operators.embedding import HashedTerms, PrecomputedVectors
 from topicgauge.operators.ranking import position_in_group
-from topicgauge.sources.readers import as_documents, make_queries, spread
+from topicgauge.sources.readers import as_documents, input_partitions, make_queries, spread
 
 EMBEDDER = HashedTerms(16)
 #: Bands for the given vectors, which lie far apart even under one label.
 VECTOR_BANDS = {"strong": 0.25, "moderate": 0.15, "weak": 0.05}
-#: Labels in the vector table are 0 to 9.
-LABELS = 10
+#: Turns are numbered below this, so a conversation and a turn make one number without collisions.
+TURNS = 1 << 32
 
 #: query_id, query, scope (language of the documents it is asked of), intent override
 TOPICS: list[tuple[int, str, str, str | None]] = [
@@ -63,6 +63,11 @@ def _rewritten(c, rewrites):
     return c
 
 
+def _partitions(spark: SparkSession) -> int:
+    """The given tables are single small files; a job over large ones sets the option to 0."""
+    return input_partitions(spark, 2 * spark.sparkContext.defaultParallelism)
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -72,7 +77,7 @@ def topics(spark: SparkSession) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread(as_documents(_table(spark, sf_dir, "documents"), scope="lang"), "doc_id")
+    return spread(as_documents(_table(spark, sf_dir, "documents"), scope="lang"), _partitions(spark), "doc_id")
 
 
 def markdown_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,7 +88,7 @@ def markdown_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def html_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = _table(spark, sf_dir, "pages")
     lang = F.regexp_extract("html", 'lang="([a-z]+)"', 1)
-    docs = spread(as_documents(pages, "page_id", "html", lang), "doc_id")
+    docs = spread(as_documents(pages, "page_id", "html", lang), _partitions(spark), "doc_id")
     return docs.withColumn("text", _rewritten(F.col("text"), HTML_REWRITES))
 
 
@@ -94,10 +99,22 @@ def mixed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables[0].unionByName(tables[1]).unionByName(tables[2])
 
 
+def turn_id(conversation: Column, turn: Column) -> Column:
+    return conversation * TURNS + turn
+
+
+def turn_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every turn asked of the turn after it in its conversation, where there is one."""
+    turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn")
+    after = turns.select("conv_id", (F.col("turn") - 1).alias("turn"))
+    ids = turn_id(F.col("conv_id"), F.col("turn"))
+    return turns.join(after, ["conv_id", "turn"]).select(ids.alias("query_id"), (ids + 1).alias("doc_id"))
+
+
 def turn_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every conversation turn as a query text."""
     return _table(spark, sf_dir, "conversations").select(
-        (F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"),
+        turn_id(F.col("conv_id"), F.col("turn")).alias("query_id"),
         F.col("text").alias("query"),
         F.col("role").alias("scope"),
         F.lit(None).cast("string").alias("intent_override"),
@@ -130,16 +147,18 @@ def vector_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def centroid_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two queries per label: its own mean vector and that of the label before it."""
+    """Two queries per label: its own mean vector, asked of itself and of the next label (after the last, the first)."""
     table = _table(spark, sf_dir, "embeddings")
     dims = table.select(F.col("label").cast("bigint").alias("label"), F.posexplode("embedding").alias("i", "x"))
     means = dims.groupBy("label", "i").agg(F.avg(F.col("x").cast("double")).alias("m"))
     mean = F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda e: e["m"])
     unit = means.groupBy("label").agg(mean.alias("mean")).withColumn("query_vector", l2_normalize(F.col("mean")))
-    asked = unit.withColumn("shift", F.explode(F.array(F.lit(0), F.lit(1))))
+    in_order = Window.orderBy("label")  # one row per label
+    following = F.coalesce(F.lead("label").over(in_order), F.first("label").over(in_order))
+    asked = unit.withColumn("next", following).withColumn("shift", F.explode(F.array(F.lit(0), F.lit(1))))
     return asked.select(
         (F.col("label") * 2 + F.col("shift")).alias("query_id"),
-        ((F.col("label") + F.col("shift")) % LABELS).cast("string").alias("scope"),
+        F.when(F.col("shift") == 0, F.col("label")).otherwise(F.col("next")).cast("string").alias("scope"),
         "query_vector",
         F.lit(1.0).alias("query_norm"),
         band_struct(VECTOR_BANDS).alias("bands"),
@@ -147,4 +166,43 @@ def centroid_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> PrecomputedVectors:
-    return PrecomputedVectors(_table(spark, sf_dir, "embeddings"), ("vec_id",), 64)
+    return PrecomputedVectors(_table(spark, sf_dir, "embeddings"), ("vec_id",), 64, normalized=True)
+
+
+#: What :func:`damaged_vectors` does to a vector, by ``vec_id % 7``; the rest stay as they are.
+DAMAGE = ("null", "shorter", "hole", "nan", "zero")
+
+
+def damaged_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The given vectors as chunks of their label, some of them missing, short, with holes, without numbers or zero."""
+    table = _table(spark, sf_dir, "embeddings")
+    v, kind = F.col("embedding").cast("array<double>"), F.col("vec_id") % 7
+    last = F.slice(v, 1, 63)
+    damaged = (
+        F.when(kind == 0, F.lit(None).cast("array<double>")).when(kind == 1, last)
+        .when(kind == 2, F.concat(last, F.array(F.lit(None).cast("double"))))
+        .when(kind == 3, F.concat(last, F.array(F.lit(float("nan"))))).when(kind == 4, F.transform(v, lambda x: F.lit(0.0)))
+        .otherwise(F.transform(v, lambda x: x * 3.0))
+    )
+    chunks = table.select(
+        F.col("label").cast("bigint").alias("doc_id"), F.col("vec_id").cast("int").alias("chunk_index"), damaged.alias("vector"),
+        F.col("label").cast("string").alias("scope"),
+    )
+    return chunks.withColumn("norm", norm(F.col("vector")))
+
+
+def faulty_inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Documents and topics with every fault an analysis has to report.
+
+    By ``doc_id % 11``: 0 null, 1 blank, 2 only empty headings, 3 a scope nobody asks, 4 an unknown strategy.
+    """
+    docs = documents(spark, sf_dir)
+    kind = F.col("doc_id") % 11
+    text = (
+        F.when(kind == 0, F.lit(None).cast("string")).when(kind == 1, " \t\n ").when(kind == 2, "<h2></h2><h3> </h3>").otherwise(F.col("text"))
+    )
+    strategy = F.when(kind == 4, "outline").when(kind == 2, "html").otherwise("flat")
+    asked = make_queries(spark, [*TOPICS, (10, " ", "en", None), (11, None, "de", None), (12, "nobody there", "nowhere", None)])
+    return docs.select(
+        "doc_id", text.alias("text"), F.when(kind == 3, "elsewhere").otherwise(F.col("scope")).alias("scope"), strategy.alias("strategy")
+    ), asked

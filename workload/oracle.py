@@ -68,6 +68,27 @@ def label(score: str, floors, below: str) -> str:
     return "CASE " + " ".join(f"WHEN {score} >= {f} THEN {lit(t)}" for f, t in floors) + f" ELSE {lit(below)} END"
 
 
+def filled(text) -> str:
+    """A text of the guidance with its values."""
+    template, names = text
+    edge = lambda b: f"printf('%.2f', {b})"
+    known = {
+        "total": "total_chunks", "off": "chunks_off_topic", "weak": "chunks_weak", "strong": "chunks_strong", "low_sections": "low_sections",
+        "words": "word_count", "links": "link_count", "strong_from": edge("strong"), "moderate_from": edge("moderate"), "weak_from": edge("weak"),
+        "intro_share": "round_even(intro_query_term_coverage * 100, 0)::INT", "best_share": "round_even(best_position * 100, 0)::INT",
+        "sources": "CASE WHEN has_sources_section THEN 'yes' ELSE 'no' END", "low_heading": "coalesce(low_heading, '')",
+        "low_score": "round_even(low_score, 0)::INT",
+    }
+    if not names:
+        return lit(template)
+    return f"printf({lit(template)}, {', '.join(f'({known[n]})::VARCHAR' for n in names)})"
+
+
+TOPICS_SQL = " UNION ALL ".join(
+    f"SELECT {i} AS query_id, {lit(q)} AS query, {lit(s)} AS scope, {lit(o)}::VARCHAR AS intent_override" for i, q, s, o in TOPICS
+)
+
+
 # --- documents -------------------------------------------------------------------
 
 _PLAIN = "SELECT doc_id, text, lang AS scope FROM documents"

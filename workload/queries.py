@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from topicgauge import guidance
 from topicgauge import settings as S
 from topicgauge.functions import bands as B
 from topicgauge.functions import text as X
@@ -96,7 +97,7 @@ def scan_documents(spark, sf):
 
 
 @register(
-    f"SELECT conv_id * 1000 + turn AS query_id, text AS query, role AS scope, {O.words('text')} AS query_words FROM conversations"
+    f"SELECT conv_id * {W.TURNS} + turn AS query_id, text AS query, role AS scope, {O.words('text')} AS query_words FROM conversations"
 )
 def scan_queries(spark, sf):
     return similarity.with_query_words(W.turn_queries(spark, sf)).drop("intent_override")
@@ -108,7 +109,7 @@ def _damage(c: str, n: str) -> str:
 
 @register(f"""
 WITH d AS (SELECT doc_id, {_damage('text', 'n_chars')} AS t FROM documents),
-q AS (SELECT conv_id * 1000 + turn AS query_id, {_damage('text', 'length(text)')} AS t FROM conversations)
+q AS (SELECT conv_id * {W.TURNS} + turn AS query_id, {_damage('text', 'length(text)')} AS t FROM conversations)
 SELECT NULL::BIGINT AS query_id, doc_id, CASE WHEN t IS NULL THEN 'document is null' ELSE 'document is blank' END AS reason
   FROM d WHERE t IS NULL OR {O.strip('t')} = ''
 UNION ALL SELECT query_id, NULL::BIGINT, CASE WHEN t IS NULL THEN 'query is null' ELSE 'query is blank' END
@@ -191,10 +192,10 @@ def chunk_parents(spark, sf):
 _TREE = _CHUNK + ", char_start, char_end"
 
 
-@register(O.on("markdown", f"SELECT {_TREE} FROM chunks WHERE level <> 'flat'"))
+@register(O.on("markdown", f"SELECT {_TREE} FROM chunks"))
 def chunk_hierarchical(spark, sf):
-    rows = chunking.chunk_documents(W.markdown_documents(spark, sf), "markdown")
-    return rows.filter(F.col("level") != "flat").select(*_TREE.split(", "))
+    """Documents without headings are among them, cut flat."""
+    return chunking.chunk_documents(W.markdown_documents(spark, sf), "markdown").select(*_TREE.split(", "))
 
 
 @register(O.on("html", f"SELECT {_TREE} FROM chunks"))
@@ -243,7 +244,7 @@ def _vector_list(df: DataFrame, *keys: str) -> DataFrame:
 
 
 @register(
-    f"WITH qs AS (SELECT conv_id * 1000 + turn AS query_id, text FROM conversations WHERE {O.strip('text')} <> ''),"
+    f"WITH qs AS (SELECT conv_id * {W.TURNS} + turn AS query_id, text FROM conversations WHERE {O.strip('text')} <> ''),"
     + _counted("qs", "query_id", "text") + " SELECT query_id, vector, square_norm FROM lists"
 )
 def embed_queries(spark, sf):
@@ -278,8 +279,9 @@ dims AS (SELECT vec_id, label::BIGINT AS label, generate_subscripts(embedding, 1
 means AS (SELECT label, i, avg(x) AS m FROM dims GROUP BY ALL),
 lens AS (SELECT label, sqrt(sum(m * m)) AS len FROM means GROUP BY 1),
 units AS (SELECT label, i, m, m / len AS u FROM means JOIN lens USING (label)),
-asked AS (SELECT label, shift, label * 2 + shift AS query_id, (label + shift) % {W.LABELS} AS doc_id
-  FROM (SELECT DISTINCT label FROM means), (VALUES (0), (1)) AS s(shift))"""
+asked AS (SELECT label, shift, label * 2 + shift AS query_id, CASE WHEN shift = 0 THEN label ELSE following END AS doc_id
+  FROM (SELECT label, coalesce(lead(label) OVER (ORDER BY label), min(label) OVER ()) AS following FROM (SELECT DISTINCT label FROM means)),
+  (VALUES (0), (1)) AS s(shift))"""
 _VECTOR_SCORED = f"""WITH {_CENTROIDS},
 vec_chunks AS (SELECT vec_id, label::BIGINT AS doc_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS chunk_index,
   count(*) OVER (PARTITION BY label) AS chunk_count FROM embeddings),
@@ -317,13 +319,38 @@ def cosine_normalized(spark, sf):
     return pairs.select("query_id", "vec_id", F.round(value, 6).alias("similarity"))
 
 
+_DAMAGED = _VECTOR_SCORED + """,
+damaged AS (SELECT vec_id, label::BIGINT AS doc_id, vec_id % 7 AS kind FROM embeddings)"""
+
+
+@register(_DAMAGED + """
+SELECT a.query_id, d.doc_id, d.vec_id::INT AS chunk_index, ['null vector', 'dimension mismatch', 'null element', 'not a number'][kind + 1] AS reason
+FROM damaged d JOIN asked a USING (doc_id) WHERE kind < 4""")
+def score_rejects(spark, sf):
+    return similarity.score_rejects(W.damaged_vectors(spark, sf), W.centroid_queries(spark, sf))
+
+
+@register(_DAMAGED + f"""
+SELECT v.query_id, v.vec_id, round(CASE WHEN kind = 4 THEN 0.0 ELSE full_cosine END, 6) AS similarity,
+round(CASE WHEN kind = 4 THEN 0.0 ELSE greatest(-1.0, least(1.0, 3 * product)) END, 6) AS assumed
+FROM (SELECT s.*, p.p AS product FROM vec_scored s JOIN products p USING (query_id, vec_id)) v JOIN damaged USING (vec_id) WHERE kind >= 4""")
+def cosine_not_normalized(spark, sf):
+    """Vectors of three times the unit length: their cosine, and what assuming unit length makes of them."""
+    chunks, queries = W.damaged_vectors(spark, sf), W.centroid_queries(spark, sf)
+    whole = similarity.score(chunks, queries).select("query_id", F.col("chunk_index").alias("vec_id"), "similarity")
+    assumed = similarity.score(chunks, queries, assume_normalized=True).select(
+        "query_id", F.col("chunk_index").alias("vec_id"), F.col("similarity").alias("assumed")
+    )
+    return shown(whole.join(assumed, ["query_id", "vec_id"]))
+
+
 @register(O.on("plain", f"SELECT {KEY}, {r('similarity')} FROM scored"))
 def query_chunk_similarity(spark, sf):
     return shown(plain_scored(spark, sf), *K, "similarity")
 
 
 @register(
-    f"SELECT conv_id * 1000 + turn AS query_id, {O._band_columns(O.words('text'))} FROM conversations"
+    f"SELECT conv_id * {W.TURNS} + turn AS query_id, {O._band_columns(O.words('text'))} FROM conversations"
 )
 def query_thresholds(spark, sf):
     bands = B.bands_for_query(F.col("query"))
@@ -348,19 +375,16 @@ def compare_query_to_document(spark, sf):
     return shown(rows.select("*", "bands.*").drop("bands"))
 
 
-def _reply_pairs(spark, sf):
-    """Every assistant turn as a document, asked the turn before it."""
+def _turn_pairs(spark, sf):
+    """Every turn as a document, asked the turn before it."""
     turns = W.turn_queries(spark, sf)
-    replies = turns.filter(F.col("scope") == "assistant").select(
-        F.col("query_id").alias("doc_id"), F.col("query").alias("text"), "scope"
-    )
-    pairs = replies.select((F.col("doc_id") - 1).alias("query_id"), "doc_id")
-    return replies, turns, pairs
+    documents = turns.select(F.col("query_id").alias("doc_id"), F.col("query").alias("text"), "scope")
+    return documents, turns, W.turn_pairs(spark, sf)
 
 
 _PAIRS = f"""
-turns AS (SELECT conv_id * 1000 + turn AS id, role, text FROM conversations),
-pairs AS (SELECT q.id AS query_id, d.id AS doc_id, q.text AS query FROM turns d JOIN turns q ON q.id = d.id - 1 WHERE d.role = 'assistant'),
+turns AS (SELECT conv_id, turn, conv_id * {W.TURNS} + turn AS id, text FROM conversations),
+pairs AS (SELECT q.id AS query_id, d.id AS doc_id, q.text AS query FROM turns d JOIN turns q ON q.conv_id = d.conv_id AND q.turn = d.turn - 1),
 qt AS ({O._terms("pairs", "query_id", "query")}),
 ct AS ({O._terms("chunks", "doc_id, chunk_index", "text")}),
 qn AS (SELECT query_id, sum(n * n) AS sq FROM qt GROUP BY 1),
@@ -373,18 +397,15 @@ pair_scored AS (SELECT *, {O.INTERPRET} AS interpretation FROM (SELECT p.query_i
   FROM pairs p JOIN chunks c USING (doc_id) LEFT JOIN qn USING (query_id)
   LEFT JOIN cn ON cn.doc_id = c.doc_id AND cn.chunk_index = c.chunk_index
   LEFT JOIN pd ON pd.query_id = p.query_id AND pd.doc_id = c.doc_id AND pd.chunk_index = c.chunk_index))"""
-_REPLIES = O.PRELUDES["plain"].replace(
-    O.CORPORA["plain"], "SELECT conv_id * 1000 + turn AS doc_id, text, role AS scope FROM conversations WHERE role = 'assistant'"
+_TURNS = O.PRELUDES["plain"].replace(
+    O.CORPORA["plain"], f"SELECT conv_id * {W.TURNS} + turn AS doc_id, text, role AS scope FROM conversations"
 )
 
 
-@register(_REPLIES + "," + _PAIRS + f"\nSELECT {KEY}, {r('similarity')}, interpretation FROM pair_scored")
+@register(_TURNS + "," + _PAIRS + f"\nSELECT {KEY}, {r('similarity')}, interpretation FROM pair_scored")
 def compare_pairs(spark, sf):
-    replies, turns, pairs = _reply_pairs(spark, sf)
-    rows = chunking.chunk_documents(replies, "flat", ChunkOptions(with_offsets=False))
-    chunks = embedding.embed(rows, W.EMBEDDER)
-    scored = similarity.score_pairs(chunks, similarity.prepare_queries(turns, W.EMBEDDER), pairs)
-    return shown(scored, *K, "similarity", "interpretation")
+    documents, turns, pairs = _turn_pairs(spark, sf)
+    return shown(score_documents(documents, turns, W.EMBEDDER, pairs=pairs), *K, "similarity", "interpretation")
 
 
 @register(O.on("plain", f"SELECT {KEY}, {r('similarity')}, interpretation, text_preview FROM scored"))
@@ -397,12 +418,12 @@ def score_prechunked(spark, sf):
 
 @register(O.on("plain", f"SELECT {KEY}, {r('similarity')} FROM scored WHERE similarity >= 0.6"))
 def result_above(spark, sf):
-    return shown(similarity.above(plain_scored(spark, sf), 0.6), *K, "similarity")
+    return shown(diagnostics.above(plain_scored(spark, sf), 0.6), *K, "similarity")
 
 
 @register(O.on("plain", f"SELECT {KEY}, {r('similarity')} FROM scored WHERE similarity < 0.6"))
 def result_below(spark, sf):
-    return shown(similarity.below(plain_scored(spark, sf), 0.6), *K, "similarity")
+    return shown(diagnostics.below(plain_scored(spark, sf), 0.6), *K, "similarity")
 
 
 # --- diagnostics -----------------------------------------------------------------------
@@ -432,8 +453,8 @@ round(CASE WHEN hi = lo THEN 0.5 ELSE (similarity - lo) / (hi - lo) END, 6) AS n
 
 @register(_VECTOR_RANK)
 def similarity_rank_hot(spark, sf):
-    """Reports of unknown size: every label above 40 vectors is ranked in cells."""
-    ranked = ranking.rank_chunks(materialize(vector_scored(spark, sf)), hot_group_rows=40)
+    """Reports of unknown size are ranked in cells."""
+    ranked = ranking.rank_chunks(materialize(vector_scored(spark, sf)), pre_chunked=True)
     rows = ranked.withColumn("normalized_score", diagnostics.normalized_score())
     return shown(rows, *K, "similarity", "similarity_rank", "normalized_score")
 
@@ -443,12 +464,11 @@ def normalized_score(spark, sf):
     return shown(diagnostics.diagnose(plain_scored(spark, sf)), *K, "normalized_score")
 
 
-@register(O.on("plain", f"SELECT doc_id, chunk_index, {r('position_percent')} FROM diag GROUP BY ALL"))
+@register(O.on("plain", """SELECT doc_id, chunk_index,
+round(CASE WHEN chunk_count > 1 THEN chunk_index::DOUBLE / (chunk_count - 1) ELSE 0.0 END, 6) AS position_percent FROM chunks"""))
 def position_percent(spark, sf):
-    rows = chunking.chunk_documents(W.documents(spark, sf).filter(F.col("scope") != ""), "flat", ChunkOptions(with_offsets=False))
-    asked = W.topics(spark).select("scope").distinct()
-    located = rows.join(asked, "scope", "left_semi").withColumn("position_percent", diagnostics.position_percent())
-    return shown(located, "doc_id", "chunk_index", "position_percent")
+    rows = chunking.chunk_documents(W.documents(spark, sf), "flat", ChunkOptions(with_offsets=False))
+    return shown(rows.withColumn("position_percent", diagnostics.position_percent()), "doc_id", "chunk_index", "position_percent")
 
 
 @register(O.on("plain", "SELECT doc_id, chunk_index, text_preview, target_preview, example_text FROM chunks"))
@@ -459,6 +479,13 @@ def text_preview(spark, sf):
     return diagnostics.with_text_facts(rows).select("doc_id", "chunk_index", *previews)
 
 
+@register(O.on("plain", f"SELECT doc_id, chunk_index, {O.preview('text', 450)} AS text_preview FROM chunks"))
+def text_preview_long(spark, sf):
+    """A preview of any length: the beginning that is kept is as long."""
+    rows = chunking.chunk_documents(W.documents(spark, sf), "flat", ChunkOptions(with_offsets=False))
+    return diagnostics.with_text_facts(rows, lead_chars=450).select("doc_id", "chunk_index", diagnostics.preview(450).alias("text_preview"))
+
+
 _COUNTS = "chunks_strong, chunks_moderate, chunks_weak, chunks_off_topic"
 _SUMMARY = f"query_id, doc_id, total_chunks, {_COUNTS}, document_token_count, document_char_count"
 _SUMMARY_R = (
@@ -564,6 +591,37 @@ def similarity_sequence(spark, sf):
     return rows.withColumns({c: micro(F.col(c)) for c in ("similarities", "normalized_scores")})
 
 
+@register(O.on("plain", f"""SELECT query_id, doc_id, chunk_index // 4 AS segment,
+string_agg(round(similarity * 1000000)::BIGINT::VARCHAR, ',' ORDER BY chunk_index) AS similarities FROM diag GROUP BY ALL"""))
+def similarity_segments(spark, sf):
+    rows = diagnostics.sequences(diagnostics.diagnose(plain_scored(spark, sf)), segment_rows=4)
+    return rows.select("query_id", "doc_id", "segment", micro(F.col("similarities")).alias("similarities"))
+
+
+@register(_VECTOR_SCORED + """
+SELECT query_id, doc_id, chunk_index // 64 AS segment,
+string_agg(round(similarity * 1000000)::BIGINT::VARCHAR, ',' ORDER BY chunk_index) AS similarities FROM vec_scored GROUP BY ALL""")
+def vector_sequence(spark, sf):
+    """Sequences of reports of unknown size."""
+    ranked = ranking.rank_chunks(materialize(vector_scored(spark, sf)), pre_chunked=True)
+    rows = diagnostics.sequences(ranked.withColumn("normalized_score", diagnostics.normalized_score()), segment_rows=64)
+    return rows.select("query_id", "doc_id", "segment", micro(F.col("similarities")).alias("similarities"))
+
+
+@register(_VECTOR_SCORED + f"""
+SELECT query_id, doc_id, count(*) AS total_chunks, {r('max_similarity', 'min_similarity', 'avg_similarity', 'median_similarity', 'std_similarity')} FROM (
+  SELECT query_id, doc_id, count(*) AS n, max(similarity) AS max_similarity, min(similarity) AS min_similarity, avg(similarity) AS avg_similarity,
+    median(similarity) AS median_similarity, coalesce(stddev_samp(similarity), 0.0) AS std_similarity FROM vec_scored GROUP BY ALL) GROUP BY ALL""".replace("count(*) AS total_chunks", "max(n) AS total_chunks", 1))
+def vector_summary(spark, sf):
+    """Summaries, with the exact median, of reports of unknown size."""
+    ranked = ranking.rank_chunks(materialize(vector_scored(spark, sf)), pre_chunked=True)
+    sized = ranked.withColumns({"token_count": F.lit(1), "document_char_count": F.lit(1)})
+    return shown(
+        diagnostics.diagnostic_summary(sized), "query_id", "doc_id", "total_chunks", "max_similarity", "min_similarity", "avg_similarity",
+        "median_similarity", "std_similarity",
+    )
+
+
 @register(O.on("plain", f"""SELECT {KEY}, greatest(8, round_even(similarity * 64, 0)::INT) AS bar_height,
 round_even(similarity, 2) AS shown_similarity, interpretation, {O.collapse('text_preview')} AS preview FROM diag WHERE chunk_count >= 2"""))
 def drift_rows(spark, sf):
@@ -629,16 +687,19 @@ def content_signals(spark, sf):
     return shown(rows, "query_id", "doc_id", *signals.SIGNAL_COLUMNS, "intent")
 
 
-@register("WITH qs AS (SELECT conv_id * 1000 + turn AS query_id, text AS query FROM conversations),"
+@register(f"WITH qs AS (SELECT conv_id * {W.TURNS} + turn AS query_id, text AS query FROM conversations),"
           + ", ".join(O.terms("qs"))
           + " SELECT query_id, coalesce(string_agg(term, ',' ORDER BY k), '') AS terms FROM qs LEFT JOIN term_rows USING (query_id) GROUP BY 1")
 def query_terms(spark, sf):
     return W.turn_queries(spark, sf).select("query_id", joined(signals.query_terms(F.col("query"))).alias("terms"))
 
 
-@register(f"SELECT doc_id, {O.intent('text')} AS intent FROM documents")
+@register(f"""SELECT conv_id * {W.TURNS} + turn AS query_id, {O.intent('text')} AS intent FROM conversations
+UNION ALL SELECT -query_id, coalesce(nullif(intent_override, 'auto'), {O.intent('query')}) FROM ({O.TOPICS_SQL})""")
 def infer_intent(spark, sf):
-    return W.documents(spark, sf).select("doc_id", signals.infer_intent(F.col("text")).alias("intent"))
+    """Of every turn as a query, and of the topics (as negative ids) with their overrides."""
+    topics = W.topics(spark).withColumn("query_id", -F.col("query_id"))
+    return signals.with_query_facts(W.turn_queries(spark, sf).unionByName(topics)).select("query_id", "intent")
 
 
 # --- recommendations --------------------------------------------------------------------------
@@ -701,14 +762,14 @@ def recs_by_priority(spark, sf):
 
 @register(O.on("mixed", f"SELECT query_id, doc_id, intro_chunks, best_chunk_index, {r('intro_similarity', 'best_position')} FROM facts"))
 def intro_band(spark, sf):
-    facts = diagnostics.report_facts(mixed_scored(spark, sf))
+    facts = diagnostics.report_numbers(mixed_scored(spark, sf))
     return shown(nextsteps.intro_band(facts), "query_id", "doc_id", "intro_chunks", "best_chunk_index", "intro_similarity", "best_position")
 
 
 @register(O.on("mixed", "SELECT query_id, doc_id, step, ['high', 'medium', 'low'][ord] AS priority, minutes, target_count FROM step_rows"))
 def geo_steps(spark, sf):
     """Every step that applies, before the report keeps the first seven."""
-    rows = nextsteps.next_steps(mixed_analysis(spark, sf).reports, max_steps=11)
+    rows = mixed_analysis(spark, sf).steps(max_steps=11)
     return rows.select("query_id", "doc_id", "step", "priority", "minutes", "target_count")
 
 
@@ -762,4 +823,84 @@ row_number() OVER (PARTITION BY query_id, doc_id ORDER BY source, item_no) AS nu
   SELECT query_id, doc_id, 'next_step' AS source, step AS item, priority, position AS item_no FROM steps
   UNION ALL SELECT query_id, doc_id, 'recommendation', rec_type, priority, position FROM recs)"""))
 def action_plan(spark, sf):
-    return mixed_analysis(spark, sf).action_plan
+    return mixed_analysis(spark, sf).action_plan.select("query_id", "doc_id", "source", "item", "priority", "number")
+
+
+# --- wording, rejects, pairs --------------------------------------------------------------------------
+
+
+def _recommendation_texts(part: int) -> str:
+    cases = " ".join(f"WHEN '{name}' THEN {O.filled(texts[part])}" for name, texts in guidance.RECOMMENDATIONS.items())
+    return f"CASE rec_type {cases} END"
+
+
+@register(O.on("mixed", f"""SELECT query_id, doc_id, position, rec_type, {_recommendation_texts(0)} AS what, {_recommendation_texts(1)} AS why,
+{_recommendation_texts(2)} AS how FROM recs JOIN facts f USING (query_id, doc_id) LEFT JOIN (
+  SELECT query_id, doc_id, arg_min(heading, section_index) AS low_heading, arg_min(coverage_score, section_index) AS low_score FROM secs
+  WHERE coverage_score < {S.LOW_SECTION_COVERAGE} GROUP BY ALL) USING (query_id, doc_id)"""))
+def recommendations_worded(spark, sf):
+    rows = mixed_analysis(spark, sf).recommendations
+    return rows.select("query_id", "doc_id", "position", "rec_type", "what", "why", "how")
+
+
+def _step_texts(part: str) -> str:
+    def one(step) -> str:
+        value = getattr(step, part)
+        return O.lit(value) if part in ("title", "example") else O.filled(value)
+
+    return "CASE step " + " ".join(f"WHEN '{name}' THEN {one(step)}" for name, step in guidance.NEXT_STEPS.items()) + " END"
+
+
+@register(O.on("mixed", f"""SELECT query_id, doc_id, position, step, {', '.join(f'{_step_texts(p)} AS {p}' for p in ('title', 'why', 'how', 'example'))}
+FROM steps JOIN reports USING (query_id, doc_id)"""))
+def geo_steps_worded(spark, sf):
+    rows = mixed_analysis(spark, sf).next_steps
+    return rows.select("query_id", "doc_id", "position", "step", "title", "why", "how", "example")
+
+
+_FAULTS = f"""
+WITH d AS (SELECT doc_id, doc_id % 11 AS kind, CASE WHEN doc_id % 11 = 3 THEN 'elsewhere' ELSE lang END AS scope FROM documents),
+q AS (SELECT * FROM ({O.TOPICS_SQL}) WHERE query_id < 10),
+a AS (SELECT * FROM q UNION ALL SELECT 10, ' ', 'en', NULL UNION ALL SELECT 11, NULL, 'de', NULL UNION ALL SELECT 12, 'nobody there', 'nowhere', NULL),
+bad AS (SELECT doc_id, CASE kind WHEN 0 THEN 'document is null' WHEN 1 THEN 'document is blank' WHEN 2 THEN 'no chunks'
+  WHEN 3 THEN 'no query asks for it' WHEN 4 THEN 'unknown strategy' END AS reason FROM d WHERE kind < 5)"""
+
+
+def _faulty_analysis(spark, sf) -> Analysis:
+    return analyze(*W.faulty_inputs(spark, sf), W.EMBEDDER, F.col("strategy"))
+
+
+@register(_FAULTS + """
+SELECT NULL::BIGINT AS query_id, doc_id, NULL::INT AS chunk_index, reason FROM bad
+UNION ALL SELECT 10, NULL, NULL, 'query is blank' UNION ALL SELECT 11, NULL, NULL, 'query is null' UNION ALL SELECT 12, NULL, NULL, 'no document to ask'""")
+def analysis_rejects(spark, sf):
+    return _faulty_analysis(spark, sf).rejects
+
+
+@register(_FAULTS + f"""
+SELECT a.query_id, d.doc_id, bad.reason, 0 AS total_chunks, 0.0::DOUBLE AS coverage_score, 'Low' AS coverage_label, {O.lit(guidance.EMPTY_REPORT)} AS summary
+FROM d JOIN a USING (scope) JOIN bad USING (doc_id) WHERE trim(a.query) <> '' AND kind <> 3""")
+def empty_reports(spark, sf):
+    rows = _faulty_analysis(spark, sf).empty_reports
+    return rows.select("query_id", "doc_id", "reason", "total_chunks", "coverage_score", "coverage_label", "summary")
+
+
+@register(_TURNS + "," + _PAIRS + f"""
+SELECT query_id, doc_id, count(*) AS total_chunks, round(max(similarity), 6) AS max_similarity, round(avg(similarity), 6) AS avg_similarity
+FROM pair_scored GROUP BY ALL""")
+def analyze_pairs(spark, sf):
+    """The whole analysis over requested pairs; its reports carry the signals, too."""
+    documents, turns, pairs = _turn_pairs(spark, sf)
+    reports = analyze(documents, turns, W.EMBEDDER, pairs=pairs).reports
+    return shown(reports.filter(F.col("word_count") >= 0), "query_id", "doc_id", "total_chunks", "max_similarity", "avg_similarity")
+
+
+_OWN_BANDS = {"strong": 0.7, "moderate": 0.55, "weak": 0.3}
+
+
+@register(O.on("plain", f"""SELECT query_id, doc_id, count(*) FILTER (similarity >= 0.7) AS chunks_strong,
+count(*) FILTER (similarity < 0.3) AS chunks_off_topic, false AS is_short_topic FROM scored GROUP BY ALL"""))
+def score_card_custom_bands(spark, sf):
+    """Own bands are no sign of a short topic."""
+    card = analyze(W.documents(spark, sf), W.topics(spark), W.EMBEDDER, bands=_OWN_BANDS).score_card
+    return card.select("query_id", "doc_id", "chunks_strong", "chunks_off_topic", "is_short_topic")
