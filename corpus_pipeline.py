@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from topicgauge.llm import byte_bpe, exact_dedup, mixing, ngram_join, quality
-from topicgauge.llm.common import table
+from topicgauge.llm.common import hand_over_in_small_batches, table
 from topicgauge.llm.queries import VOCABULARY
 from topicgauge.sources.storage import materialize
 
@@ -25,11 +25,13 @@ def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def distinct_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the document with the largest id."""
+    hand_over_in_small_batches(spark)
     return exact_dedup.drop_duplicates(docs)
 
 
 def dissimilar_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates the document with the smallest id."""
+    hand_over_in_small_batches(spark)
     return ngram_join.drop_near_duplicates(docs)
 
 
@@ -40,6 +42,7 @@ def mixed_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def encoded_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The ids of every document, and whether they decode to its text."""
+    hand_over_in_small_batches(spark)
     path, pattern = public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN
     decoded = byte_bpe.decode(byte_bpe.encode(docs, path, pattern), path, pattern)
     return decoded.select("doc_id", byte_bpe.n_tokens(F.col("ids")).alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))

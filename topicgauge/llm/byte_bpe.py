@@ -86,6 +86,10 @@ class Vocabulary:
     def parse(data: bytes, pattern: str) -> Vocabulary:
         return Vocabulary({base64.b64decode(t): int(r) for t, r in map(bytes.split, data.splitlines()) if t}, pattern)
 
+    def forget(self) -> None:
+        for memo in (self.fits, self.merged, self.trees):
+            memo.clear()
+
     # --- one piece -----------------------------------------------------------
 
     def merge(self, data: bytes) -> list[int]:
@@ -246,6 +250,9 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
             ids = b"".join(map(cache.__getitem__, vocabulary.pieces((text or b"").decode())))
             yield from out.add((doc_id, ids), len(ids))
         yield from out.flush()
+        # the worker goes on with other work
+        cache.clear()
+        vocabulary.forget()
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(scan, ENCODED)
 

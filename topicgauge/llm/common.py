@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Iterator, Sequence
 
 import pyarrow as pa
@@ -9,12 +10,25 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows are handed on to Spark once they hold about this many bytes.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 2 << 20
+#: Bytes and rows of the batches in which Spark hands long texts to Python: they are held on both sides.
+ARROW_BYTES, ARROW_ROWS = 8 << 20, 1000
 LETTERS_UP = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LETTERS_LOW = LETTERS_UP.lower()
 
 
+def hand_over_in_small_batches(spark: SparkSession) -> None:
+    """Lower the session's Arrow batch limits to what texts need; lower limits stay, and no result depends on them."""
+    for name, limit in (("maxBytesPerBatch", ARROW_BYTES), ("maxRecordsPerBatch", ARROW_ROWS)):
+        setting = f"spark.sql.execution.arrow.{name}"
+        number, unit = re.match(r"(-?\d+)\s*([a-z]?)", spark.conf.get(setting).lower()).groups()
+        now = int(number) * {"k": 1 << 10, "m": 1 << 20, "g": 1 << 30}.get(unit, 1)
+        if now <= 0 or now > limit:
+            spark.conf.set(setting, str(limit))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    hand_over_in_small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

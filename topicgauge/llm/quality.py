@@ -167,6 +167,7 @@ def training_shards(docs: DataFrame, labels: DataFrame, may_learn: Column, limit
             index, value = features(text or b"")
             yield from out.add((turn % SHARDS, turn, label_, len(index), index.astype("<i4").tobytes(), value.astype("<f4").tobytes()), 8 * len(index))
         yield from out.flush()
+        _words.clear()
 
     def pack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = Rows(arrow_schema(packed))
@@ -224,6 +225,7 @@ def score(docs: DataFrame, weights: np.ndarray) -> DataFrame:
             index, value = features(text or b"")
             yield from out.add((doc_id, probability(w[index] @ value)))
         yield from out.flush()
+        _words.clear()
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(scan, schema)
 
@@ -241,5 +243,6 @@ def keep_good(docs: DataFrame, weights: np.ndarray, threshold: float = THRESHOLD
                 index, value = features(text or b"")
                 good.append(probability(w[index] @ value) >= threshold)
             yield batch.filter(pa.array(good, pa.bool_()))
+        _words.clear()  # the worker goes on with other work
 
     return docs.mapInArrow(scan, docs.schema)

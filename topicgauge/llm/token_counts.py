@@ -105,6 +105,8 @@ def attribute(docs: DataFrame, path: str, pattern: str, rule: str = "start", sec
                     for span, n in zip(spans, allocate(text, spans, vocabulary, rule)):
                         yield from out.add((row["doc_id"], *span, n), 64)
         yield from out.flush()
+        piece_sizes(vocabulary).clear()
+        vocabulary.forget()
 
     columns = [F.col("doc_id").cast("long"), F.col("text").cast("string")]
     if sections is not None:
