@@ -75,3 +75,10 @@ def test_filter_keeps_whole_rows(spark):
     assert sorted(map(repr, Q.keep_good(docs, weights).collect())) == sorted(map(repr, docs.collect()))
     weights[0] = -5
     assert Q.keep_good(docs, weights).collect() == [] and Q.keep_good(docs, weights).schema == docs.schema
+
+
+def test_sample_and_slots_are_not_cut(spark):
+    assert (Q.TRAIN_ROWS, Q.BITS) == (16_000, 18)
+    ids = spark.range(7_000)
+    rows = Q.training_shards(ids.selectExpr("id AS doc_id", "concat('w', id) AS text"), ids.selectExpr("id AS doc_id", "id % 2 AS quality"), F.lit(True))
+    assert sum(len(r.labels) for r in rows.collect()) == 7_000

@@ -31,9 +31,9 @@ from pyspark.sql import functions as F
 from topicgauge.llm.common import Rows, arrow_schema, grouped, rows_of
 from topicgauge.sources.storage import materialize
 
-BITS = 16
+BITS = 18
 #: Labelled rows that are learned from at most, chosen by hash of the id.
-TRAIN_ROWS = 6_000
+TRAIN_ROWS = 16_000
 SHARDS = 8
 ROUNDS = 8
 ALPHA, BETA, L1, L2 = 2.0, 1.0, 0.02, 0.0
