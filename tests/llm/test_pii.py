@@ -73,3 +73,16 @@ def test_table(spark):
     back = P.pseudonymize(spark.createDataFrame(got), b"any key", inverse=True)
     assert sorted(map(repr, ((r.doc_id, r.text) for r in back.collect()))) == sorted(map(repr, rows))
     assert P.pseudonymize(documents(spark, []), b"k").collect() == []
+
+
+@pytest.mark.parametrize("text, kind, value", [
+    ("4111 1111 1111 1111 123", "card", "4111 1111 1111 1111"), ("4111 1111 1111 1111 12/27", "card", "4111 1111 1111 1111"),
+    ("4111-1111-1111-1111-123", "card", "4111-1111-1111-1111"), ("12 4111 1111 1111 1111", "card", "4111 1111 1111 1111"),
+    ("BE68 5390 0754 7034 AND", "iban", "BE68 5390 0754 7034"), ("BE68 5390 0754 7034 WITH", "iban", "BE68 5390 0754 7034"),
+    ("BE68539007547034 IN", "iban", "BE68539007547034"), ("1987-03-05T10:00:00", "date", "1987-03-05"),
+])
+def test_values_followed_by_more(text, kind, value):
+    new, spans = P.replaced(f"Pay {text} now", KEY)
+    at = 4 + text.index(value)
+    assert spans == [(at, at + len(value), kind)]
+    assert new[:at] == f"Pay {text}"[:at] and new[at + len(value) :] == f"Pay {text} now"[at + len(value) :] and value not in new

@@ -9,6 +9,12 @@ computed anew. A permutation never maps two values to one, and equal values (wha
 separators) get equal pseudonyms in all documents, so links stay. The holder of the key can invert
 it. Names before an @ are permuted among names of the same pattern of letters and digits.
 
+A card or account may be followed by further digits or capitals (a security code, an expiry date, a
+word): when the longest reading fails its check, shorter ones that end where a run of letters and
+digits ends are tried, and a match that fails altogether does not hide one that starts inside it.
+A run of digits is not cut in its middle. Reading a pseudonym together with what follows it may
+pass by chance (a card's check: 1 in 10); the spans in ``kinds`` tell then what was replaced.
+
 A Feistel network works on 2w bits; a value that leaves the range is permuted again until it is
 back (cycle walking), which keeps it a permutation of the range. Only documents are read: one pass,
 no shuffle. Overlapping matches go to the one that begins first, then to the order of KINDS.
@@ -219,21 +225,24 @@ class Kind:
     ranked: Callable[[str], Ranked]
     #: What equal values share and the format: digits for most kinds.
     purpose: Callable[[str], str] = lambda text: re.sub(r"[^0-9]", "", re.sub(r"\d", "0", text))
+    #: What must follow the end of the match or of a prefix of it; without it, only the whole match counts.
+    border: str = ""
 
 
 _EDGE, _END = r"(?<![\w.+-])", r"(?![\w-]|\.\d)"
 KINDS = (
     Kind("mail", r"[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9](?:[A-Za-z0-9-]{0,62}\.)+[A-Za-z]{2,24}", mail, lambda text: re.sub("[A-Z]", "A", re.sub("[a-z]", "a", re.sub("[0-9]", "0", text.rsplit("@", 1)[0])))),
-    Kind("iban", _EDGE + r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?" + _END, iban, lambda text: text[:2] + re.sub(r"\d", "0", text.replace(" ", "")[4:])),
-    Kind("card", _EDGE + r"\d(?:[ -]?\d){12,18}" + _END, card, lambda text: text[0] + str(len(only_digits(text)))),
+    Kind("iban", _EDGE + r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?", iban, lambda text: text[:2] + re.sub(r"\d", "0", text.replace(" ", "")[4:]), _END),
+    Kind("card", _EDGE + r"\d(?:[ -]?\d){12,18}", card, lambda text: text[0] + str(len(only_digits(text))), r"(?!\w|-(?!\d)|\.\d)"),
     Kind("social", _EDGE + r"\d{3}([- ])\d{2}\1\d{4}" + _END, social),
     Kind("phone", r"(?<![\w.-])(?:\+?1[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}" + _END, phone, lambda text: str(only_digits(text)[-7:-4] == "555")),
     Kind("ip", _EDGE + r"\d{1,3}(?:\.\d{1,3}){3}" + _END, ip, lambda text: "v4"),
-    Kind("date", _EDGE + r"\d{4}([-/.])\d{2}\1\d{2}" + _END, day("ymd"), lambda text: "day"),
+    Kind("date", _EDGE + r"\d{4}([-/.])\d{2}\1\d{2}(?:(?=T\d{2}:?\d{2})|" + _END + ")", day("ymd"), lambda text: "day"),
     Kind("date", _EDGE + r"\d{2}([-.])\d{2}\1\d{4}" + _END, day("dmy"), lambda text: "day"),
     Kind("date", _EDGE + r"\d{2}/\d{2}/\d{4}" + _END, day("mdy"), lambda text: "day"),
 )
 _PATTERNS = [re.compile(k.pattern, re.ASCII) for k in KINDS]
+_BORDERS = [re.compile(k.border, re.ASCII) if k.border else None for k in KINDS]
 #: What a text must hold for a kind to be looked for: an @, a country with check digits, or four digits close together.
 _HINTS = {"mail": re.compile("@"), "iban": re.compile(r"[A-Z]{2}\d{2}")}
 _NUMBER = re.compile(r"\d(?:[ ()./-]{0,2}\d){3}", re.ASCII)
@@ -248,16 +257,24 @@ def pseudonym(kind: Kind, text: str, key: bytes, inverse: bool = False) -> str |
     return write(permute(rank, size, key, f"{kind.name} {kind.purpose(text)}", inverse))
 
 
+def valid(text: str, k: int) -> Iterator[tuple[int, int]]:
+    """Where the kind's values stand: of each start the longest that passes the check."""
+    at, border = 0, _BORDERS[k]
+    while m := _PATTERNS[k].search(text, at):
+        start, end = m.span()
+        at = start + 1
+        ends = (e for e in range(end, start, -1) if text[e - 1] not in " -" and border.match(text, e)) if border else (end,)
+        for e in ends:
+            if KINDS[k].ranked(text[start:e]) is not None:
+                yield start, e
+                at = e
+                break
+
+
 def finds(text: str) -> Iterator[tuple[int, int, Kind]]:
     """Valid matches in order, without overlaps."""
     hinted = {hint: bool(hint.search(text)) for hint in (*_HINTS.values(), _NUMBER)}
-    found = sorted(
-        (m.start(), k, m.end())
-        for k, pattern in enumerate(_PATTERNS)
-        if hinted[_HINTS.get(KINDS[k].name, _NUMBER)]
-        for m in pattern.finditer(text)
-        if KINDS[k].ranked(m[0]) is not None
-    )
+    found = sorted((start, k, end) for k, kind in enumerate(KINDS) if hinted[_HINTS.get(kind.name, _NUMBER)] for start, end in valid(text, k))
     at = 0
     for start, k, end in found:
         if start >= at:
