@@ -86,3 +86,24 @@ def test_values_followed_by_more(text, kind, value):
     at = 4 + text.index(value)
     assert spans == [(at, at + len(value), kind)]
     assert new[:at] == f"Pay {text}"[:at] and new[at + len(value) :] == f"Pay {text} now"[at + len(value) :] and value not in new
+
+
+@pytest.mark.parametrize("text, kind", [
+    ("+1 (017) 555-7713", "phone"), ("+1 (212) 044-0123", "phone"), ("(117) 144-0123", "phone"), ("+12124440123", "phone"), ("+49 30 12345678", "phone"),
+    ("+44 (0) 20-7946-0018", "phone"), ("233.254.104.120", "ip"), ("10.20.30.40", "ip"), ("0.1.2.3", "ip"), ("127.204.92.12", "ip"), ("127.0.0.2", "ip"), ("127.0.0.0", "ip"), ("255.255.255.255", "ip"),
+])
+def test_whole_range_of_codes_and_addresses(text, kind):
+    new, spans = P.replaced(f"At {text} now", KEY)
+    assert spans == [(3, 3 + len(text), kind)] and new != f"At {text} now"
+    assert [k.name for *_, k in P.finds(new)] == [kind]
+    assert P.replaced(new, KEY, inverse=True)[0] == f"At {text} now"
+
+
+def test_numbers_of_every_class_never_meet():
+    rng = random.Random(5)
+    values = {f"+1 ({rng.choice([17, 199, 200, 999]):03d}) {rng.choice([0, 199, 200, 554, 555, 556, 999]):03d}-{rng.randint(0, 9999):04d}" for _ in range(20_000)}
+    new = {v: P.replaced(v, KEY)[0] for v in values}
+    assert len(set(new.values())) == len(values)
+    assert all((v[9:12] == "555") == (w[9:12] == "555") for v, w in new.items())
+    assert all(P.replaced(w, KEY, inverse=True)[0] == v for v, w in new.items())
+    assert len({re.sub(r"\D", "", P.replaced(v, KEY)[0])[-10:] for v in ("+12124440123", "212-444-0123", "+1 (212) 444-0123")}) == 1

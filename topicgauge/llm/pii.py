@@ -108,37 +108,86 @@ def card(text: str) -> Ranked:
 
 
 def ip(text: str) -> Ranked:
-    """Four octets; 0, 10, 127 and from 224 on are no public first octets and stay as they are."""
+    """Four octets. First octets that are not public (0, 10, 127, from 224 on) change among themselves; only 127.0.0.1 stays."""
     octets = [int(x) for x in text.split(".")]
-    if any(x > 255 for x in octets) or octets[0] in (0, 10, 127) or octets[0] >= 224:
+    if any(x > 255 for x in octets) or octets == [127, 0, 0, 1]:
         return None
-    heads = [x for x in range(1, 224) if x not in (10, 127)]
+    public = lambda x: 0 < x < 224 and x not in (10, 127)
+    heads = [x for x in range(256) if public(x) == public(octets[0])]
+    size = len(heads) << 24
+    # ranks from that of 127.0.0.1 on are one less
+    left_out = size if public(octets[0]) else heads.index(127) << 24 | 1
     rank = heads.index(octets[0]) << 24 | octets[1] << 16 | octets[2] << 8 | octets[3]
-    return rank, len(heads) << 24, lambda r: f"{heads[r >> 24]}.{r >> 16 & 255}.{r >> 8 & 255}.{r & 255}"
+
+    def write(r: int) -> str:
+        r += r >= left_out
+        return f"{heads[r >> 24]}.{r >> 16 & 255}.{r >> 8 & 255}.{r & 255}"
+
+    return rank - (rank > left_out), size - (left_out < size), write
+
+
+def _codes(code: str) -> tuple[str, int, int]:
+    """The class of a three-digit code, its first code and size: from 200 on they are assigned, below they are not."""
+    return ("low", 0, 200) if code < "200" else ("high", 200, 800)
 
 
 def phone(text: str) -> Ranked:
-    """Ten digits after the country code 1: area and exchange begin with 2 to 9. Fictional exchange 555 stays so."""
+    """Ten digits after the country code 1. Area and exchange stay below 200 or from 200 on, the fictional exchange 555 stays.
+
+    Codes below 200 are none that are assigned: bare groups of digits with them are no number, but
+    with a country code or an area in brackets they are.
+    """
     digits = only_digits(text)
     code, national = digits[:-10], digits[-10:]
-    if code not in ("", "1") or national[0] < "2" or national[3] < "2":
+    _, area_from, areas = _codes(national[:3])
+    exchange_class, exchange_from, exchanges = _codes(national[3:6])
+    if code not in ("", "1") or "low" in (_codes(national[:3])[0], exchange_class) and not (code or "(" in text):
         return None
+    area, exchange, line = int(national[:3]) - area_from, int(national[3:6]) - exchange_from, int(national[6:])
     if national[3:6] == "555":
-        rank = (int(national[0]) - 2) * 10**6 + int(national[1:3] + national[6:])
+        exchange, exchange_from, exchanges = 0, 555, 1
+    elif exchange_class == "high":
+        # 555 is a class of its own
+        exchange, exchanges = exchange - (exchange > 355), 799
+    skip = exchanges == 799
+
+    def write(r: int) -> str:
+        rest, line_ = divmod(r, 10**4)
+        area_, exchange_ = divmod(rest, exchanges)
+        exchange_ += skip and exchange_ >= 355
+        return refill(text, f"{code}{area_ + area_from:03d}{exchange_ + exchange_from:03d}{line_:04d}")
+
+    return (area * exchanges + exchange) * 10**4 + line, areas * exchanges * 10**4, write
 
-        def write(r: int) -> str:
-            rest = str(r % 10**6).zfill(6)
-            return refill(text, f"{code}{r // 10**6 + 2}{rest[:2]}555{rest[2:]}")
 
-        return rank, 8 * 10**6, write
-    area, exchange = (int(national[0]) - 2) * 100 + int(national[1:3]), (int(national[3]) - 2) * 100 + int(national[4:6])
-    rank = (area * 800 + exchange) * 10**4 + int(national[6:])
+def phone_format(text: str) -> str:
+    national = only_digits(text)[-10:]
+    return " ".join((_codes(national[:3])[0], "555" if national[3:6] == "555" else _codes(national[3:6])[0]))
 
-    def write_all(r: int) -> str:
-        line, rest = r % 10**4, r // 10**4
-        return refill(text, f"{code}{rest // 800 + 200}{rest % 800 + 200}{line:04d}")
 
-    return rank, 800 * 800 * 10**4, write_all
+#: Country codes of one and of two digits; all others have three.
+_SHORT_CODES = {"7", *"20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split()}
+
+
+def country(digits: str) -> str:
+    return next((digits[:n] for n in (1, 2) if digits[:n] in _SHORT_CODES), digits[:3])
+
+
+def phone_abroad(text: str) -> Ranked:
+    """8 to 15 digits after a plus; the country code stays. After +1 the rule of ten digits holds."""
+    digits = only_digits(text)
+    if digits[0] == "1":
+        return phone(text)
+    if not 8 <= len(digits) <= 15:
+        return None
+    code = country(digits)
+    n = len(digits) - len(code)
+    return int(digits[len(code) :]), 10**n, lambda r: refill(text, code + str(r).zfill(n))
+
+
+def abroad_format(text: str) -> str:
+    digits = only_digits(text)
+    return phone_format(text) if digits[0] == "1" else f"+{country(digits)} {len(digits)}"
 
 
 def social(text: str) -> Ranked:
@@ -235,7 +284,8 @@ KINDS = (
     Kind("iban", _EDGE + r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?", iban, lambda text: text[:2] + re.sub(r"\d", "0", text.replace(" ", "")[4:]), _END),
     Kind("card", _EDGE + r"\d(?:[ -]?\d){12,18}", card, lambda text: text[0] + str(len(only_digits(text))), r"(?!\w|-(?!\d)|\.\d)"),
     Kind("social", _EDGE + r"\d{3}([- ])\d{2}\1\d{4}" + _END, social),
-    Kind("phone", r"(?<![\w.-])(?:\+?1[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}" + _END, phone, lambda text: str(only_digits(text)[-7:-4] == "555")),
+    Kind("phone", r"(?<![\w.-])(?:\+?1[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}" + _END, phone, phone_format),
+    Kind("phone", r"(?<![\w.-])\+[1-9]\d{0,2}(?:[ -]?(?:\(\d{1,4}\)|\d)){5,14}" + _END, phone_abroad, abroad_format),
     Kind("ip", _EDGE + r"\d{1,3}(?:\.\d{1,3}){3}" + _END, ip, lambda text: "v4"),
     Kind("date", _EDGE + r"\d{4}([-/.])\d{2}\1\d{2}(?:(?=T\d{2}:?\d{2})|" + _END + ")", day("ymd"), lambda text: "day"),
     Kind("date", _EDGE + r"\d{2}([-.])\d{2}\1\d{4}" + _END, day("dmy"), lambda text: "day"),
