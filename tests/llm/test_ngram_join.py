@@ -103,3 +103,18 @@ def test_first_of_each_group_stays(spark):
     rows = [(7, "a b c d e f g"), (3, "A b c d e f g"), (9, "other words that stand here alone"), (10, None)]
     kept = N.drop_near_duplicates(documents(spark, rows, ("stays",)))
     assert sorted(r.doc_id for r in kept.collect()) == [3, 9, 10] and kept.columns[-1] == "stays"
+
+
+def test_near_duplicates_without_ids_and_with_repeated_ones(spark):
+    base = [f"x{i}" for i in range(40)]
+    near = [" ".join(base[:k]) for k in (40, 39, 38)]
+    other = [" ".join(w.replace("x", "y") for w in t.split()) for t in near]
+    more = [" ".join(w.replace("x", "z") for w in t.split()) for t in near]
+    rows = [(None, near[0]), (None, near[1]), (None, near[2].upper()), (None, near[2]), (None, "alone here"), (None, None), (None, "")]
+    rows += [(5, other[0]), (None, other[1]), (2, other[2]), (2, other[2].upper()), (2, more[1]), (1, more[0]), (2, "alone as well")]
+    assert found(spark, rows) == brute(rows)
+    kept = N.drop_near_duplicates(documents(spark, rows, ("class", "rows", "of", "first_id"))).collect()
+    alone = [(None, "alone here"), (None, None), (None, ""), (2, "alone as well"), (1, more[0]), (2, other[2].upper())]
+    got = sorted(((r.doc_id, r.text) for r in kept), key=repr)
+    (left,) = [r for r in got if r not in alone]
+    assert left[0] is None and left[1].lower() in near and len(got) == len(alone) + 1

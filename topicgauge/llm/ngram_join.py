@@ -41,6 +41,7 @@ import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from topicgauge.llm.common import Rows, arrow_schema, fresh, grouped, rows_of
 from topicgauge.llm.components import components
@@ -407,9 +408,9 @@ def near_duplicates(docs: DataFrame, width: int = WORDS, percent: int = PERCENT,
     roots = materialize(components(links.select("u", "v")).select(F.col("node").alias("class"), "root"))
     smallest = roots.join(classes.select("class", "first_id"), "class").groupBy("root").agg(F.min("first_id").alias("least_id"))
     degree = links.groupBy(F.col("u").alias("class")).agg(F.sum("links").alias("links"))
-    connected = roots.join(smallest, "root").join(degree, "class", "left").select("class", "least_id", "links")
+    connected = roots.join(smallest, "root").join(degree, "class", "left").select("class", "root", "least_id", "links")
     known = (
-        classes.join(connected, "class", "left").filter((F.col("copies") > 1) | F.col("least_id").isNotNull())
+        classes.join(connected, "class", "left").filter((F.col("copies") > 1) | F.col("root").isNotNull())
         .select(
             "class", F.coalesce("least_id", "first_id").alias("component"),
             (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"),
@@ -421,8 +422,46 @@ def near_duplicates(docs: DataFrame, width: int = WORDS, percent: int = PERCENT,
     )
 
 
+def with_class(docs: DataFrame, name: str) -> DataFrame:
+    """The rows of ``docs`` and their class; a row without words gets a name of its own, shorter than that of a class."""
+    text_at, names = docs.columns.index("text"), [*docs.columns, name]
+
+    def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, turn = TaskContext.get().partitionId(), 0
+        for batch in batches:
+            classes = []
+            for (text,) in rows_of([batch.select([text_at])]):
+                turn += 1
+                classes.append(class_of(ngrams(text or b"")) or (task << 40 | turn).to_bytes(12, "big"))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(classes, pa.binary())], names)
+
+    return docs.mapInArrow(scan, T.StructType([*docs.schema.fields, T.StructField(name, T.BinaryType())]))
+
+
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stay: of each component the document with the smallest id, whose rows all stay."""
-    (stays,) = fresh(docs, "stays")
-    first = near_duplicates(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(stays))
-    return docs.join(first, F.col("doc_id").eqNullSafe(F.col(stays)), "left_semi")
+    """One row of each component, and all rows without words.
+
+    It is a row of the smallest id, null being the last, and among classes with that id of the
+    smallest; of rows that share both the one with the least text. An id that also stands in other
+    components does not keep their rows.
+    """
+    key, first_id, rows = fresh(docs, "class", "first_id", "rows")
+    listed, links = near_links(docs)
+    roots = components(links.select("u", "v")).select(F.col("node").alias("class"), "root")
+    ids = listed.filter(F.col("class").isNotNull()).groupBy("class", "doc_id").agg(F.count(F.lit(1)).alias("rows"))
+    classes = ids.groupBy("class").agg(F.min("doc_id").alias("first_id"), F.sum("rows").alias("copies"), F.min_by("rows", "doc_id").alias("own"))
+    groups = materialize(
+        classes.join(roots, "class", "left").filter((F.col("copies") > 1) | F.col("root").isNotNull())
+        .select("class", F.coalesce("root", "class").alias("root"), "first_id", F.coalesce("own", "copies").alias("rows"))
+    )
+    best = F.min(F.struct(F.col("first_id").isNull().alias("last"), "first_id", "class", "rows")).alias("best")
+    stays = groups.groupBy("root").agg(best).select("best.class", "best.first_id", "best.rows")
+    members = materialize(groups.select("class").join(stays, "class", "left").select(F.col("class").alias("of"), F.col("first_id").alias(first_id), F.col("rows").alias(rows)))
+    (of,) = fresh(docs.select("*", *[F.lit(0).alias(c) for c in (key, first_id, rows)]), "of")
+    judged = with_class(docs, key).join(members.withColumnRenamed("of", of), F.col(key) == F.col(of), "left")
+    first = F.col("doc_id").cast("long").eqNullSafe(F.col(first_id))
+    kept = judged.filter(F.col(of).isNull() | (F.col(rows) == 1) & first).select(*docs.columns)
+    if members.filter(F.col(rows) > 1).isEmpty():
+        return kept
+    repeated = judged.filter((F.col(rows) > 1) & first).groupBy(key).agg(F.min_by(F.struct(*docs.columns), "text").alias("row"))
+    return kept.unionByName(repeated.select("row.*"))
