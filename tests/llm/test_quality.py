@@ -82,3 +82,12 @@ def test_sample_and_slots_are_not_cut(spark):
     ids = spark.range(7_000)
     rows = Q.training_shards(ids.selectExpr("id AS doc_id", "concat('w', id) AS text"), ids.selectExpr("id AS doc_id", "id % 2 AS quality"), F.lit(True))
     assert sum(len(r.labels) for r in rows.collect()) == 7_000
+
+
+def test_repeated_ids_stay_within_the_bound(spark):
+    docs = documents(spark, [(1, f"text {i % 7}") for i in range(60)] + [(i, f"own {i}") for i in range(2, 12)] + [(12, None), (12, None)])
+    labels = spark.range(1, 13).selectExpr("id AS doc_id", "id % 2 AS quality")
+    packed = Q.training_shards(docs, labels, F.lit(True), limit=20).collect()
+    assert sorted(label for r in packed for label in r.labels) == [0] * 6 + [1] * 6
+    again = Q.training_shards(docs.orderBy(F.desc("text")), labels, F.lit(True), limit=20).collect()
+    assert sorted(map(repr, packed)) == sorted(map(repr, again))
