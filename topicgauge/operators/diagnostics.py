@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from topicgauge import settings as S
 from topicgauge.functions import bands as B
 from topicgauge.functions import text as X
+from topicgauge.functions.order import order_key
 from topicgauge.operators.ranking import REPORT, rank_chunks, top_n
 
 def position_percent() -> Column:
@@ -153,18 +154,16 @@ def diagnostic_summary(ranked: DataFrame) -> DataFrame:
     )
 
 
-#: Similarities as whole numbers: 2^53 steps per unit keep every double from 0.5 to 1 apart.
-_STEPS = float(1 << 53)
 _INDICES = 1 << 31
 
 
 def _best_key() -> Column:
     """Similarity and chunk index as one number, whose maximum is the first of the most similar chunks.
 
-    Unlike a struct it has a fixed width, so the aggregation that takes its maximum is hashed.
+    Unlike a struct it has a fixed width, so the aggregation that takes its maximum is hashed. Similarities that differ
+    have different keys, however close they are.
     """
-    steps = F.floor(F.col("similarity") * _STEPS).cast("decimal(17,0)")
-    return steps * F.lit(_INDICES).cast("decimal(10,0)") - F.col("chunk_index").cast("decimal(10,0)")
+    return order_key(F.col("similarity")) * F.lit(_INDICES).cast("decimal(10,0)") - F.col("chunk_index").cast("decimal(10,0)")
 
 
 def _best_index(key: Column) -> Column:

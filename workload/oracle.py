@@ -163,6 +163,7 @@ def _chunks(corpus: str) -> list[str]:
         _recursive_pack("packed", "sent", "doc_id", "tok", S.TARGET_TOKENS),
         """flat AS MATERIALIZED (SELECT doc_id, piece AS chunk_index, string_agg(s, ' ' ORDER BY i) AS text, sum(tok)::INT AS token_count
   FROM packed JOIN sent USING (doc_id, i) GROUP BY doc_id, piece)""",
+        *_offsets(),
         # Section chunks
         f"""long_lead AS (SELECT doc_id, sec, generate_subscripts(ss, 1) AS i, unnest(ss) AS s FROM (
   SELECT doc_id, sec, {pieces('content')} AS ss FROM sections WHERE level = 4 AND {words('content')} > {S.ATOMIC_MAX_WORDS}))""",
@@ -175,7 +176,7 @@ def _chunks(corpus: str) -> list[str]:
   c.text, s.char_start, s.char_end, s.level AS lv, s.heading FROM cut c JOIN sections s USING (doc_id, sec))""",
         f"""chunk_rows AS MATERIALIZED (
   SELECT doc_id, chunk_index::INT AS chunk_index, text, token_count, 'flat' AS level, NULL::VARCHAR AS heading,
-         NULL::INT AS parent_index, 0 AS depth, NULL::INT AS char_start, NULL::INT AS char_end FROM flat
+         NULL::INT AS parent_index, 0 AS depth, char_start::INT AS char_start, char_end::INT AS char_end FROM flat JOIN flat_placed USING (doc_id, chunk_index)
   UNION ALL
   SELECT doc_id, chunk_index::INT, text, {tokens('text')}::INT, CASE lv WHEN 2 THEN 'macro' WHEN 3 THEN 'micro' ELSE 'atomic' END,
          heading, CASE WHEN lv = 3 THEN max(CASE WHEN lv = 2 THEN chunk_index END) OVER (
@@ -464,7 +465,7 @@ def _steps() -> list[str]:
 
 def _prelude(corpus: str) -> str:
     return "WITH RECURSIVE " + ",\n".join(
-        [*_chunks(corpus), *_offsets(), *_scored(), *_reports(), *_signals(), *_steps()]
+        [*_chunks(corpus), *_scored(), *_reports(), *_signals(), *_steps()]
     )
 
 
