@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from topicgauge.llm import byte_bpe, exact_dedup, language_id, mixing, ngram_join, pii, quality, token_counts, topk_search, url_filter
+from topicgauge.llm import byte_bpe, exact_dedup, language_id, mixing, ngram_join, packing, pii, quality, token_counts, topk_search, url_filter
 from topicgauge.llm import sql as Q
 from topicgauge.llm.common import crc_bucket, table
 
@@ -17,6 +17,7 @@ QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
+WORD_VOCABULARY = "word_bpe_49k.json"
 #: host, path, verdict
 URL_RULES = (
     ("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"),
@@ -106,3 +107,9 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = token_counts.attribute(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)
     return counts.select("doc_id", F.col("section").cast("int").alias("line"), "char_start", "char_end", F.col("n_tokens").cast("long").alias("n_tokens"))
+
+
+@register()
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.pack_words(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_VOCABULARY))
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
