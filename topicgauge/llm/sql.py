@@ -121,3 +121,37 @@ p AS (
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM p)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
+
+
+#: crc32 of a decimal number's text, bit by bit: every digit is followed by eight shifts, marked by -1.
+_CRC32 = """(list_reduce(list_prepend(4294967295::BIGINT, flatten([[ascii(d)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1] for d in string_split(conv_id::VARCHAR, '')])),
+  lambda a, b: CASE WHEN b >= 0 THEN xor(a, b) ELSE xor(a >> 1, CASE WHEN a % 2 = 1 THEN 3988292384::BIGINT ELSE 0 END) END))"""
+
+PREFIX_TRIE = f"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL
+),
+own AS MATERIALIZED (
+  SELECT conv_id, list({{'role': role, 'text': text}} ORDER BY turn NULLS FIRST, sha256(length(role)::VARCHAR || ':' || role || text)) AS ts FROM t GROUP BY conv_id
+),
+h AS (SELECT conv_id, ts, xor({_CRC32}, 4294967295::BIGINT) % 6 AS h, conv_id - conv_id % 100 AS base FROM own),
+r AS MATERIALIZED (
+  SELECT h.conv_id, list_concat(coalesce(b.ts, [])[1:h], h.ts[h + 1:]) AS ts FROM h LEFT JOIN own b ON b.conv_id = h.base
+),
+steps AS (SELECT conv_id, ts, unnest(range(0, len(ts) + 1)) AS depth FROM r),
+nodes AS MATERIALIZED (
+  SELECT ts[1:depth] AS path, depth, min(conv_id) AS conv_id, count(*) AS n_convs,
+    sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (len(ts) = depth), '')) AS ends_sha256
+  FROM steps GROUP BY ALL
+),
+child AS (SELECT path[1:depth - 1] AS path, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY ALL),
+n AS MATERIALIZED (
+  SELECT nodes.*, coalesce(n_children, 0) AS n_children,
+    CASE WHEN depth > 0 THEN (n_convs - 1) * length(path[-1].text) ELSE 0 END AS saved
+  FROM nodes LEFT JOIN child ON child.path = nodes.path
+),
+up AS (SELECT path[1:d] AS path, n_children, saved FROM (SELECT *, unnest(range(0, depth + 1)) AS d FROM n)),
+sums AS (SELECT path, count(*) FILTER (n_children = 0) AS n_leaves, sum(saved)::BIGINT AS saved_tokens FROM up GROUP BY path)
+SELECT n.conv_id, n.depth::BIGINT AS depth, p.conv_id AS parent_conv_id, n.n_convs, n.n_children, s.n_leaves, s.saved_tokens, n.ends_sha256
+FROM n JOIN sums s ON s.path = n.path LEFT JOIN n p ON n.depth > 0 AND p.depth = n.depth - 1 AND p.path = n.path[1:n.depth - 1]
+"""
