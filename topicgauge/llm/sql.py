@@ -147,7 +147,7 @@ nodes AS MATERIALIZED (
 child AS (SELECT path[1:depth - 1] AS path, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY ALL),
 n AS MATERIALIZED (
   SELECT nodes.*, coalesce(n_children, 0) AS n_children,
-    CASE WHEN depth > 0 THEN (n_convs - 1) * length(path[-1].text) ELSE 0 END AS saved
+    CASE WHEN depth > 0 THEN (n_convs - 1) * length(nodes.path[-1].text) ELSE 0 END AS saved
   FROM nodes LEFT JOIN child ON child.path = nodes.path
 ),
 up AS (SELECT path[1:d] AS path, n_children, saved FROM (SELECT *, unnest(range(0, depth + 1)) AS d FROM n)),
