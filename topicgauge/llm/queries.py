@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from topicgauge.llm import byte_bpe, exact_dedup, language_id, mixing, ngram_join, packing, pii, prefix_trie, quality, token_counts, topk_search, url_filter
+from topicgauge.llm import byte_bpe, collocations, exact_dedup, language_id, mixing, ngram_join, packing, pii, prefix_trie, quality, token_counts, topk_search, url_filter
 from topicgauge.llm import sql as Q
 from topicgauge.llm.common import crc_bucket, table
 
@@ -120,3 +120,8 @@ def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     conv_id = F.col("conv_id")
     trie = prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"), prefix_trie.shared_turns(conv_id), prefix_trie.begun_by(conv_id))
     return trie.drop("node")
+
+
+@register(Q.COLLOCATIONS)
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))

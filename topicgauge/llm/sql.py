@@ -155,3 +155,33 @@ sums AS (SELECT path, count(*) FILTER (n_children = 0) AS n_leaves, sum(saved)::
 SELECT n.conv_id, n.depth::BIGINT AS depth, p.conv_id AS parent_conv_id, n.n_convs, n.n_children, s.n_leaves, s.saved_tokens, n.ends_sha256
 FROM n JOIN sums s ON s.path = n.path LEFT JOIN n p ON n.depth > 0 AND p.depth = n.depth - 1 AND p.path = n.path[1:n.depth - 1]
 """
+
+
+COLLOCATIONS = f"""
+WITH t AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), '{UP}', '{LOW}') AS text FROM documents),
+p AS MATERIALIZED (
+  SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w
+  FROM (SELECT lang, unnest(string_split_regex(text, '[.,;:!?\\x0A-\\x0D]')) AS piece FROM t)
+),
+totals AS (SELECT lang, sum(len(w))::BIGINT AS n FROM p GROUP BY lang),
+f AS MATERIALIZED (
+  SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase, count(*) AS f
+  FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM p, range(1, 6) ks(k) WHERE len(w) >= k)
+  GROUP BY ALL HAVING count(*) >= 100
+),
+c AS MATERIALIZED (SELECT lang, k, phrase, f AS a FROM f WHERE k >= 2),
+kept AS (
+  SELECT * FROM c x WHERE NOT EXISTS (
+    SELECT 1 FROM c y WHERE y.lang = x.lang AND y.k > x.k AND y.a >= x.a AND contains(' ' || y.phrase || ' ', ' ' || x.phrase || ' '))
+),
+cuts AS (SELECT *, unnest(range(1, k)) AS cut, string_split(phrase, ' ') AS ws FROM kept),
+scored AS (
+  SELECT c.lang, c.phrase, c.a, x.f AS l, y.f AS r, n, cut, ((1000::HUGEINT * c.a * n) // (x.f::HUGEINT * y.f))::BIGINT AS score
+  FROM cuts c JOIN totals USING (lang)
+  JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(ws[1:cut], ' ')
+  JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(ws[cut + 1:], ' ')
+),
+weakest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM weakest QUALIFY rank <= 2000
+"""
