@@ -30,6 +30,7 @@ from __future__ import annotations
 import heapq
 import os
 import re
+from collections import deque
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -49,20 +50,32 @@ LADDER = (64, 32, 16, 8, 4, 2, 1)
 SLACK = 1
 #: Bytes of text that are encoded at a time, more or less: stretches end at white space.
 STRETCH = 1 << 20
-#: Encoded words that a task remembers, and their greatest length in bytes.
-WORDS_HELD, WORD_BYTES = 250_000, 64
+#: Encoded words that a worker remembers, and their bytes, until it starts anew; a stretch has fewer.
+WORDS_HELD, WORD_BYTES = 700_000, 16 << 20
 
 PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 _BLANK = re.compile(rb"[ \t\n\r\x0b\x0c]")
+#: Marks that never form a token with the letters before them.
+_MARKS = b".,;:!?)"
 
-#: The bytes of a text to its ids, as little-endian unsigned 32-bit integers.
-Encode = Callable[[bytes], bytes]
+#: The bytes of texts to their ids, as little-endian unsigned 32-bit integers, in order.
+Encode = Callable[[Iterable[bytes]], Iterator[bytes]]
+
+
+def lowered(text: bytes) -> bytes:
+    """A-Z in lower case, as the vocabularies have them, so that fewer words differ.
+
+    Not where special tokens may stand, nor beside combining marks (U+0300 to U+036F, bytes CC and CD): a few of these
+    combine with small letters only.
+    """
+    return text if b"<|" in text or b"\xcc" in text or b"\xcd" in text else text.lower()
 
 
 class WordCodes(dict):
     """Encodes texts with a tokenizer that drops white space, word by word, and remembers words.
 
-    White space ends every token and takes no part in any, so a text's ids are those of its words in order.
+    White space ends every token and takes no part in any, so a text's ids are those of its words in order; so does
+    punctuation behind letters.
     """
 
     def __init__(self, path: str, word_end: str = "</w>"):
@@ -71,55 +84,72 @@ class WordCodes(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.ends = np.zeros(max(self.tokenizer.get_vocab().values(), default=-1) + 1, bool)
-        for token, number in self.tokenizer.get_vocab().items():
-            self.ends[number] = token.endswith(word_end)
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values(), default=-1) + 1, bool)
+        self.ends[[number for token, number in vocabulary.items() if token.endswith(word_end)]] = True
+        self.bytes = 0
 
     def ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def learn(self, words: list[bytes]) -> dict[bytes, bytes]:
-        """The ids of words. Words of letters are encoded in one go and told apart by the tokens that end a word."""
-        texts = {w: w.decode("utf-8", "replace") for w in words}
-        plain = [w for w, text in texts.items() if text.isalpha()]
-        found: dict[bytes, bytes] = {}
-        if plain:
-            (ids,) = self.ids([" ".join(texts[w] for w in plain)])
-            stops = np.flatnonzero(self.ends[np.frombuffer(ids, "<u4")]) + 1
-            if len(stops) == len(plain):
-                at = 0
-                for word, stop in zip(plain, (4 * stops).tolist()):
-                    found[word] = ids[at:stop]
-                    at = stop
-        others = [w for w in texts if w not in found]
-        found.update(zip(others, self.ids([texts[w] for w in others])))
-        return found
-
-    def of_words(self, words: list[bytes]) -> bytes:
-        if missing := [w for w in dict.fromkeys(words) if w not in self]:
-            if len(self) + len(missing) > WORDS_HELD:
-                self.clear()
-                missing = list(dict.fromkeys(words))
-            found = self.learn(missing)
-            short = {w: ids for w, ids in found.items() if len(w) <= WORD_BYTES}
-            if len(self) + len(short) <= WORDS_HELD:
-                self.update(short)
-                if len(short) == len(found):
-                    return b"".join(map(self.__getitem__, words))
-            return b"".join([found[w] if w in found else self[w] for w in words])
-        return b"".join(map(self.__getitem__, words))
-
-    def __call__(self, text: bytes) -> bytes:
-        if len(text) <= STRETCH:
-            return self.of_words(text.split())
+    def learn(self, words: set[bytes]) -> None:
+        """Remember the ids of words. Those of letters are encoded in one go and told apart by the tokens that end a word."""
+        letters, others, ended = set(), [], []
+        for word in words:
+            core = word.rstrip(_MARKS)
+            if core.isalpha() or not core.isascii() and core.decode("utf-8", "replace").isalpha():
+                if core not in self:
+                    letters.add(core)
+                if len(core) < len(word):
+                    ended.append((word, core, word[len(core) :]))
+            else:
+                others.append(word)
+        if letters:
+            (ids,) = self.ids([b" ".join(letters).decode("utf-8", "replace")])
+            stops = (4 * (np.flatnonzero(self.ends[np.frombuffer(ids, "<u4")]) + 1)).tolist()
+            if len(stops) == len(letters):
+                self.update(zip(letters, map(ids.__getitem__, map(slice, [0, *stops], stops))))
+            else:  # a letter that lower case makes more than a letter
+                self.update(zip(letters, self.ids([w.decode("utf-8", "replace") for w in letters])))
+        others += {marks for _, _, marks in ended if marks not in self}
+        self.update(zip(others, self.ids([w.decode("utf-8", "replace") for w in others])))
+        self.update([(word, self[core] + self[marks]) for word, core, marks in ended])
+
+    def encoded(self, texts: list[bytes]) -> Iterator[bytes]:
+        """The ids of texts, about STRETCH bytes at most; what was known goes when it is too much."""
+        split = [lowered(text).split() for text in texts]
+        words = set().union(*split)
+        missing = words.difference(self)
+        if len(self) + len(missing) > WORDS_HELD or self.bytes > WORD_BYTES:
+            self.clear()
+            self.bytes, missing = 0, words
+        self.bytes += len(b"".join(missing))
+        self.learn(missing)
+        return (b"".join(map(self.__getitem__, own)) for own in split)
+
+    def long(self, text: bytes) -> bytes:
         parts, at = [], 0
         while at < len(text):
             blank = _BLANK.search(text, at + STRETCH)
             stop = blank.start() if blank else len(text)
-            parts.append(self.of_words(text[at:stop].split()))
+            parts += self.encoded([text[at:stop]])
             at = stop
         return b"".join(parts)
 
+    def __call__(self, texts: Iterable[bytes]) -> Iterator[bytes]:
+        held, size = [], 0
+        for text in texts:
+            if held and size + len(text) > STRETCH:
+                yield from self.encoded(held)
+                held, size = [], 0
+            if len(text) > STRETCH:
+                yield self.long(text)
+            else:
+                held.append(text)
+                size += len(text)
+        if held:
+            yield from self.encoded(held)
+
 
 def difference(sizes: list[int], windows: int) -> tuple[np.ndarray, list[list[int]]]:
     """The sums of ``windows`` near-equal windows, the fullest first, and the items in each."""
@@ -255,7 +285,15 @@ def pack(docs: DataFrame, encoder: Callable[[], Encode], capacity: int = CAPACIT
     def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out, number = Rows(arrow_schema(PIECES)), TaskContext.get().partitionId() << 36
         encode = encoder()
-        documents = ((doc_id, encode(text or b"") + end) for doc_id, text in rows_of(batches))
+        ids: deque[int | None] = deque()
+
+        def texts() -> Iterator[bytes]:
+            for doc_id, text in rows_of(batches):
+                ids.append(doc_id)
+                yield text or b""
+
+        # the encoder may read on before it hands on ids, so the documents' names wait in a queue
+        documents = ((ids.popleft(), codes + end) for codes in encode(texts()))
         for sequence in sequences(documents, capacity, windows):
             offset = 0
             for piece in sequence:
