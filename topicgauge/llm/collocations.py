@@ -181,14 +181,26 @@ def word_blocks(docs: DataFrame, max_words: int = MAX_WORDS, block_words: int |
     return docs.select(F.col("lang").cast("string"), F.col("text").cast("string")).mapInArrow(scan, WORDS)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """:func:`materialize`, compressed more: these tables are read once or twice."""
+    setting = "spark.sql.parquet.compression.codec"
+    before = df.sparkSession.conf.get(setting)
+    df.sparkSession.conf.set(setting, "zstd")
+    try:
+        return materialize(df)
+    finally:
+        df.sparkSession.conf.set(setting, before)
+
+
 def frequent(blocks: DataFrame, keys: list[Column], min_count: int) -> DataFrame:
     """``block, local, name, f`` and the key of every candidate of a block that is frequent over all blocks."""
-    rows = blocks.select("block", F.posexplode(F.arrays_zip(*keys, F.col("counts").alias("count"))).alias("local", "_k")).select("block", "local", "_k.*")
+    rows = blocks.select("block", F.posexplode(F.arrays_zip(*keys, F.col("counts").cast("array<int>").alias("count"))).alias("local", "_k"))
     own = F.shiftleft("block", LOCAL_BITS).bitwiseOR(F.col("local").cast("long"))
-    named = rows.withColumn("own", own)
-    same = W.partitionBy(*[c for c in rows.columns if c not in ("block", "local", "count")])
-    named = named.withColumns({"f": F.sum("count").over(same), "name": F.min("own").over(same)})
-    return materialize(named.filter(F.col("f") >= min_count).drop("count"))
+    named = rows.select(own.alias("own"), "_k.*")  # block and number travel as one
+    same = W.partitionBy(*[c for c in named.columns if c not in ("own", "count")])
+    named = named.withColumns({"f": F.sum("count").over(same), "name": F.min("own").over(same)}).filter(F.col("f") >= min_count).drop("count")
+    local = F.col("own").bitwiseAND(F.lit((1 << LOCAL_BITS) - 1)).cast("int")
+    return stored(named.withColumns({"block": F.shiftright("own", LOCAL_BITS), "local": local}))
 
 
 def extended(blocks: DataFrame, names: DataFrame) -> DataFrame:
@@ -233,7 +245,7 @@ def mined(docs: DataFrame, min_count: int = MIN_COUNT, max_words: int = MAX_WORD
 
     ``firsts`` and ``rests`` are the frequencies of the first and of the last 1, 2, ... words.
     """
-    blocks = materialize(word_blocks(docs, max_words, block_words))
+    blocks = stored(word_blocks(docs, max_words, block_words))
     totals = blocks.select(F.explode(F.arrays_zip("langs", "totals")).alias("t")).groupBy(F.col("t.langs").alias("lang")).agg(F.sum("t.totals").alias("n"))
     lang = F.transform("key_lang", lambda k: F.get("langs", k))
     names = frequent(blocks, [lang.alias("lang"), F.col("word")], min_count)
@@ -241,7 +253,7 @@ def mined(docs: DataFrame, min_count: int = MIN_COUNT, max_words: int = MAX_WORD
     none = F.array().cast("array<bigint>")
     found = [phrases(names).select("name", "lang", word.alias("phrase"), word.alias("last"), "f", none.alias("firsts"), none.alias("rests"))]
     for _ in range(1, max_words):
-        blocks = materialize(extended(blocks, names))
+        blocks = stored(extended(blocks, names))
         names = frequent(blocks, [F.col("first"), F.col("rest")], min_count)
         parts = found[-1]
         first = parts.select(F.col("name").alias("first"), "lang", "phrase", F.col("f").alias("first_f"), "firsts")
@@ -250,7 +262,7 @@ def mined(docs: DataFrame, min_count: int = MIN_COUNT, max_words: int = MAX_WORD
             "name", "lang", F.concat_ws(" ", "phrase", "last").alias("phrase"), "last", "f", F.array_append("firsts", F.col("first_f")).alias("firsts"),
             F.array_append("rests", F.col("rest_f")).alias("rests"), "first", "rest",
         )
-        found.append(materialize(longer))
+        found.append(stored(longer))
     return totals, found
 
 

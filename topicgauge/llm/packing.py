@@ -51,7 +51,7 @@ SLACK = 1
 #: Bytes of text that are encoded at a time, more or less: stretches end at white space.
 STRETCH = 1 << 20
 #: Encoded words that a worker remembers, and their bytes, until it starts anew; a stretch has fewer.
-WORDS_HELD, WORD_BYTES = 700_000, 16 << 20
+WORDS_HELD, WORD_BYTES = 1_500_000, 32 << 20
 
 PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 _BLANK = re.compile(rb"[ \t\n\r\x0b\x0c]")
