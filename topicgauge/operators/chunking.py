@@ -61,7 +61,7 @@ def _with_flat(df: DataFrame, guard: Column, opts: ChunkOptions) -> DataFrame:
     if opts.with_offsets:
         df = (
             df.withColumn("_blocks", A.text_blocks(F.col("_body")))
-            .withColumn("_gaps", A.block_gaps(F.col("_blocks")))
+            .withColumn("_gaps", A.block_gaps(F.reverse("_blocks")))
             .withColumn("_starts", A.running_starts(F.col("_texts"), F.col("_blocks"), F.col("_gaps")))
         )
 
@@ -69,7 +69,7 @@ def _with_flat(df: DataFrame, guard: Column, opts: ChunkOptions) -> DataFrame:
         if not opts.with_offsets:
             return []
         begin = F.get("_starts", k)
-        end = F.least(begin + F.length(t), F.length("_body"))
+        end = F.least(begin + F.length(t), A.blocks_length(F.col("_blocks")))
         return [begin.alias("char_start"), end.alias("char_end")]
 
     def chunk(t: Column, k: Column) -> Column:
@@ -110,7 +110,7 @@ def _with_markdown(df: DataFrame, guard: Column) -> DataFrame:
     """Add ``_md``: non-empty sections cut at heading lines, for rows where ``guard`` holds."""
     df = (
         df.withColumn("_parts", F.when(guard, F.split("text", rf"(?dm)^(?={_MD_HEADING})", -1)))
-        .withColumn("_offs", A.prefix_sums(F.transform("_parts", F.length)))
+        .withColumn("_offs", A.prefix_sums(F.col("_parts"), F.length))
     )
 
     def section(part: Column, i: Column) -> Column:
@@ -146,14 +146,7 @@ def _with_html(df: DataFrame, guard: Column) -> DataFrame:
     df = (
         df.withColumn("_between", F.when(guard, cut))
         .withColumn("_heads", F.when(guard, F.coalesce(found, F.array().cast("array<string>"))))
-        .withColumn(
-            "_ends",
-            A.prefix_sums(
-                F.zip_with(
-                    "_between", "_heads", lambda b, h: F.length(b) + F.coalesce(F.length(h), F.lit(0))
-                )
-            ),
-        )
+        .withColumn("_ends", A.prefix_sums(F.zip_with("_between", "_heads", lambda b, h: F.length(b) + F.coalesce(F.length(h), F.lit(0)))))
         .withColumn("_texts_html", F.transform("_between", _html_text))
     )
     size = F.length("text")
@@ -283,8 +276,9 @@ def chunk_documents(
 def unchunkable(chunked: DataFrame) -> DataFrame:
     """Documents that gave no chunk, with the reason."""
     reason = F.when(X.is_blank(F.col("text")), "blank document").otherwise("no chunks")
-    empty = F.coalesce(F.size("chunks"), F.lit(0)) <= 0
-    return chunked.filter(empty).select("doc_id", reason.alias("reason"))
+    # filters are not pushed through a generator: below the projections that cut, the count would be built once more
+    counted = chunked.select("doc_id", reason.alias("reason"), F.explode(F.array(F.coalesce(F.size("chunks"), F.lit(0)))).alias("_n"))
+    return counted.filter("_n <= 0").select("doc_id", "reason")
 
 
 def unknown_strategies(documents: DataFrame, strategy: str | Column) -> DataFrame:
