@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from topicgauge.sources.readers import make_queries
-from topicgauge import HashedTerms, analyze, compare_documents, score_documents
+from topicgauge import HashedTerms, analyze, analyze_chunks, compare_documents, score_documents
 from topicgauge.operators import diagnostics as D
 from topicgauge.sources import readers, storage
 from topicgauge.streaming.scoring import start_coverage
@@ -131,3 +131,35 @@ def test_stream_equals_batch(spark, queries, tmp_path):
     want = D.coverage(score_documents(docs, queries, HashedTerms(16)))
     columns = ["query_id", "doc_id", "total_chunks", "coverage_score"]
     assert sorted(map(tuple, got.select(*columns).collect())) == sorted(map(tuple, want.select(*columns).collect()))
+
+
+def test_chunk_table_gives_the_reports_of_its_documents(spark, queries):
+    """Sections, intro, recommendations and, with the documents at hand, steps and readiness."""
+    from topicgauge.operators import chunking
+
+    docs = spark.createDataFrame(
+        [(i, f"{TEXT}\n## Part {i}\n{TEXT}\n### Sub\n" + "widgets " * i + "\n## Other\nnothing of it", "all") for i in range(1, 5)],
+        "doc_id long, text string, scope string",
+    )
+    whole = analyze(docs, queries, HashedTerms(16), "markdown")
+    table = chunking.chunk_documents(docs, "markdown").drop("chunk_count")
+    given = analyze_chunks(table, queries, HashedTerms(16), docs)
+    plain = lambda v: round(v, 9) if isinstance(v, float) else v  # noqa: E731  sums depend on the order of rows
+    rows = lambda df: sorted(repr(sorted((k, plain(v)) for k, v in r.asDict().items())) for r in df.drop("document_char_count").collect())
+    for name in ("numbers", "coverage", "section_summaries", "recommendations", "recommendation_targets", "next_steps", "step_targets", "readiness", "score_card"):
+        assert rows(getattr(whole, name)) == rows(getattr(given, name)), name
+    ranks = lambda a: rows(a.diagnostics.select("query_id", "doc_id", "chunk_index", "similarity_rank", "text_preview", "is_max"))
+    assert ranks(whole) == ranks(given) and len(ranks(whole)) > 0
+    bare = analyze_chunks(table.select("doc_id", "chunk_index", "text", "scope"), queries, HashedTerms(16))
+    assert bare.readiness.count() == 0 and rows(bare.coverage) == rows(whole.coverage)
+    blank = analyze_chunks(spark.createDataFrame([(1, 0, " ", "all")], "doc_id long, chunk_index int, text string, scope string"), queries, HashedTerms(16))
+    assert blank.rejects.count() == 1 and blank.empty_reports.filter("reason IS NOT NULL").count() == blank.asked.count() > 0
+
+
+def test_one_pass_over_the_text(spark, queries, tmp_path):
+    """Reports read the stored tables only: no plan of theirs scans the documents."""
+    path = str(tmp_path / "corpus_of_this_test")
+    spark.createDataFrame([(i, f"## Part\n{TEXT}", "all") for i in range(3)], "doc_id long, text string, scope string").write.parquet(path)
+    a = analyze(spark.read.parquet(path), queries, HashedTerms(16), "markdown")
+    for report in (a.recommendations, a.readiness, a.next_steps, a.action_plan, a.diagnostics):
+        assert "corpus_of_this_test" not in report._jdf.queryExecution().executedPlan().toString()

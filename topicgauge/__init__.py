@@ -1,7 +1,7 @@
 """Topic coverage of documents, for whole tables of documents and queries, on Spark."""
 
 from topicgauge.operators.embedding import HashedTerms, ModelVectors, PrecomputedVectors
-from topicgauge.plans.analysis import Analysis, analyze
+from topicgauge.plans.analysis import Analysis, analyze, analyze_chunks
 from topicgauge.plans.compare import compare_documents, score_documents, score_prechunked
 from topicgauge.settings import ChunkOptions
 
@@ -12,6 +12,7 @@ __all__ = [
     "ModelVectors",
     "PrecomputedVectors",
     "analyze",
+    "analyze_chunks",
     "compare_documents",
     "score_documents",
     "score_prechunked",

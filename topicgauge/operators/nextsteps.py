@@ -127,13 +127,23 @@ def step_report(reports: DataFrame) -> DataFrame:
     return reports.select(*REPORT, "intent", headline.alias("summary"))
 
 
-def empty_reports(unanswered: DataFrame) -> DataFrame:
-    """Reports of asked ``(query_id, doc_id, reason)`` pairs without any chunk: score 0, the lowest label."""
+def empty_reports(unanswered: DataFrame, signals: DataFrame, queries: DataFrame) -> DataFrame:
+    """Reports of asked ``(query_id, doc_id, reason)`` pairs without any chunk: score 0, the lowest label.
+
+    They have the query's intent and the document's signals like any other; a document without text has none of them.
+    """
     counts = {f"chunks_{b}": F.lit(0) for b in ("strong", "moderate", "weak", "off_topic")}
     zero = F.lit(0.0)
-    return unanswered.select(*REPORT, "reason").withColumns(
+    numbers = unanswered.select(*REPORT, "reason").withColumns(
         {
             "total_chunks": F.lit(0), **counts, "coverage_score": zero, "coverage_label": B.coverage_label(zero),
-            "coverage_rounded": F.lit(0), "summary": F.lit(guidance.EMPTY_REPORT),
+            "coverage_rounded": F.lit(0), "best_position": F.lit(1.0), "summary": F.lit(guidance.EMPTY_REPORT),
         }
     )
+    found = [f for f in signals.drop("scope").schema.fields if f.name not in ("doc_id", "_found")]
+    nothing = {"boolean": F.lit(False), "string": F.lit("")}
+    known = numbers.join(signals.select("doc_id", *[f.name for f in found]), "doc_id", "left")
+    filled = known.withColumns(
+        {f.name: F.coalesce(f.name, nothing.get(f.dataType.simpleString(), F.lit(0).cast(f.dataType))) for f in found}
+    )
+    return with_query_signals(filled.join(queries.select("query_id", "terms", "intent"), "query_id"))

@@ -10,10 +10,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from topicgauge.functions import bands as B
+from topicgauge.functions import text as X
 from topicgauge.operators import diagnostics, nextsteps, readiness, recommendations, sections, signals
-from topicgauge.operators.embedding import Embedder
+from topicgauge.operators.embedding import Embedder, unembeddable
 from topicgauge.operators.ranking import REPORT
-from topicgauge.plans.compare import asked_pairs, chunk_facts, rejects, score_documents
+from topicgauge.plans.compare import asked_pairs, document_facts, rejects, score_facts, stored_chunk_facts
 from topicgauge.settings import MAX_NEXT_STEPS, SHORT_QUERY_BANDS
 from topicgauge.sources.readers import accepted_documents, accepted_queries
 from topicgauge.sources.storage import materialize
@@ -36,12 +37,12 @@ def slim(scored: DataFrame) -> DataFrame:
 class Analysis:
     """Tables over ``scored`` (slim rows), ``texts`` (one row per chunk) and ``signals`` (one per document).
 
-    ``keep`` stores a table when it is first read by more than one other: the rows per report, and the
-    beginnings of the chunks.
+    ``scored`` and what ``texts`` and ``signals`` are read from are stored; report numbers are one aggregation by hash
+    over ``scored`` and are not. Texts and sections are looked up only by the reports that show them.
     """
 
     scored: DataFrame
-    chunk_texts: DataFrame
+    texts: DataFrame
     signals: DataFrame
     queries: DataFrame
     rejects: DataFrame
@@ -50,23 +51,26 @@ class Analysis:
     pre_chunked: bool = False
     keep: Callable[[DataFrame], DataFrame] = materialize
 
-    @cached_property
-    def texts(self) -> DataFrame:
-        """The beginning, heading and level of every chunk, once however many queries ask for it."""
-        return self.keep(self.chunk_texts)
+    @property
+    def numbers(self) -> DataFrame:
+        """Report aggregates without any text."""
+        return diagnostics.report_numbers(self.scored)
 
-    @cached_property
+    @property
     def facts(self) -> DataFrame:
         """Report aggregates: all that recommendations need."""
-        facts = diagnostics.report_facts(self.scored, self.texts)
-        return self.keep(recommendations.with_low_sections(facts, self._low_sections))
+        return recommendations.with_low_sections(diagnostics.with_example(self.numbers, self.texts), self._low_sections)
 
     @cached_property
+    def kept_facts(self) -> DataFrame:
+        return self.keep(self.facts)
+
+    @property
     def reports(self) -> DataFrame:
         """Report aggregates with the content signals: all that next steps and readiness need."""
-        return self.keep(nextsteps.with_signals(self.facts, self.signals, self.queries))
+        return nextsteps.with_signals(self.numbers, self.signals, self.queries)
 
-    @cached_property
+    @property
     def section_summaries(self) -> DataFrame:
         return sections.section_summaries(self.scored, self.texts)
 
@@ -79,12 +83,21 @@ class Analysis:
         return diagnostics.coverage(self.scored)
 
     @property
-    def empty_reports(self) -> DataFrame:
-        """A report of score 0 for every asked pair without a scored chunk, with the reason where one is known."""
+    def unanswered(self) -> DataFrame:
+        """Asked ``query_id, doc_id`` pairs without a scored chunk, with the reason where one is known."""
         done = self.scored.select(*REPORT).distinct()
         reasons = self.rejects.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("reason").alias("reason"))
-        left = self.asked.join(done, list(REPORT), "left_anti").join(reasons, "doc_id", "left")
-        return nextsteps.empty_reports(left)
+        return self.asked.join(done, list(REPORT), "left_anti").join(reasons, "doc_id", "left")
+
+    @property
+    def empty_reports(self) -> DataFrame:
+        """A report of score 0, with intent and signals, for every asked pair without a scored chunk."""
+        return nextsteps.empty_reports(self.unanswered, self.signals, self.queries)
+
+    @property
+    def empty_readiness(self) -> DataFrame:
+        """The readiness score of those reports: their structure and evidence count, their coverage is 0."""
+        return readiness.readiness(self.empty_reports)
 
     @property
     def diagnostics(self) -> DataFrame:
@@ -97,7 +110,7 @@ class Analysis:
     @property
     def recommendation_targets(self) -> DataFrame:
         summaries = self.section_summaries if self.hierarchical else None
-        return recommendations.targets(self.scored, self.facts, summaries, self.texts)
+        return recommendations.targets(self.scored, self.kept_facts, summaries, self.texts)
 
     @property
     def recommendation_report(self) -> DataFrame:
@@ -145,20 +158,77 @@ def analyze(
 ) -> Analysis:
     """Analysis of ``documents`` against the queries of their scope, or of the requested ``pairs``.
 
-    Every report reads the scored rows, most of them more than once, so they are stored by ``keep``
-    instead of being recomputed from the text; they hold no text themselves.
+    The text is parsed once: chunks and signals of every document are stored by ``keep``, and the scored rows, which hold
+    no text themselves, are stored because every report reads them.
     """
     usable, asking = accepted_documents(documents), accepted_queries(queries)
     how = {"bands": bands, "on": on, "salts": salts, "pairs": pairs, "assume_normalized": assume_normalized}
-    scored = keep(slim(score_documents(usable, asking, embedder, strategy, **how)))
-    texts = chunk_facts(usable, strategy).select("doc_id", "chunk_index", "lead_text", "char_count", "level", "heading", "depth")
+    facts = keep(document_facts(usable, strategy))
+    rows = stored_chunk_facts(facts)
+    scored = keep(slim(score_facts(rows, asking, embedder, **how)))
     return Analysis(
-        scored, texts, signals.document_signals(usable.select("doc_id", "text")), signals.with_query_facts(asking),
+        scored, rows.select(*TEXTS), facts.select("doc_id", "signals.*"), signals.with_query_facts(asking),
         rejects(documents, queries, embedder, strategy, on, pairs, assume_normalized), asked_pairs(documents, queries, on, pairs),
         not (isinstance(strategy, str) and strategy == "flat"), keep=keep,
     )
 
 
+#: What reports show of a chunk's text and place.
+TEXTS = ("doc_id", "chunk_index", "lead_text", "char_count", "level", "heading", "depth")
+
+
+def analyze_chunks(
+    chunks: DataFrame,
+    queries: DataFrame,
+    embedder: Embedder,
+    documents: DataFrame | None = None,
+    keep: Callable[[DataFrame], DataFrame] = materialize,
+    bands: Mapping[str, float] | None = None,
+    on: str = "scope",
+    salts: int = 1,
+    pairs: DataFrame | None = None,
+    assume_normalized: bool = False,
+) -> Analysis:
+    """Analysis of a given chunk table: ``doc_id, chunk_index``, the column ``on``, and whatever ``embedder`` reads.
+
+    ``text, token_count, level, heading, parent_index, depth`` and ``document_char_count`` are used where the table has them; a
+    chunk without a level is flat. A ``doc_id`` may hold any share of the chunks: sizes and report numbers are summed before the
+    shuffle, and ranks are counted in cells. Signals come from ``documents``, where those are given; without, no report has next steps
+    or a readiness score. Queries may bring ``query_vector, query_norm, bands`` instead of a text.
+    """
+    worded = "query" in queries.columns
+    asking = accepted_queries(queries) if worded else queries
+    rows = keep(chunk_table(chunks))
+    given = rows if "text" in chunks.columns else rows.drop("text")
+    scored = keep(slim(score_facts(given, asking, embedder, bands, on, salts, pairs, assume_normalized)))
+    texts = rows.select("doc_id", F.lit(None).cast("string").alias("text")).limit(0) if documents is None else documents.select("doc_id", "text")
+    asked = rows.select("doc_id", on).distinct().join(asking.select("query_id", on), on).drop(on) if pairs is None else pairs.select("query_id", "doc_id")
+    blank = unembeddable(given) if "text" in given.columns else rows.limit(0).withColumn("reason", F.lit(""))
+    unembedded = blank.select(F.lit(None).cast("bigint").alias("query_id"), "doc_id", "chunk_index", "reason")
+    return Analysis(
+        scored, rows.select(*TEXTS), signals.document_signals(accepted_documents(texts)), signals.with_query_facts(asking) if worded else asking,
+        unembedded, asked, pre_chunked=True, keep=keep,
+    )
+
+
+def chunk_table(chunks: DataFrame) -> DataFrame:
+    """A given chunk table with every column that scoring and reports read."""
+    have = set(chunks.columns)
+    text = F.col("text") if "text" in have else F.lit(None).cast("string")
+    defaults = {
+        "text": text, "heading": F.lit(None).cast("string"), "parent_index": F.lit(None).cast("int"), "depth": F.lit(0),
+        "token_count": F.when(text.isNotNull(), X.token_estimate(text)).otherwise(F.lit(0)),
+    }
+    full = chunks.withColumns({c: v for c, v in defaults.items() if c not in have})
+    full = full.withColumn("level", F.coalesce("level", F.lit("flat")) if "level" in have else F.lit("flat"))
+    sizes = [F.count("*").cast("int").alias("chunk_count")] if "chunk_count" not in have else []
+    if "document_char_count" not in have:
+        sizes.append(F.coalesce(F.sum(F.length(text)), F.lit(0)).cast("int").alias("document_char_count"))
+    if sizes:
+        full = full.join(full.groupBy("doc_id").agg(*sizes), "doc_id")
+    return diagnostics.with_text_facts(full)
+
+
 def action_plan(steps: DataFrame, recs: DataFrame) -> DataFrame:
     """Next steps, then recommendations, numbered per report: at most twelve rows each."""
     items = steps.select(

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from topicgauge.functions import text as X
-from topicgauge.operators import chunking, diagnostics, similarity
+from topicgauge.operators import chunking, diagnostics, signals, similarity
 from topicgauge.operators.embedding import Embedder, embed, unembeddable, with_metadata, without_vector
 from topicgauge.settings import EXAMPLE_CHARS, ChunkOptions
 from topicgauge.sources.readers import accepted_documents, accepted_queries, rejected_inputs, unasked
@@ -28,6 +28,26 @@ def chunk_facts(
     return diagnostics.with_text_facts(chunking.chunk_documents(sized, strategy, options), lead_chars)
 
 
+def document_facts(
+    documents: DataFrame, strategy: str | Column = "flat", options: ChunkOptions = SCORING_OPTIONS
+) -> DataFrame:
+    """One row per document: its chunks as an array, and its signals, from one pass over the text.
+
+    Stored, this table serves scoring, previews and signals, each of which reads its own columns.
+    """
+    sized = documents.withColumn("document_char_count", F.length("text"))
+    kept = [c for c in sized.columns if c != "text"]
+    cut = chunking.with_chunks(sized, strategy, options)
+    named = signals.document_signals(cut)
+    found = [c for c in named.columns if c not in (*kept, "chunks")]
+    return named.select(*kept, "chunks", F.struct(*found).alias("signals"))
+
+
+def stored_chunk_facts(facts: DataFrame, lead_chars: int = EXAMPLE_CHARS) -> DataFrame:
+    """The chunk rows of :func:`document_facts`, as :func:`chunk_facts` gives them."""
+    return diagnostics.with_text_facts(chunking.explode_chunks(facts.drop("signals")), lead_chars)
+
+
 def chunk_vectors(
     documents: DataFrame,
     embedder: Embedder,
@@ -43,7 +63,8 @@ def _score(
     vectors: DataFrame, queries: DataFrame, embedder: Embedder, bands: Mapping[str, float] | None, on: str, salts: int,
     pairs: DataFrame | None, assume_normalized: bool,
 ) -> DataFrame:
-    asked = similarity.prepare_queries(queries, embedder, bands)
+    # queries may bring their vectors and bands
+    asked = queries if "query_vector" in queries.columns else similarity.prepare_queries(queries, embedder, bands)
     if pairs is not None:
         return similarity.score_pairs(vectors, asked, pairs, assume_normalized)
     return similarity.score(vectors, asked, on, salts, assume_normalized)
@@ -79,8 +100,16 @@ def score_prechunked(
     assume_normalized: bool = False,
 ) -> DataFrame:
     """Score an existing chunk table; only the embedding is computed anew."""
-    vectors = embed(diagnostics.with_text_facts(chunks, lead_chars), embedder).drop("text")
-    return _score(vectors, queries, embedder, bands, on, salts, pairs, assume_normalized)
+    return score_facts(diagnostics.with_text_facts(chunks, lead_chars), queries, embedder, bands, on, salts, pairs, assume_normalized)
+
+
+def score_facts(
+    facts: DataFrame, queries: DataFrame, embedder: Embedder, bands: Mapping[str, float] | None = None, on: str = "scope", salts: int = 1,
+    pairs: DataFrame | None = None, assume_normalized: bool = False,
+) -> DataFrame:
+    """Score chunk rows that have their text facts already; without any text, the embedder has to know their vectors."""
+    vectors = embed(facts, embedder) if "text" in facts.columns else embedder.embed(facts, "text")
+    return _score(vectors.drop("text"), queries, embedder, bands, on, salts, pairs, assume_normalized)
 
 
 def compare_documents(

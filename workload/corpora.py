@@ -146,6 +146,17 @@ def vector_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.join(sizes, "doc_id").withColumns({"scope": scope, "level": F.lit("flat")})
 
 
+#: Labels below this number are one document of :func:`hot_vector_chunks`.
+HOT_LABELS = 4
+
+
+def hot_vector_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The given vectors as a chunk table in which one document holds more than a third of all chunks."""
+    doc_id = F.when(F.col("label") < HOT_LABELS, 0).otherwise(F.col("label")).cast("bigint")
+    table = _table(spark, sf_dir, "embeddings").select(doc_id.alias("doc_id"), "vec_id")
+    return position_in_group(table, "doc_id", "vec_id", "chunk_index").withColumn("scope", F.col("doc_id").cast("string"))
+
+
 def centroid_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two queries per label: its own mean vector, asked of itself and of the next label (after the last, the first)."""
     table = _table(spark, sf_dir, "embeddings")

@@ -204,11 +204,15 @@ def _offsets() -> list[str]:
     ]
 
 
-def _topics() -> str:
-    rows = ", ".join(f"({i}::BIGINT, {lit(q)}, {lit(s)}, {lit(o)})" for i, q, s, o in TOPICS)
+def _topics(below: int | None = None) -> str:
+    rows = ", ".join(f"({i}::BIGINT, {lit(q)}, {lit(s)}, {lit(o)})" for i, q, s, o in TOPICS if below is None or i < below)
     return f"topics(query_id, query, scope, intent_override) AS (VALUES {rows})"
 
 
+def topic_rows(below: int) -> list[str]:
+    return [_topics(below)]
+
+
 def _bucket(w: str) -> str:
     return f"(('0x' || substr(md5({w}), 1, 8))::BIGINT % {DIM})::INT"
 
@@ -411,6 +415,10 @@ def _signals() -> list[str]:
     ]
 
 
+def signal_steps() -> list[str]:
+    return _signals()
+
+
 def _steps() -> list[str]:
     def step(no: int, name: str, cond: str, order: str, minutes: int, targets: str = "0") -> str:
         return (
@@ -435,6 +443,17 @@ def _steps() -> list[str]:
         step(9, "add_faq", "NOT has_faq AND word_count >= 500", below(70, 2), 25),
         step(10, "add_summary_box", "NOT has_tldr AND word_count >= 700", "3", 10),
     ]
+    return [
+        "reports AS MATERIALIZED (SELECT * FROM facts JOIN signals USING (query_id, doc_id))",
+        "step_rows AS (" + " UNION ALL ".join(rows) + ")",
+        f"""steps AS MATERIALIZED (SELECT query_id, doc_id, position, minutes, step, target_count, ['high', 'medium', 'low'][ord] AS priority FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id, doc_id ORDER BY ord, minutes, rule) AS position FROM step_rows)
+  WHERE position <= {S.MAX_NEXT_STEPS})""",
+        readiness_steps("reports"),
+    ]
+
+
+def readiness_steps(reports: str) -> str:
     structure = (
         "0.0::DOUBLE + CASE WHEN h2_count >= 2 THEN 0.35::DOUBLE WHEN h2_count = 1 THEN 0.15::DOUBLE ELSE 0.0::DOUBLE END"
         " + CASE WHEN h3_count >= 1 THEN 0.15::DOUBLE ELSE 0.0::DOUBLE END + CASE WHEN has_tldr THEN 0.2::DOUBLE ELSE 0.0::DOUBLE END"
@@ -451,16 +470,9 @@ def _steps() -> list[str]:
         "0.0::DOUBLE + CASE WHEN has_definition_near_top THEN 0.4::DOUBLE ELSE 0.0::DOUBLE END"
         " + 0.4::DOUBLE * intro_query_term_coverage + CASE WHEN best_position <= 0.4::DOUBLE THEN 0.2::DOUBLE ELSE 0.0::DOUBLE END"
     )
-    return [
-        "reports AS MATERIALIZED (SELECT * FROM facts JOIN signals USING (query_id, doc_id))",
-        "step_rows AS (" + " UNION ALL ".join(rows) + ")",
-        f"""steps AS MATERIALIZED (SELECT query_id, doc_id, position, minutes, step, target_count, ['high', 'medium', 'low'][ord] AS priority FROM (
-  SELECT *, row_number() OVER (PARTITION BY query_id, doc_id ORDER BY ord, minutes, rule) AS position FROM step_rows)
-  WHERE position <= {S.MAX_NEXT_STEPS})""",
-        f"""parts AS (SELECT query_id, doc_id, coverage_score / 100.0::DOUBLE AS c, least({structure}, 1.0::DOUBLE) AS s,
-  least({evidence}, 1.0::DOUBLE) AS e, least({answer}, 1.0::DOUBLE) AS a FROM reports)""",
-        """ready AS (SELECT *, 100.0::DOUBLE * (0.0::DOUBLE + 0.5::DOUBLE * c + 0.2::DOUBLE * s + 0.15::DOUBLE * e + 0.15::DOUBLE * a) AS score FROM parts)""",
-    ]
+    return f"""parts AS (SELECT query_id, doc_id, coverage_score / 100.0::DOUBLE AS c, least({structure}, 1.0::DOUBLE) AS s,
+  least({evidence}, 1.0::DOUBLE) AS e, least({answer}, 1.0::DOUBLE) AS a FROM {reports}),
+ready AS (SELECT *, 100.0::DOUBLE * (0.0::DOUBLE + 0.5::DOUBLE * c + 0.2::DOUBLE * s + 0.15::DOUBLE * e + 0.15::DOUBLE * a) AS score FROM parts)"""
 
 
 def _prelude(corpus: str) -> str:

@@ -15,7 +15,7 @@ from topicgauge.functions import vectors as V
 from topicgauge.operators import (
     chunking, diagnostics, embedding, nextsteps, ranking, readiness, recommendations, sections, signals, similarity,
 )
-from topicgauge.plans.analysis import Analysis, analyze
+from topicgauge.plans.analysis import Analysis, analyze, analyze_chunks
 from topicgauge.plans.compare import compare_documents, embed_queries as embed_query_table, score_documents
 from topicgauge.plans.compare import score_prechunked as score_chunk_table
 from topicgauge.settings import ChunkOptions
@@ -904,3 +904,50 @@ def score_card_custom_bands(spark, sf):
     """Own bands are no sign of a short topic."""
     card = analyze(W.documents(spark, sf), W.topics(spark), W.EMBEDDER, bands=_OWN_BANDS).score_card
     return card.select("query_id", "doc_id", "chunks_strong", "chunks_off_topic", "is_short_topic")
+
+
+_EMPTY_SIGNALS = "word_count, h2_count, link_count, has_faq, has_steps, numeric_density"
+_FAULTY_DOCS = """SELECT doc_id, CASE WHEN doc_id % 11 = 2 THEN '<h2></h2><h3> </h3>' ELSE text END AS text, lang AS scope FROM documents WHERE doc_id % 11 IN (2, 4)"""
+_EMPTY = "WITH RECURSIVE " + ",\n".join([f"docs AS ({_FAULTY_DOCS})", *O.topic_rows(10), *O.signal_steps()]) + """,
+unanswered AS (SELECT i.query_id, i.intent, d.doc_id FROM documents d JOIN intents i ON i.scope = d.lang WHERE d.doc_id % 11 IN (0, 1, 2, 4)),
+empty AS (SELECT u.query_id, u.doc_id, u.intent, coalesce(word_count, 0) AS word_count, coalesce(h2_count, 0) AS h2_count, coalesce(h3_count, 0) AS h3_count,
+  coalesce(link_count, 0) AS link_count, coalesce(has_faq, false) AS has_faq, coalesce(has_tldr, false) AS has_tldr, coalesce(has_steps, false) AS has_steps,
+  coalesce(has_sources_section, false) AS has_sources_section, coalesce(has_examples, false) AS has_examples, coalesce(numeric_density, 0.0) AS numeric_density,
+  coalesce(has_definition_near_top, false) AS has_definition_near_top, coalesce(intro_query_term_coverage, 0.0) AS intro_query_term_coverage,
+  0.0::DOUBLE AS coverage_score, 1.0::DOUBLE AS best_position
+  FROM unanswered u LEFT JOIN signals s ON s.query_id = u.query_id AND s.doc_id = u.doc_id)"""
+
+
+@register(f"{_EMPTY}\nSELECT query_id, doc_id, intent, {_EMPTY_SIGNALS.replace('numeric_density', r('numeric_density'))} FROM empty")
+def empty_step_reports(spark, sf):
+    """Intent and signals of documents without chunks: null, blank, of bare headings, of an unknown strategy."""
+    return shown(_faulty_analysis(spark, sf).empty_reports, "query_id", "doc_id", "intent", *_EMPTY_SIGNALS.split(", "))
+
+
+@register(f"{_EMPTY}, {O.readiness_steps('empty')}\nSELECT query_id, doc_id, {_PARTS_SQL}, {r('score')} FROM ready")
+def empty_readiness(spark, sf):
+    return shown(_faulty_analysis(spark, sf).empty_readiness, "query_id", "doc_id", *_PARTS, "score")
+
+
+_HOT_CHUNKS = (
+    _VECTOR_SCORED.replace("label::BIGINT AS doc_id", f"(CASE WHEN label < {W.HOT_LABELS} THEN 0 ELSE label END)::BIGINT AS doc_id")
+    .replace("PARTITION BY label", f"PARTITION BY CASE WHEN label < {W.HOT_LABELS} THEN 0 ELSE label END")
+    .replace("d.label = a.doc_id", f"CASE WHEN d.label < {W.HOT_LABELS} THEN 0 ELSE d.label END = a.doc_id")
+)
+
+
+@register(_HOT_CHUNKS + f""",
+placed AS (SELECT *, CASE WHEN chunk_count > 1 THEN chunk_index::DOUBLE / (chunk_count - 1) ELSE 0.0 END <= 0.2 AS opening FROM vec_scored),
+sums AS (SELECT query_id, doc_id, count(*) AS total_chunks, max(similarity) AS max_similarity, avg(similarity) AS avg_similarity,
+  arg_max(chunk_index, (similarity, -chunk_index)) AS best_chunk_index, count(*) FILTER (similarity >= strong) AS chunks_strong,
+  count(*) FILTER (similarity < weak) AS chunks_off_topic, count(*) FILTER (opening) AS band_n, avg(similarity) FILTER (opening) AS band_avg,
+  count(*) FILTER (chunk_index < 3) AS head_n, avg(similarity) FILTER (chunk_index < 3) AS head_avg FROM placed GROUP BY ALL)
+SELECT query_id, doc_id, total_chunks, {r('max_similarity')}, {r('avg_similarity')}, best_chunk_index, chunks_strong, chunks_off_topic,
+  CASE WHEN band_n >= 2 THEN band_n ELSE head_n END AS intro_chunks, round(CASE WHEN band_n >= 2 THEN band_avg ELSE head_avg END, 6) AS intro_similarity FROM sums""")
+def analyze_hot_chunks(spark, sf):
+    """Reports of a given chunk table with a hot document."""
+    a = analyze_chunks(W.hot_vector_chunks(spark, sf), W.centroid_queries(spark, sf), W.vectors(spark, sf))
+    return shown(
+        a.numbers, "query_id", "doc_id", "total_chunks", "max_similarity", "avg_similarity", "best_chunk_index", "chunks_strong", "chunks_off_topic",
+        "intro_chunks", "intro_similarity",
+    )
