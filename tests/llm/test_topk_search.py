@@ -51,7 +51,27 @@ def test_products_beyond_doubles(spark):
     assert found(spark, rows, 4) == brute(rows, lambda i: i % 4 == 0, 5)
 
 
-def test_too_large_and_empty(spark):
-    with pytest.raises(Exception, match="too large"):
-        found(spark, [(0, [1e8]), (1, [1.0])], 1)
+def test_large_components_and_empty(spark):
+    """Every finite component takes part; only a score beyond 64 bits is an error."""
+    rows = [(0, [1e8, 0.0]), (1, [1.0, 2.0]), (2, [-3.0, 0.5]), (3, [1e6, 1.0]), (4, [0.0, 1.0])]
+    assert found(spark, rows, 1) == brute([(i, np.float32(v).tolist()) for i, v in rows], lambda i: True, 5)
+    with pytest.raises(Exception, match="does not fit a long"):
+        found(spark, [(0, [1e10]), (1, [1e10])], 1)
+    with pytest.raises(Exception, match="does not fit a long"):
+        found(spark, [(0, [1e30]), (1, [1.0])], 1)
     assert found(spark, [], 1) == [] and found(spark, [(0, [1.0])], 1) == []
+
+
+def test_short_vectors_do_not_travel(spark, monkeypatch):
+    """With lengths far apart, most pairs of blocks are dropped before their vectors are joined."""
+    rng = np.random.default_rng(3)
+    v = rng.normal(size=(800, 6)) * np.repeat([100.0, 10.0, 1.0, 0.1], 200)[:, None]
+    rows = [(i, np.float32(x).tolist()) for i, x in enumerate(v)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    joined = []
+    real = K.shipped
+    monkeypatch.setattr(K, "shipped", lambda pairs: joined.append((pairs.count(), pairs.select("block").distinct().count())) or real(pairs))
+    got = sorted(tuple(r) for r in K.top_k(vectors, F.col("vec_id") % 7 == 0, 5, bucket_rows=50, query_rows=20).collect())
+    assert got == brute(rows, lambda i: i % 7 == 0, 5)
+    blocks = -(-115 // 20)
+    assert joined[0][0] < 0.75 * blocks * 16

@@ -14,17 +14,17 @@ bucket one of three things happens:
 Candidates are verified by their integer products. First thresholds come from the products with
 the bucket of longest vectors, a block of fixed size that every task receives.
 
-Queries are held in blocks, too. Buckets are dealt to cells, at most one per shuffle partition, and
-each query block visits every cell, so work is split both ways and a task holds one query block and
-one bucket at a time. Each visit returns at most k rows per query; these are merged by a window over
-at most k rows per query and cell. All bounds are widened by a relative SLACK, so rounding can only
+Queries are held in blocks, too. A block meets only the buckets whose longest vector some query of it can
+use: such pairs are chosen from a table of lengths, without vectors, and then joined with blocks and buckets. A
+task holds one query block and one bucket at a time. Each visit returns at most k rows per query; these are merged by a window.
+All bounds are widened by a relative SLACK, so rounding can only
 add candidates.
 
 Defined results: vectors that are null, empty, or hold null or non-finite components take no part,
 nor do rows without an id; vectors of different dimension have no product; rows that repeat an id
 are candidates of their own, one of them (the smallest vector) is the query, and none is a
-candidate of its own id; ties go to the smaller id. Components beyond +-2^31 after scaling raise
-an error rather than overflow. The table must give the same rows each time it is read.
+candidate of its own id; ties go to the smaller id. Products are exact 64-bit integers however large the
+components; a score, or a scaled component, beyond 64 bits raises an error rather than overflow. The table must give the same rows each time it is read.
 """
 
 from __future__ import annotations
@@ -58,12 +58,12 @@ def usable(embedding: Column) -> Column:
 
 def scaled(vectors: DataFrame, scale: int = 256) -> DataFrame:
     """``vec_id, dim, vector, squared`` with integer components floor(scale * x)."""
-    whole = F.transform("embedding", lambda x: F.floor(x.cast("double") * scale).cast("long"))
-    fits = F.forall("vector", lambda x: F.abs(x) < (1 << 31))
-    rows = vectors.filter(F.col("vec_id").isNotNull() & usable(F.col("embedding"))).select(F.col("vec_id").cast("long"), whole.alias("vector"))
-    checked = F.when(fits, F.col("vector")).otherwise(F.raise_error(F.lit("a component is too large for an exact product")))
-    squared = F.aggregate("vector", F.lit(0.0), lambda s, x: s + x.cast("double") * x)
-    return rows.withColumn("vector", checked).select("vec_id", F.size("vector").alias("dim"), "vector", squared.alias("squared"))
+    scaled_up = F.transform("embedding", lambda x: F.floor(x.cast("double") * scale))
+    fits = F.forall("scaled", lambda x: F.abs(x.cast("double")) < float(1 << 63))
+    rows = vectors.filter(F.col("vec_id").isNotNull() & usable(F.col("embedding"))).select(F.col("vec_id").cast("long"), scaled_up.alias("scaled"))
+    whole = F.when(fits, F.transform("scaled", lambda x: x.cast("long"))).otherwise(F.raise_error(F.lit("a component does not fit a long")))
+    squared = F.aggregate("vector", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
+    return rows.select("vec_id", whole.alias("vector")).select("vec_id", F.size("vector").alias("dim"), "vector", squared.alias("squared"))
 
 
 def blocks_of(rows: DataFrame, size: int, partitions: int) -> DataFrame:
@@ -75,9 +75,9 @@ def blocks_of(rows: DataFrame, size: int, partitions: int) -> DataFrame:
 
         def emit():
             ids = np.array([r[0] for r in held], "<i8")
-            vectors = np.array([r[2] for r in held], "<i4")
+            vectors = np.array([r[2] for r in held], "<i8")
             # numbered by the id of the first row: the same whenever the task runs
-            yield from out.add((int(ids[0]), held[0][1], float(np.sqrt(held[0][3])), ids.tobytes(), vectors.tobytes()), 4 * vectors.size)
+            yield from out.add((int(ids[0]), held[0][1], float(np.sqrt(held[0][3])), ids.tobytes(), vectors.tobytes()), 8 * vectors.size)
 
         for row in rows_of(batches):
             if held and (len(held) >= size or row[1] != held[0][1]):
@@ -97,19 +97,25 @@ class Bucket:
 
     def __init__(self, dim: int, ids: bytes, vectors: bytes):
         self.ids = np.frombuffer(ids, "<i8")
-        self.vectors = np.frombuffer(vectors, "<i4").reshape(-1, dim).astype(np.float64)
-        self.lengths = np.sqrt((self.vectors * self.vectors).sum(axis=1))
+        self.whole = np.frombuffer(vectors, "<i8").reshape(-1, dim)
+        self.vectors = self.whole.astype(np.float64)
+        self.lengths = np.linalg.norm(self.vectors, axis=1)
         self.longest = float(self.lengths.max(initial=0.0))
         self._by_coordinate: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        # float64 products of integers are exact below 2^53
-        self.exact = float(np.abs(self.vectors).max(initial=0.0)) ** 2 * dim < 2**52
+        self.largest = float(np.abs(self.vectors).max(initial=0.0))
 
     def products(self, query: np.ndarray, rows) -> np.ndarray:
-        if self.exact and float(np.abs(query).max()) ** 2 * len(query) < 2**52:
-            return (self.vectors[rows] @ query).astype(np.int64)
-        chosen = [[int(x) for x in v] for v in self.vectors[rows].astype(np.int64)]
-        whole = [int(x) for x in query]
-        return np.array([sum(a * b for a, b in zip(v, whole)) for v in chosen], np.int64)
+        """Exact products with a query of 64-bit integers; one that does not fit 64 bits is an error."""
+        bound = self.largest * float(np.abs(query.astype(np.float64)).max()) * len(query)
+        if bound < 2**52:  # float64 products of integers are exact below 2^53
+            return (self.vectors[rows] @ query.astype(np.float64)).astype(np.int64)
+        if bound < 2**62:
+            return self.whole[rows] @ query
+        whole = query.tolist()
+        products = [sum(a * b for a, b in zip(v, whole)) for v in self.whole[rows].tolist()]
+        if any(not -(1 << 63) <= p < 1 << 63 for p in products):
+            raise OverflowError("a score does not fit a long")
+        return np.array(products, np.int64)
 
     def candidates(self, query: np.ndarray, length: float, score: float):
         """Rows that may reach ``score``: an index array or slice, or None when there is none."""
@@ -145,9 +151,8 @@ class Best:
         self.found: list[tuple[np.ndarray, np.ndarray]] = [(np.array([], np.int64), np.array([], np.int64)) for _ in ids]
 
     def offer(self, q: int, scores: np.ndarray, ids: np.ndarray) -> None:
-        other = ids != self.ids[q]
-        scores = np.concatenate([self.found[q][0], scores[other]])
-        ids = np.concatenate([self.found[q][1], ids[other]])
+        scores = np.concatenate([self.found[q][0], scores])
+        ids = np.concatenate([self.found[q][1], ids])
         if len(scores) > self.k:
             least = np.partition(scores, len(scores) - self.k)[len(scores) - self.k]
             scores, ids = scores[scores >= least], ids[scores >= least]
@@ -158,13 +163,33 @@ class Best:
         return float(self.found[q][0][-1]) if len(self.found[q][0]) == self.k else -np.inf
 
 
+def lengths_of(vectors: np.ndarray) -> np.ndarray:
+    return np.linalg.norm(vectors.astype(np.float64), axis=1)
+
+
 def visit(queries: np.ndarray, lengths: np.ndarray, least: np.ndarray, bucket: Bucket, best: Best) -> None:
     for q in range(len(queries)):
-        rows = bucket.candidates(queries[q], lengths[q], max(least[q], best.least(q)))
-        if rows is not None and len(ids := bucket.ids[rows]):
+        rows = bucket.candidates(queries[q].astype(np.float64), lengths[q], max(least[q], best.least(q)))
+        if rows is None:
+            continue
+        ids = bucket.ids[rows]
+        if len(other := np.flatnonzero(ids != best.ids[q])) < len(ids):  # its own product need not fit a score
+            rows, ids = np.arange(len(bucket.ids))[rows][other], ids[other]
+        if len(ids):
             best.offer(q, bucket.products(queries[q], rows), ids)
 
 
+def shipped(pairs: DataFrame) -> DataFrame:
+    """The pairs of query block and bucket whose vectors are brought together."""
+    return pairs
+
+
+def reach_of(lengths: np.ndarray, least: np.ndarray) -> float:
+    """The length from which on a vector may enter the result of a block: the smallest least score over its query's own length."""
+    known = (least > 0) & (lengths > 0)
+    return float(np.min(least / np.where(lengths > 0, lengths, 1), where=known, initial=np.inf) * (1 - SLACK)) if known.all() else 0.0
+
+
 def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = 256, bucket_rows: int = BUCKET_ROWS, query_rows: int = QUERY_ROWS) -> DataFrame:
     """``query_id, rank, vec_id, score``: for each query the k rows with the highest product."""
     spark = vectors.sparkSession
@@ -180,24 +205,26 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = 256, bu
     longest = W.partitionBy("dim").orderBy(F.desc("longest"), "block")
     first = buckets.withColumn("_n", F.row_number().over(longest)).filter("_n = 1").select("dim", F.col("ids").alias("long_ids"), F.col("vectors").alias("long_vectors"))
     started = blocks.join(first, "dim")
-    schema = BLOCKS + ", least binary"
+    schema = BLOCKS + ", least binary, reach double"
 
     def start(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = Rows(arrow_schema(schema))
         for dim, block, length, ids, data, long_ids, long_vectors in rows_of(batches):
-            queries = np.frombuffer(data, "<i4").reshape(-1, dim).astype(np.float64)
+            queries = np.frombuffer(data, "<i8").reshape(-1, dim)
             best = Best(np.frombuffer(ids, "<i8"), k)
-            visit(queries, np.sqrt((queries * queries).sum(axis=1)), np.full(len(queries), -np.inf), Bucket(dim, long_ids, long_vectors), best)
+            lengths = lengths_of(queries)
+            visit(queries, lengths, np.full(len(queries), -np.inf), Bucket(dim, long_ids, long_vectors), best)
             least = np.array([best.least(q) for q in range(len(queries))])
-            yield from out.add((block, dim, length, ids, data, least.tobytes()), len(data) + len(ids))
+            yield from out.add((block, dim, length, ids, data, least.tobytes(), reach_of(lengths, least)), len(data) + len(ids))
         yield from out.flush()
 
-    cells = max(1, min(partitions, buckets.count()))
-    queries = materialize(
-        started.select("dim", "block", "longest", "ids", "vectors", "long_ids", "long_vectors").mapInArrow(start, schema)
-    ).select("dim", F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"), "least", F.explode(F.sequence(F.lit(0), F.lit(cells - 1))).alias("cell"))
-    cell = F.pmod(F.xxhash64("block"), F.lit(cells)).cast("int")
-    visits = queries.join(buckets.select("dim", "ids", "vectors", cell.alias("cell")), ["cell", "dim"])
+    # which pairs may hold a result is decided on lengths alone, before any vector moves
+    queries = materialize(started.select("dim", "block", "longest", "ids", "vectors", "long_ids", "long_vectors").mapInArrow(start, schema))
+    reach = queries.select("dim", F.col("block").alias("q_block"), "reach")
+    pairs = buckets.select("dim", "block", "longest").join(reach, "dim").filter(F.col("longest") * (1 + SLACK) >= F.col("reach")).select("dim", "block", "q_block")
+    asking = queries.select("dim", F.col("block").alias("q_block"), F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"), "least")
+    near = shipped(pairs).join(buckets.select("dim", "block", "ids", "vectors"), ["dim", "block"])
+    visits = asking.join(near, ["dim", "q_block"])
 
     def search(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = Rows(arrow_schema(FOUND))
@@ -212,8 +239,8 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = 256, bu
             if name != (dim, q_ids):
                 yield from emit()
                 name, best = (dim, q_ids), Best(np.frombuffer(q_ids, "<i8"), k)
-                asked_vectors = np.frombuffer(q_vectors, "<i4").reshape(-1, dim).astype(np.float64)
-                held = asked_vectors, np.sqrt((asked_vectors * asked_vectors).sum(axis=1)), np.frombuffer(least, "<f8")
+                asked_vectors = np.frombuffer(q_vectors, "<i8").reshape(-1, dim)
+                held = asked_vectors, lengths_of(asked_vectors), np.frombuffer(least, "<f8")
             visit(*held, Bucket(dim, ids, data), best)
         yield from emit()
         yield from out.flush()
