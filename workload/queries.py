@@ -13,7 +13,7 @@ from topicgauge.functions import bands as B
 from topicgauge.functions import text as X
 from topicgauge.functions import vectors as V
 from topicgauge.operators import (
-    chunking, diagnostics, embedding, nextsteps, ranking, readiness, recommendations, sections, signals, similarity,
+    chunking, dense, diagnostics, embedding, nextsteps, ranking, readiness, recommendations, sections, signals, similarity,
 )
 from topicgauge.plans.analysis import Analysis, analyze, analyze_chunks
 from topicgauge.plans.compare import compare_documents, embed_queries as embed_query_table, score_documents
@@ -951,3 +951,10 @@ def analyze_hot_chunks(spark, sf):
         a.numbers, "query_id", "doc_id", "total_chunks", "max_similarity", "avg_similarity", "best_chunk_index", "chunks_strong", "chunks_off_topic",
         "intro_chunks", "intro_similarity",
     )
+
+
+@register(_VECTOR_SCORED + f"\nSELECT {KEY}, {r('similarity')}, interpretation FROM vec_scored")
+def query_chunk_similarity_blocked(spark, sf):
+    """The given vectors against mean vectors, as matrix products."""
+    chunks = W.vectors(spark, sf).embed(W.vector_chunks(spark, sf))
+    return shown(dense.score_blocked(chunks, W.centroid_queries(spark, sf)), *K, "similarity", "interpretation")
