@@ -22,6 +22,8 @@ from topicgauge.sources.storage import materialize
 
 #: Bytes of query vectors that are broadcast at most.
 QUERY_BYTES = 64 << 20
+#: Vectors at least this wide are scored here by default: below, the expression is about as fast.
+WIDE = 128
 #: Pairs that a task makes at a time.
 PAIRS = 1 << 18
 

@@ -68,12 +68,12 @@ def score(
 
     ``assume_normalized`` takes the dot product alone, for tables known to hold unit vectors.
     """
-    return _scored(_meet(chunks, queries, on, salts), assume_normalized)
+    return scored(_meet(chunks, queries, on, salts), assume_normalized)
 
 
 def score_pairs(chunks: DataFrame, queries: DataFrame, pairs: DataFrame, assume_normalized: bool = False) -> DataFrame:
     """Only the requested ``(query_id, doc_id)`` pairs."""
-    return _scored(_meet_pairs(chunks, queries, pairs), assume_normalized)
+    return scored(_meet_pairs(chunks, queries, pairs), assume_normalized)
 
 
 def _with_similarity(joined: DataFrame, assume_normalized: bool) -> DataFrame:
@@ -85,7 +85,8 @@ def _with_similarity(joined: DataFrame, assume_normalized: bool) -> DataFrame:
     return multiplied.withColumn("similarity", _similarity(assume_normalized)).drop("_product")
 
 
-def _scored(joined: DataFrame, assume_normalized: bool) -> DataFrame:
+def scored(joined: DataFrame, assume_normalized: bool = False) -> DataFrame:
+    """Similarity and band of chunks beside their queries; pairs without a similarity are left out."""
     return (
         _with_similarity(joined, assume_normalized)
         .filter(F.col("similarity").isNotNull())

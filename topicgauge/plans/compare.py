@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from topicgauge.functions import text as X
-from topicgauge.operators import chunking, diagnostics, signals, similarity
+from topicgauge.operators import chunking, dense, diagnostics, signals, similarity, threshold_join
 from topicgauge.operators.embedding import Embedder, embed, unembeddable, with_metadata, without_vector
 from topicgauge.settings import EXAMPLE_CHARS, ChunkOptions
 from topicgauge.sources.readers import accepted_documents, accepted_queries, rejected_inputs, unasked
+from topicgauge.sources.storage import materialize
 
 #: Scoring needs no character ranges, so it skips the pass that finds them.
 SCORING_OPTIONS = ChunkOptions(with_offsets=False)
@@ -67,9 +68,20 @@ def _score(
     asked = queries if "query_vector" in queries.columns else similarity.prepare_queries(queries, embedder, bands)
     if pairs is not None:
         return similarity.score_pairs(vectors, asked, pairs, assume_normalized)
+    if embedder.dim >= dense.WIDE and salts == 1:
+        return dense.score_blocked(vectors, asked, on, assume_normalized)
     return similarity.score(vectors, asked, on, salts, assume_normalized)
 
 
+def chunks_above(
+    documents: DataFrame, queries: DataFrame, embedder: Embedder, threshold: float, strategy: str | Column = "flat", on: str = "scope",
+    bands: Mapping[str, float] | None = None, keep: Callable[[DataFrame], DataFrame] = materialize,
+) -> DataFrame:
+    """Scored chunks with ``similarity >= threshold`` only, found without comparing all pairs of a scope."""
+    vectors = keep(chunk_vectors(documents, embedder, strategy))
+    return threshold_join.score_above(vectors, keep(similarity.prepare_queries(queries, embedder, bands)), threshold, on)
+
+
 def score_documents(
     documents: DataFrame,
     queries: DataFrame,

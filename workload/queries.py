@@ -16,7 +16,7 @@ from topicgauge.operators import (
     chunking, dense, diagnostics, embedding, nextsteps, ranking, readiness, recommendations, sections, signals, similarity,
 )
 from topicgauge.plans.analysis import Analysis, analyze, analyze_chunks
-from topicgauge.plans.compare import compare_documents, embed_queries as embed_query_table, score_documents
+from topicgauge.plans.compare import chunks_above, compare_documents, embed_queries as embed_query_table, score_documents
 from topicgauge.plans.compare import score_prechunked as score_chunk_table
 from topicgauge.settings import ChunkOptions
 from topicgauge.sources.readers import rejected_inputs
@@ -958,3 +958,9 @@ def query_chunk_similarity_blocked(spark, sf):
     """The given vectors against mean vectors, as matrix products."""
     chunks = W.vectors(spark, sf).embed(W.vector_chunks(spark, sf))
     return shown(dense.score_blocked(chunks, W.centroid_queries(spark, sf)), *K, "similarity", "interpretation")
+
+
+@register(O.on("plain", f"SELECT {KEY}, {r('similarity')}, interpretation FROM scored WHERE similarity >= 0.6"))
+def threshold_join(spark, sf):
+    """The chunks of :func:`result_above`, found by their rare coordinates."""
+    return shown(chunks_above(W.documents(spark, sf), W.topics(spark), W.EMBEDDER, 0.6), *K, "similarity", "interpretation")
