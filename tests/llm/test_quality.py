@@ -57,7 +57,8 @@ def test_edge_cases(spark):
         [(1, 0, 0), (4, 1, 0), (4, 0, 0), (4, 1, 1), (5, None, 0), (None, 1, 0), (7, 1, 0), (99, 1, 0)], "doc_id long, quality long, toxic long"
     )
     rows = Q.training_shards(docs, labels, F.lit(True))
-    assert sorted(label for r in rows.collect() for label in r.labels) == [0, 1, 1, 1]
+    # the two rows of document 4 teach once
+    assert sorted(label for r in rows.collect() for label in r.labels) == [0, 1, 1]
     scored = Q.score(docs, Q.train(rows)).collect()
     assert len(scored) == len(edge_rows()) and all(0 < r.score < 1 for r in scored)
 
@@ -91,3 +92,16 @@ def test_repeated_ids_stay_within_the_bound(spark):
     assert sorted(label for r in packed for label in r.labels) == [0] * 6 + [1] * 6
     again = Q.training_shards(docs.orderBy(F.desc("text")), labels, F.lit(True), limit=20).collect()
     assert sorted(map(repr, packed)) == sorted(map(repr, again))
+
+
+def test_repeated_rows_weigh_the_same_in_tables_of_any_size(spark):
+    """The same rows teach the same, whether or not unrelated ones bring the table to the bound."""
+    few = [(1, "good words here")] * 5 + [(2, "BAD!!"), (1, "another text")]
+    many = [(i, f"text {i}") for i in range(100, 130)]
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality long")
+
+    def taught(rows, limit):
+        packed = Q.training_shards(documents(spark, rows), labels, F.lit(True), limit=limit).collect()
+        return sorted(repr((x.tobytes(), y)) for r in packed for x, _, y in Q.rows_of_shard(*map(bytes, r[1:])))
+
+    assert taught(few, 100) == taught(few + many, 100) == taught(few, 2) and len(taught(few, 100)) == 2

@@ -14,8 +14,8 @@ whole texts; nothing but (id, score) leaves it.
 
 Defined results: a null or empty text has only the constant feature; rows without an id or with a
 null label teach nothing; conflicting labels of one id count as their majority, ties as 0; without
-any label every score is 0.5; repeated rows are scored each on its own. Repeated rows of an id teach
-each, too, where all rows of the drawn ids are within the bound; beyond it one text of each id does.
+any label every score is 0.5; repeated rows are scored each on its own. Of rows that repeat an id one
+teaches, that whose text has the smallest hash, in a table of any size.
 """
 
 from __future__ import annotations
@@ -160,10 +160,9 @@ def training_shards(docs: DataFrame, labels: DataFrame, may_learn: Column, limit
     drawn = drawn.orderBy("turn", "doc_id").limit(limit)
     # at most `limit` rows of three numbers
     sample = docs.select(F.col("doc_id"), F.col("text").cast("string")).join(F.broadcast(drawn), "doc_id")
-    if sample.select("doc_id").count() > limit:
-        # ids repeat: of each one row, folded before the shuffle
-        least = F.min(F.struct(F.xxhash64("text").alias("by"), "text"))
-        sample = sample.groupBy("doc_id", "turn", "label").agg(least.alias("row")).select("turn", "label", "row.text")
+    # of each id one text, whatever the size of the table; rows that repeat an id are folded before the shuffle
+    least = F.min(F.struct(F.xxhash64("text").alias("by"), "text"))
+    sample = sample.groupBy("doc_id", "turn", "label").agg(least.alias("row")).select("turn", "label", "row.text")
     featured, packed = "shard int, turn long, label int, entries int, index binary, value binary", "shard int, labels binary, entries binary, index binary, value binary"
 
     def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
