@@ -12,8 +12,10 @@ import corpus_pipeline as C
 from check_oracle import connect, difference
 from tests.llm.test_byte_bpe import PLAIN
 from tests.llm.test_ngram_join import brute as near
+from tests.llm.data import documents, edge_rows
 from topicgauge.llm import mixing, quality
 from topicgauge.llm.queries import ORACLES, QUERIES
+from topicgauge.sources.storage import materialize
 
 SF = "/root/testdata/sf0.001"
 LOWER = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
@@ -25,7 +27,7 @@ def test_query_matches_sql(spark, name):
 
 
 def test_registered():
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
     assert set(QUERIES) | {"pipeline"} <= set(entry.queries())
     assert [name for name, _ in C.STAGES][1] == "exact dedup" and len(C.STAGES) == 5
 
@@ -64,6 +66,17 @@ def test_stages_one_by_one(spark):
         assert r.n_tokens == len(ids) and r.decoded_sha256 == hashlib.sha256(texts[r.doc_id].encode()).hexdigest()
 
 
+@pytest.mark.parametrize("rows", ["edge", "empty"])
+def test_chain_on_edge_cases(spark, rows):
+    """Null, empty and very long texts, null and repeated ids, clashing names; then no rows at all."""
+    docs = documents(spark, edge_rows() if rows == "edge" else [], ("digest", "position", "row", "score"))
+    for (name, stage), same in zip(C.STAGES, [True] * 4 + [False]):
+        columns, docs = docs.columns, materialize(stage(spark, docs, SF))
+        assert not same or docs.columns == columns, name
+    found = docs.collect()
+    assert all(len(r.ids) == 4 * r.n_tokens for r in found) and (rows == "edge" or not found)
+
+
 def test_run_gives_the_last_stage(spark):
     rows = C.run(spark, SF)
     assert rows.columns == ["doc_id", "n_tokens", "ids", "decoded_sha256"] and rows.count() > 100
