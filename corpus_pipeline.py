@@ -3,6 +3,13 @@
 ``STAGES`` lists (name, function); a function takes (spark, docs, sf_dir) and returns a table that
 is written as Parquet and read again as the next one's documents. All but the last return the
 columns of documents.
+
+Defined results: a null text counts as empty in every stage, and what a stage keeps of it has no ids in the
+last; rows with null or repeated ids are judged each on their own by the classifier, one row of an equal text stays, one row of a
+group of near duplicates stays (texts without words are near nothing), and a text of size 0 is not mixed; ties go to the
+largest id in the second stage, the smallest in the third, and by hash of the id in the fourth. Texts are processed whole, however long.
+Columns beside those of documents are carried along, whatever their names. An empty table gives an empty table in
+every stage.
 """
 
 from __future__ import annotations
