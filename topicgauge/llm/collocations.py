@@ -7,12 +7,14 @@ the block's own list of phrases. One round makes length k + 1:
 
 1. *Merge-join* by piece and adjacent position: inside a block, the occurrences at positions i and i + 1 of one piece
    make a candidate occurrence. A block that ends inside a piece carries the few words behind it, so no phrase is lost.
-2. *Group and count*: a block hands on each of its distinct candidates once, with its count; a window over the candidate sums the
-   counts of all blocks, and the first (block, number) among them becomes the phrase's name.
+2. *Group and count*: a block hands on each of its distinct candidates once, with its count. Words are summed by a window over the
+   word; longer candidates travel packed, as sorted runs of one of about ``blocks / RANGE_BLOCKS`` ranges of their hash, and a range
+   sums the runs of all blocks. The first (block, number) that has a phrase becomes its name.
 3. *Semi-join*: names of frequent candidates go back to the blocks that have them, the others disappear from the relation.
 
 Only distinct candidates per block are shuffled, never occurrences, so the most frequent word or phrase has
-one row per block. The blocks themselves travel packed, one row each.
+one entry per block. A range holds about RANGE_BLOCKS blocks' worth of candidates, however large the table; there are never more runs than
+candidates. The blocks themselves travel packed, one row each.
 
 A phrase's names of its first and of its last k - 1 words lead to the frequencies of all its parts by joins over frequent phrases, which
 are at most one per MIN_COUNT words of the input. Products are decimals of 38 digits.
@@ -48,6 +50,8 @@ BLOCK_WORDS = 1 << 20
 STRETCH = 1 << 20
 #: Bits of a candidate's number within its block, and of a block's number within its partition.
 LOCAL_BITS, NUMBER_BITS = 22, 16
+#: Blocks whose candidates one range of hashes holds, on average.
+RANGE_BLOCKS = 8
 
 _ENDS = b".,;:!?\n\x0b\x0c\r"
 #: Letters to lower case, piece ends to line feeds, tabs to spaces: then pieces and words are what split() gives.
@@ -55,16 +59,41 @@ _TABLE = bytes.maketrans(LETTERS_UP.encode() + _ENDS + b"\t", LETTERS_LOW.encode
 _CUT = re.compile(rb"[ \n]")
 
 WORDS = "block long, owned int, n int, ids binary, follows binary, langs array<string>, totals array<long>, key_lang array<int>, word array<binary>, counts array<long>"
-PAIRS = "block long, owned int, n int, ids binary, first array<long>, rest array<long>, counts array<long>"
+PAIRS = "block long, owned int, n int, ids binary, part array<int>, start array<int>, size array<int>, run array<binary>"
+COUNTED = "own long, first long, rest long, f long, name long"
 
 
 def packed(values: np.ndarray) -> bytes:
-    return pa.compress(np.ascontiguousarray(values).tobytes(), codec="zstd", asbytes=True)
+    """Compressed, the first bytes of all numbers before their second ones."""
+    bytes_ = np.ascontiguousarray(values).view("u1").reshape(len(values), values.itemsize)
+    return pa.compress(bytes_.T.tobytes(), codec="zstd", asbytes=True)
 
 
 def unpacked(data: bytes, kind: str, n: int) -> np.ndarray:
-    size = n * np.dtype(kind).itemsize
-    return np.frombuffer(pa.decompress(data, size, codec="zstd", asbytes=True) if n else b"", kind)
+    width = np.dtype(kind).itemsize
+    held = pa.decompress(data, n * width, codec="zstd", asbytes=True) if n else b""
+    return np.ascontiguousarray(np.frombuffer(held, "u1").reshape(width, n).T).view(kind).reshape(n)
+
+
+def packed_run(first: np.ndarray, rest: np.ndarray, counts: np.ndarray) -> bytes:
+    """Candidates sorted by their first part: steps of the first parts, the rests, the counts."""
+    steps = np.diff(first, prepend=0)
+    return b"".join(len(c).to_bytes(4, "little") + c for c in map(packed, (steps, rest.astype("<i8"), counts.astype("<i4"))))
+
+
+def unpacked_run(data: bytes, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    columns, at = [], 0
+    for kind in ("<i8", "<i8", "<i4"):
+        stop = at + 4 + int.from_bytes(data[at : at + 4], "little")
+        columns.append(unpacked(data[at + 4 : stop], kind, n))
+        at = stop
+    return np.cumsum(columns[0]), columns[1], columns[2]
+
+
+def range_of(first: np.ndarray, rest: np.ndarray, ranges: int) -> np.ndarray:
+    mixed = first.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + rest.astype(np.uint64)
+    mixed = (mixed ^ mixed >> np.uint64(31)) * np.uint64(0xBF58476D1CE4E5B9)
+    return ((mixed >> np.uint64(32)) % np.uint64(ranges)).astype(np.int32)
 
 
 def stretches(text: bytes, size: int | None = None, least: int = MAX_WORDS) -> Iterator[tuple[bool, list[bytes]]]:
@@ -192,18 +221,47 @@ def stored(df: DataFrame) -> DataFrame:
         df.sparkSession.conf.set(setting, before)
 
 
-def frequent(blocks: DataFrame, keys: list[Column], min_count: int) -> DataFrame:
-    """``block, local, name, f`` and the key of every candidate of a block that is frequent over all blocks."""
-    rows = blocks.select("block", F.posexplode(F.arrays_zip(*keys, F.col("counts").cast("array<int>").alias("count"))).alias("local", "_k"))
-    own = F.shiftleft("block", LOCAL_BITS).bitwiseOR(F.col("local").cast("long"))
-    named = rows.select(own.alias("own"), "_k.*")  # block and number travel as one
-    same = W.partitionBy(*[c for c in named.columns if c not in ("own", "count")])
-    named = named.withColumns({"f": F.sum("count").over(same), "name": F.min("own").over(same)}).filter(F.col("f") >= min_count).drop("count")
+def placed(named: DataFrame) -> DataFrame:
+    """Stored, with ``block`` and ``local``, the number within the block: they travel as one, ``own``."""
     local = F.col("own").bitwiseAND(F.lit((1 << LOCAL_BITS) - 1)).cast("int")
     return stored(named.withColumns({"block": F.shiftright("own", LOCAL_BITS), "local": local}))
 
 
-def extended(blocks: DataFrame, names: DataFrame) -> DataFrame:
+def frequent_words(blocks: DataFrame, min_count: int) -> DataFrame:
+    """``own, lang, word, f, name, block, local`` of every word of a block that is frequent over all blocks."""
+    lang = F.transform("key_lang", lambda k: F.get("langs", k))
+    keys = F.arrays_zip(lang.alias("lang"), F.col("word"), F.col("counts").cast("array<int>").alias("count"))
+    own = F.shiftleft("block", LOCAL_BITS).bitwiseOR(F.col("local").cast("long"))
+    named = blocks.select("block", F.posexplode(keys).alias("local", "_k")).select(own.alias("own"), "_k.*")
+    same = W.partitionBy("lang", "word")
+    return placed(named.withColumns({"f": F.sum("count").over(same), "name": F.min("own").over(same)}).filter(F.col("f") >= min_count).drop("count"))
+
+
+def frequent_pairs(blocks: DataFrame, min_count: int) -> DataFrame:
+    """``own, first, rest, f, name, block, local`` of every candidate of a block that is frequent over all blocks."""
+    schema = arrow_of(COUNTED)
+
+    def count(runs: pa.Table) -> pa.Table:
+        rows = zip(*(runs[c].to_pylist() for c in ("block", "start", "size", "run")))
+        columns = [
+            (np.arange(start, start + size) | block << LOCAL_BITS, *unpacked_run(run, size)) for block, start, size, run in rows
+        ]
+        own, first, rest, counts = map(np.concatenate, zip(*columns))
+        order = np.lexsort((rest, first))
+        own, first, rest, counts = own[order], first[order], rest[order], counts[order]
+        starts = np.flatnonzero(np.append(True, (np.diff(first) != 0) | (np.diff(rest) != 0)))
+        f = np.add.reduceat(counts, starts, dtype=np.int64)
+        alike = np.diff(np.append(starts, len(own)))
+        keep = np.repeat(f >= min_count, alike)
+        name = np.minimum.reduceat(own, starts)
+        found = (own[keep], first[keep], rest[keep], np.repeat(f, alike)[keep], np.repeat(name, alike)[keep])
+        return pa.table([pa.array(c, pa.int64()) for c in found], schema=schema)
+
+    runs = blocks.select("block", F.explode(F.arrays_zip("part", "start", "size", "run")).alias("_r")).select("block", "_r.*")
+    return placed(runs.groupBy("part").applyInArrow(count, COUNTED))
+
+
+def extended(blocks: DataFrame, names: DataFrame, ranges: int) -> DataFrame:
     """PAIRS: the candidates one word longer, from the blocks and the names of their frequent phrases."""
     schema, first_round = arrow_of(PAIRS), "follows" in blocks.columns
 
@@ -223,11 +281,20 @@ def extended(blocks: DataFrame, names: DataFrame) -> DataFrame:
         if not len(at):
             return schema.empty_table()
         codes, local = np.unique(ids[at].astype(np.int64) * size + ids[at + 1], return_inverse=True)
+        counts = np.bincount(local[at < owned], minlength=len(codes))
+        first, rest = name_of[codes // size], name_of[codes % size]
+        part = range_of(first, rest, ranges)
+        order = np.lexsort((first, part))
+        place = np.empty(len(order), "<i4")
+        place[order] = np.arange(len(order))
         longer = np.full(n, -1, "<i4")
-        longer[at] = local
+        longer[at] = place[local]
+        first, rest, counts, part = first[order], rest[order], counts[order], part[order]
+        starts = np.flatnonzero(np.diff(part, prepend=-1))
+        spans = list(zip(starts, [*starts[1:], len(part)]))
         row = {
-            "block": left["block"][0].as_py(), "owned": owned, "n": n, "ids": packed(longer), "first": name_of[codes // size], "rest": name_of[codes % size],
-            "counts": np.bincount(local[at < owned], minlength=len(codes)),
+            "block": left["block"][0].as_py(), "owned": owned, "n": n, "ids": packed(longer), "part": part[starts], "start": starts,
+            "size": [b - a for a, b in spans], "run": [packed_run(first[a:b], rest[a:b], counts[a:b]) for a, b in spans],
         }
         return pa.Table.from_batches([batch_of(row, schema)])
 
@@ -247,14 +314,14 @@ def mined(docs: DataFrame, min_count: int = MIN_COUNT, max_words: int = MAX_WORD
     """
     blocks = stored(word_blocks(docs, max_words, block_words))
     totals = blocks.select(F.explode(F.arrays_zip("langs", "totals")).alias("t")).groupBy(F.col("t.langs").alias("lang")).agg(F.sum("t.totals").alias("n"))
-    lang = F.transform("key_lang", lambda k: F.get("langs", k))
-    names = frequent(blocks, [lang.alias("lang"), F.col("word")], min_count)
+    ranges = -(-blocks.count() // RANGE_BLOCKS)
+    names = frequent_words(blocks, min_count)
     word = F.col("word").cast("string")
     none = F.array().cast("array<bigint>")
     found = [phrases(names).select("name", "lang", word.alias("phrase"), word.alias("last"), "f", none.alias("firsts"), none.alias("rests"))]
     for _ in range(1, max_words):
-        blocks = stored(extended(blocks, names))
-        names = frequent(blocks, [F.col("first"), F.col("rest")], min_count)
+        blocks = stored(extended(blocks, names, ranges))
+        names = frequent_pairs(blocks, min_count)
         parts = found[-1]
         first = parts.select(F.col("name").alias("first"), "lang", "phrase", F.col("f").alias("first_f"), "firsts")
         rest = parts.select(F.col("name").alias("rest"), "last", F.col("f").alias("rest_f"), "rests")
