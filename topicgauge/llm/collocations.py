@@ -10,7 +10,7 @@ the block's own list of phrases. One round makes length k + 1:
 2. *Group and count*: a block hands on each of its distinct candidates once, with its count. Words are summed by a window over the
    word; longer candidates travel packed, as sorted runs of one of about ``blocks / RANGE_BLOCKS`` ranges of their hash, and a range
    sums the runs of all blocks. The first (block, number) that has a phrase becomes its name.
-3. *Semi-join*: names of frequent candidates go back to the blocks that have them, the others disappear from the relation.
+3. *Semi-join*: names of frequent candidates go back to the blocks that have them, packed by run, the others disappear from the relation.
 
 Only distinct candidates per block are shuffled, never occurrences, so the most frequent word or phrase has
 one entry per block. A range holds about RANGE_BLOCKS blocks' worth of candidates, however large the table; there are never more runs than
@@ -60,7 +60,8 @@ _CUT = re.compile(rb"[ \n]")
 
 WORDS = "block long, owned int, n int, ids binary, follows binary, langs array<string>, totals array<long>, key_lang array<int>, word array<binary>, counts array<long>"
 PAIRS = "block long, owned int, n int, ids binary, part array<int>, start array<int>, size array<int>, run array<binary>"
-COUNTED = "own long, first long, rest long, f long, name long"
+#: Of a run: the numbers and names of its frequent candidates, and the phrases of which it is the first to have them.
+COUNTED = "block long, n int, locals binary, names binary, own array<long>, first array<long>, rest array<long>, f array<long>"
 
 
 def packed(values: np.ndarray) -> bytes:
@@ -221,12 +222,6 @@ def stored(df: DataFrame) -> DataFrame:
         df.sparkSession.conf.set(setting, before)
 
 
-def placed(named: DataFrame) -> DataFrame:
-    """Stored, with ``block`` and ``local``, the number within the block: they travel as one, ``own``."""
-    local = F.col("own").bitwiseAND(F.lit((1 << LOCAL_BITS) - 1)).cast("int")
-    return stored(named.withColumns({"block": F.shiftright("own", LOCAL_BITS), "local": local}))
-
-
 def frequent_words(blocks: DataFrame, min_count: int) -> DataFrame:
     """``own, lang, word, f, name, block, local`` of every word of a block that is frequent over all blocks."""
     lang = F.transform("key_lang", lambda k: F.get("langs", k))
@@ -234,11 +229,13 @@ def frequent_words(blocks: DataFrame, min_count: int) -> DataFrame:
     own = F.shiftleft("block", LOCAL_BITS).bitwiseOR(F.col("local").cast("long"))
     named = blocks.select("block", F.posexplode(keys).alias("local", "_k")).select(own.alias("own"), "_k.*")
     same = W.partitionBy("lang", "word")
-    return placed(named.withColumns({"f": F.sum("count").over(same), "name": F.min("own").over(same)}).filter(F.col("f") >= min_count).drop("count"))
+    named = named.withColumns({"f": F.sum("count").over(same), "name": F.min("own").over(same)}).filter(F.col("f") >= min_count).drop("count")
+    local = F.col("own").bitwiseAND(F.lit((1 << LOCAL_BITS) - 1)).cast("int")
+    return stored(named.withColumns({"block": F.shiftright("own", LOCAL_BITS), "local": local}))
 
 
 def frequent_pairs(blocks: DataFrame, min_count: int) -> DataFrame:
-    """``own, first, rest, f, name, block, local`` of every candidate of a block that is frequent over all blocks."""
+    """COUNTED: of every run the candidates that are frequent over all blocks."""
     schema = arrow_of(COUNTED)
 
     def count(runs: pa.Table) -> pa.Table:
@@ -252,13 +249,23 @@ def frequent_pairs(blocks: DataFrame, min_count: int) -> DataFrame:
         starts = np.flatnonzero(np.append(True, (np.diff(first) != 0) | (np.diff(rest) != 0)))
         f = np.add.reduceat(counts, starts, dtype=np.int64)
         alike = np.diff(np.append(starts, len(own)))
-        keep = np.repeat(f >= min_count, alike)
-        name = np.minimum.reduceat(own, starts)
-        found = (own[keep], first[keep], rest[keep], np.repeat(f, alike)[keep], np.repeat(name, alike)[keep])
-        return pa.table([pa.array(c, pa.int64()) for c in found], schema=schema)
+        name, f = np.repeat(np.minimum.reduceat(own, starts), alike), np.repeat(f, alike)
+        kept = np.flatnonzero(f >= min_count)
+        kept = kept[np.argsort(own[kept])]
+        block = own[kept] >> LOCAL_BITS
+        cuts = np.flatnonzero(np.diff(block, prepend=-1))
+        batches = []
+        for at in np.split(kept, cuts[1:]) if len(cuts) else []:
+            named = at[own[at] == name[at]]
+            row = {
+                "block": own[at[0]] >> LOCAL_BITS, "n": len(at), "locals": packed((own[at] & (1 << LOCAL_BITS) - 1).astype("<i4")),
+                "names": packed(name[at].astype("<i8")), "own": own[named], "first": first[named], "rest": rest[named], "f": f[named],
+            }
+            batches.append(batch_of(row, schema))
+        return pa.Table.from_batches(batches, schema)
 
     runs = blocks.select("block", F.explode(F.arrays_zip("part", "start", "size", "run")).alias("_r")).select("block", "_r.*")
-    return placed(runs.groupBy("part").applyInArrow(count, COUNTED))
+    return stored(runs.groupBy("part").applyInArrow(count, COUNTED))
 
 
 def extended(blocks: DataFrame, names: DataFrame, ranges: int) -> DataFrame:
@@ -272,7 +279,11 @@ def extended(blocks: DataFrame, names: DataFrame, ranges: int) -> DataFrame:
         ids = unpacked(left["ids"][0].as_py(), "<i4", n)
         size = int(ids.max(initial=-1)) + 1
         name_of = np.full(size + 1, -1, np.int64)  # the last stands for no phrase
-        name_of[right["local"].to_numpy()] = right["name"].to_numpy()
+        if first_round:
+            name_of[right["local"].to_numpy()] = right["name"].to_numpy()
+        else:
+            for count, locals_, own_names in zip(*(right[c].to_pylist() for c in ("n", "locals", "names"))):
+                name_of[unpacked(locals_, "<i4", count)] = unpacked(own_names, "<i8", count)
         here = name_of[ids] >= 0
         pairs = here[:-1] & here[1:]
         if first_round:
@@ -299,12 +310,8 @@ def extended(blocks: DataFrame, names: DataFrame, ranges: int) -> DataFrame:
         return pa.Table.from_batches([batch_of(row, schema)])
 
     held = blocks.select("block", "owned", "n", "ids", *["follows"] * first_round)
-    return held.groupBy("block").cogroup(names.select("block", "local", "name").groupBy("block")).applyInArrow(join, PAIRS)
-
-
-def phrases(names: DataFrame) -> DataFrame:
-    """One row per frequent phrase: that of the block that names it."""
-    return names.filter(F.col("own") == F.col("name")).drop("block", "local", "own")
+    named = names.select("block", "local", "name") if first_round else names.select("block", "n", "locals", "names")
+    return held.groupBy("block").cogroup(named.groupBy("block")).applyInArrow(join, PAIRS)
 
 
 def mined(docs: DataFrame, min_count: int = MIN_COUNT, max_words: int = MAX_WORDS, block_words: int | None = None) -> tuple[DataFrame, list[DataFrame]]:
@@ -318,14 +325,16 @@ def mined(docs: DataFrame, min_count: int = MIN_COUNT, max_words: int = MAX_WORD
     names = frequent_words(blocks, min_count)
     word = F.col("word").cast("string")
     none = F.array().cast("array<bigint>")
-    found = [phrases(names).select("name", "lang", word.alias("phrase"), word.alias("last"), "f", none.alias("firsts"), none.alias("rests"))]
+    own_names = names.filter(F.col("own") == F.col("name"))  # one row per word: that of the block that names it
+    found = [own_names.select("name", "lang", word.alias("phrase"), word.alias("last"), "f", none.alias("firsts"), none.alias("rests"))]
     for _ in range(1, max_words):
         blocks = stored(extended(blocks, names, ranges))
         names = frequent_pairs(blocks, min_count)
         parts = found[-1]
         first = parts.select(F.col("name").alias("first"), "lang", "phrase", F.col("f").alias("first_f"), "firsts")
         rest = parts.select(F.col("name").alias("rest"), "last", F.col("f").alias("rest_f"), "rests")
-        longer = phrases(names).join(first, "first").join(rest, "rest").select(
+        phrases = names.select(F.explode(F.arrays_zip("own", "first", "rest", "f")).alias("_p")).select(F.col("_p.own").alias("name"), "_p.first", "_p.rest", "_p.f")
+        longer = phrases.join(first, "first").join(rest, "rest").select(
             "name", "lang", F.concat_ws(" ", "phrase", "last").alias("phrase"), "last", "f", F.array_append("firsts", F.col("first_f")).alias("firsts"),
             F.array_append("rests", F.col("rest_f")).alias("rests"), "first", "rest",
         )
