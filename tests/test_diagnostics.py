@@ -85,6 +85,12 @@ def test_views(table):
     assert index(D.weak_or_off_topic_chunks(table)) == [(1, 2), (1, 3), (3, 0)]
     assert index(D.off_topic_chunks(table)) == [(1, 3)]
     assert index(D.filter_by(table, F.col("chunk_index") == 2)) == [(1, 2), (2, 2)]
+    assert index(D.filter_by(table, lambda rows: rows.chunk_index == 2)) == [(1, 2), (2, 2)]
+    few = table.select("doc_id", "chunk_index", F.when(F.col("chunk_index") != 1, F.col("similarity")).alias("similarity"))
+    assert index(D.filter_by(few, lambda rows: rows.similarity.where(rows.similarity.notna()) > 0.7, ["similarity"])) == [(1, 0)]
+    unsure = D.filter_by(few, lambda rows: (rows.chunk_index > 0).where(rows.chunk_index != 2, None), ["chunk_index"])
+    assert index(unsure) == [(1, 1), (1, 3), (2, 1)]  # null rejects
+    assert D.filter_by(few.limit(0), lambda rows: rows.similarity > 0, ["similarity"]).isEmpty()
     assert index(D.max_chunk(table)) == [(1, 0), (2, 0), (3, 0)]
     assert index(D.min_chunk(table)) == [(1, 3), (2, 0), (3, 0)]
     assert index(D.get_chunk(table, 1)) == [(1, 1), (2, 1)]

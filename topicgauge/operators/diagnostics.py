@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -299,8 +302,19 @@ def off_topic_chunks(scored: DataFrame) -> DataFrame:
     return scored.filter(in_band("off_topic"))
 
 
-def filter_by(scored: DataFrame, predicate: Column) -> DataFrame:
-    return scored.filter(predicate)
+def filter_by(scored: DataFrame, predicate: Column | Callable[[pd.DataFrame], pd.Series], columns: Sequence[str] = ()) -> DataFrame:
+    """Rows that a condition, or a Python function, accepts.
+
+    A function gets a batch of rows as a pandas frame and returns one truth value per row; null rejects. Only ``columns``
+    are handed to it (all, if none are named), so name those it reads: texts are long.
+    """
+    if isinstance(predicate, Column):
+        return scored.filter(predicate)
+
+    def accepts(rows: pd.DataFrame) -> pd.Series:
+        return pd.Series(predicate(rows)).astype("boolean").fillna(False).astype(bool)
+
+    return scored.filter(F.pandas_udf(accepts, "boolean")(F.struct(*(columns or scored.columns))))
 
 
 def max_chunk(scored: DataFrame) -> DataFrame:

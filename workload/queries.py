@@ -543,6 +543,12 @@ _view(
     "filter_by_predicate", "token_count > 100 AND similarity >= weak",
     lambda d: diagnostics.filter_by(d, (F.col("token_count") > 100) & (F.col("similarity") >= F.col("bands.weak"))),
 )
+_view(
+    "filter_by_function", "token_count > 100 AND chunk_index % 3 <> 1 AND similarity < 0.7",
+    lambda d: diagnostics.filter_by(
+        d, lambda rows: (rows.token_count > 100) & (rows.chunk_index % 3 != 1) & (rows.similarity < 0.7), ("token_count", "chunk_index", "similarity")
+    ),
+)
 _view("get_chunk", "chunk_index = 2", lambda d: diagnostics.get_chunk(d, 2))
 _view("chunks_at_level", "level = 'macro'", lambda d: diagnostics.chunks_at_level(d, "macro"), "mixed")
 
