@@ -118,3 +118,11 @@ def test_strategy_per_row_and_bad_name(spark):
     assert [r.level for r in rows] == ["flat", "macro"]
     with pytest.raises(ValueError, match="strategy"):
         chunking.chunk_documents(docs, "paragraphs")
+
+
+def test_a_filter_on_the_chunk_count_does_not_cut_again(spark):
+    docs = spark.createDataFrame([(1, "One. Two."), (2, "word " * 900)], "doc_id long, text string").repartition(2, "doc_id")
+    rows = chunking.chunk_documents(docs, "flat").filter(F.col("chunk_count") >= 2)
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") == 1
+    assert all("split(" not in line for line in plan.splitlines() if "Filter" in line)
