@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tests.reports import by_doc, scored
 from topicgauge import settings as S
+from topicgauge.functions import bands as B
 from topicgauge.operators import diagnostics as D
 from topicgauge.operators import ranking, sections
 
@@ -165,3 +166,15 @@ def _plan(df):
 def test_reports_are_aggregated_by_hash(table):
     for df in (D.compare(table), D.report_numbers(table), D.coverage(table)):
         assert "HashAggregate" in _plan(df) and "SortAggregate" not in _plan(df)
+
+
+def test_sections_read_the_scored_rows_once(spark):
+    """Rows of an id that comes twice count twice, and each opening row gives its section once; a null id has none."""
+    rows = [(1, d, i, "macro" if i == 0 else "micro", h, None if i == 0 else 0, s, 2) for d, i, h, s in [
+        (5, 0, "A", 0.9), (5, 0, "B", 0.7), (5, 1, "C", 0.1), (None, 0, "D", 0.5), (6, 1, "E", 0.5)]]
+    schema = "query_id long, doc_id long, chunk_index int, level string, heading string, parent_index int, similarity double, word_count int"
+    scored = spark.createDataFrame(rows, schema).withColumn("bands", B.band_struct(S.STANDARD_BANDS))
+    found = sections.section_summaries(scored)
+    got = sorted((r.doc_id, r.section_index, r.heading, r.level, r.chunk_count, r.total_words) for r in found.collect())
+    assert got == [(5, 0, "A", "macro", 3, 6), (5, 0, "B", "macro", 3, 6), (5, 1, "C", "micro", 1, 2), (6, 1, "E", "micro", 1, 2)]
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
