@@ -147,3 +147,21 @@ def test_filters_do_not_repeat_the_product(spark):
     scored = similarity.score(embedding.embed(chunks, e), similarity.prepare_queries(make_queries(spark, [(1, "alpha", "all", None)]), e))
     plan = scored.filter(F.col("similarity") > 0.5)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("zip_with") == 1
+
+
+def test_hashed_terms_are_the_same_in_any_engine(spark):
+    """The bucket of a term, from Spark's own MD5; a null text has no vector."""
+    df = spark.createDataFrame([(0, "The cat, the CAT K9 İx"), (1, None), (2, "...")], "id int, text string")
+    got = {r.id: r.vector for r in HashedTerms(24).embed(df, "text").collect()}
+    tokens = F.explode(F.regexp_extract_all(F.lower("text"), F.lit("([a-z0-9]+)")))
+    bucket = F.conv(F.substring(F.md5(F.col("w").cast("binary")), 1, 8), 16, 10).cast("bigint") % 24
+    want = [0.0] * 24
+    for r in df.filter("id = 0").select(tokens.alias("w")).select(bucket.alias("b")).collect():
+        want[r.b] += 1
+    assert got == {0: want, 1: None, 2: [0.0] * 24}
+
+
+def test_no_word_is_hashed_or_sorted_in_expressions(spark):
+    """Interpreted lambdas over every word took most of the scoring's time."""
+    plan = HashedTerms(16).embed(spark.createDataFrame([("a b",)], "text string"), "text")._jdf.queryExecution().optimizedPlan().toString()
+    assert "md5" not in plan and "array_sort" not in plan and "ArrowEvalPython" in plan
