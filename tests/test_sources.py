@@ -163,3 +163,11 @@ def test_one_pass_over_the_text(spark, queries, tmp_path):
     a = analyze(spark.read.parquet(path), queries, HashedTerms(16), "markdown")
     for report in (a.recommendations, a.readiness, a.next_steps, a.action_plan, a.diagnostics):
         assert "corpus_of_this_test" not in report._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_rewritten_text_is_written_once(spark):
+    """A filter on it would be pushed below the projection that writes it, with the rewriting inside."""
+    docs = spark.createDataFrame([(1, "a b"), (2, " "), (3, None)], "doc_id long, text string").repartition(2, "doc_id")
+    kept = readers.accepted_documents(docs.withColumn("text", F.regexp_replace("text", "a", "c")))
+    assert kept.columns == ["doc_id", "text"] and [tuple(r) for r in kept.collect()] == [(1, "c b")]
+    assert kept._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace") == 1
