@@ -48,10 +48,13 @@ def mixed_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def encoded_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The ids of every document, and whether they decode to its text."""
+    """The ids of every document, and whether they decode to its text.
+
+    The ids are stored in between: in one stage with the decoder, every task would hold two Python workers, and these stay.
+    """
     hand_over_in_small_batches(spark)
     path, pattern = public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN
-    decoded = byte_bpe.decode(byte_bpe.encode(docs, path, pattern), path, pattern)
+    decoded = byte_bpe.decode(materialize(byte_bpe.encode(docs, path, pattern)), path, pattern)
     return decoded.select("doc_id", byte_bpe.n_tokens(F.col("ids")).alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

@@ -77,6 +77,12 @@ def test_chain_on_edge_cases(spark, rows):
     assert all(len(r.ids) == 4 * r.n_tokens for r in found) and (rows == "edge" or not found)
 
 
+def test_encoding_and_decoding_do_not_run_in_one_stage(spark):
+    """Two Python operators in a stage take two workers a task, whose memory stays with the executor."""
+    plan = C.encoded_documents(spark, documents(spark, edge_rows()), SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1
+
+
 def test_run_gives_the_last_stage(spark):
     rows = C.run(spark, SF)
     assert rows.columns == ["doc_id", "n_tokens", "ids", "decoded_sha256"] and rows.count() > 100
