@@ -81,6 +81,15 @@ def test_words_that_do_not_fit_the_memory(monkeypatch):
     assert list(encode(t.encode() for t in texts)) == [plain_ids(t)[:-1].tobytes() for t in texts]
 
 
+def test_words_with_any_marks_behind_are_encoded_together():
+    encode, calls = P.WordCodes(PATH), []
+    plain, encode.ids = encode.ids, lambda texts: calls.append(len(texts)) or plain(texts)
+    marks = ["***", "$$$", "%%%", "@", "#", "=", "--", "_", '"', "+!", "/", "~&"]
+    text = " ".join(f"{a}{b}{m}" for a in "abcdefgh" for b in "éxyz" for m in marks)
+    assert list(encode([text.encode()])) == [plain_ids(text)[:-1].tobytes()]
+    assert sum(calls) <= 1 + len(marks)  # the letters in one go, and each run of marks
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.text(max_size=60))
 def test_any_text_is_encoded_as_the_library_does(text):

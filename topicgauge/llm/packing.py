@@ -33,6 +33,7 @@ import os
 import re
 from collections import deque
 from collections.abc import Callable, Iterable, Iterator
+from itertools import chain, filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -52,12 +53,12 @@ SLACK = 1
 #: Bytes of text that are encoded at a time, more or less: stretches end at white space.
 STRETCH = 1 << 20
 #: Encoded words that a worker remembers, and their bytes, until it starts anew; a stretch has fewer.
-WORDS_HELD, WORD_BYTES = 700_000, 16 << 20
+WORDS_HELD, WORD_BYTES = 1_200_000, 28 << 20
 
 PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 _BLANK = re.compile(rb"[ \t\n\r\x0b\x0c]")
 #: Marks that never form a token with the letters before them.
-_MARKS = b".,;:!?)"
+_MARKS = b".,;:!?)$*%#&@+=~/\"_-"
 
 #: The bytes of texts to their ids, as little-endian unsigned 32-bit integers, in order.
 Encode = Callable[[Iterable[bytes]], Iterator[bytes]]
@@ -120,11 +121,10 @@ class WordCodes(dict):
         """The ids of texts, about STRETCH bytes at most; what was known goes when it is too much."""
         gc.disable()  # words form no cycles, and looking for some among them takes a tenth of the time
         split = [lowered(text).split() for text in texts]
-        words = set().union(*split)
-        missing = words.difference(self)
+        missing = set(filterfalse(self.__contains__, chain.from_iterable(split)))
         if len(self) + len(missing) > WORDS_HELD or self.bytes > WORD_BYTES:
             self.clear()
-            self.bytes, missing = 0, words
+            self.bytes, missing = 0, set().union(*split)
         self.bytes += len(b"".join(missing))
         try:
             self.learn(missing)
