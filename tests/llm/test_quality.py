@@ -51,6 +51,29 @@ def test_held_out_accuracy(spark):
     assert sum(s < Q.THRESHOLD for s in bad) >= 0.9 * len(bad)
 
 
+def test_driver_gets_one_state_in_slices(spark, monkeypatch):
+    """The shards' states are averaged in tasks; the rows of all shards would stand in the driver in several copies."""
+    docs = documents(spark, [(i, f"some words {i} and {i % 7}", None, None) for i in range(40)])
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality long")
+    shards = Q.training_shards(docs, labels, F.lit(True))
+    z, n = np.zeros(1 << Q.BITS), np.zeros(1 << Q.BITS)
+    for _ in range(2):
+        states = []
+        for row in sorted(shards.collect()):
+            states.append((z.copy(), n.copy()))
+            Q.follow_leader(*states[-1], Q.rows_of_shard(*row[1:]))
+        z, n = (np.mean([s[k].astype("<f4") for s in states], axis=0, dtype=float) for k in (0, 1))
+    kind, fetched = type(shards), []
+    plain = kind.toArrow
+    monkeypatch.setattr(kind, "toArrow", lambda df: fetched.append(plain(df)) or fetched[-1])
+    monkeypatch.setattr(kind, "collect", lambda df: (_ for _ in ()).throw(AssertionError("collected")))
+    assert (Q.train(shards, rounds=2) == Q.weights_of(z, n).astype(np.float32)).all()
+    assert len(fetched) == 2
+    for rows in fetched:
+        assert rows.num_rows == Q.SLICES and rows.nbytes < 1.1 * 16 * (1 << Q.BITS)
+        assert max(map(len, rows["z"].to_pylist())) == 8 * (1 << Q.BITS) // Q.SLICES
+
+
 def test_edge_cases(spark):
     docs = documents(spark, edge_rows(), ("score", "turn", "label"))
     labels = spark.createDataFrame(

@@ -8,8 +8,8 @@ the same.
 
 Training runs over a bounded sample of labelled rows in SHARDS shards. In every round each shard
 is one task that starts from the common state, applies per-coordinate FTRL-proximal updates row by
-row in a fixed order, and returns its state; the states are averaged. A state has a fixed size
-(two numbers per feature) whatever the input. Scores are sparse dot products in the scan of the
+row in a fixed order, and returns its state in slices; the states are averaged slice by slice in tasks, and
+the mean alone comes to the driver. A state has a fixed size (two numbers per feature) whatever the input. Scores are sparse dot products in the scan of the
 whole texts; nothing but (id, score) leaves it.
 
 Defined results: a null or empty text has only the constant feature; rows without an id or with a
@@ -37,6 +37,8 @@ BITS = 18
 TRAIN_ROWS = 16_000
 SHARDS = 8
 ROUNDS = 8
+#: Slices of the state, in which the shards' states are averaged and the mean comes to the driver.
+SLICES = 16
 ALPHA, BETA, L1, L2 = 2.0, 1.0, 0.02, 0.0
 THRESHOLD = 0.3
 #: Entries of a worker's memory of words; it starts anew when full.
@@ -191,12 +193,27 @@ def rows_of_shard(labels: bytes, entries: bytes, index: bytes, value: bytes) ->
         at += n
 
 
+def averaged(states: DataFrame) -> DataFrame:
+    """``part, z, n``: the mean of the shards' states, slice by slice, so that no task or row holds more than a slice of each."""
+    schema = "part int, z binary, n binary"
+
+    def mean(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = Rows(arrow_schema(schema))
+        # a fixed number of rows of a fixed size: no sort of Spark's, whose pages are far larger
+        for (part,), run in grouped(sorted(rows_of(batches)), 1):
+            both = [np.mean([np.frombuffer(row[at], "<f4") for row in run], axis=0, dtype=float).astype("<f8").tobytes() for at in (2, 3)]
+            yield from out.add((part, *both), len(both[0]) + len(both[1]))
+        yield from out.flush()
+
+    return states.repartitionById(SLICES, "part").mapInArrow(mean, schema)
+
+
 def train(shards: DataFrame, rounds: int = ROUNDS) -> np.ndarray:
     """The weights: one number per feature."""
     spark = shards.sparkSession
-    size = 1 << BITS
+    size, width = 1 << BITS, (1 << BITS) // SLICES
     z, n = np.zeros(size), np.zeros(size)
-    schema = "shard int, z binary, n binary"
+    schema = "part int, shard int, z binary, n binary"
     for _ in range(rounds):
         state = spark.sparkContext.broadcast((z, n))
 
@@ -205,14 +222,17 @@ def train(shards: DataFrame, rounds: int = ROUNDS) -> np.ndarray:
             for shard, *packed in rows_of(batches):
                 own_z, own_n = state.value[0].copy(), state.value[1].copy()
                 follow_leader(own_z, own_n, rows_of_shard(*packed))
-                yield from out.add((shard, own_z.astype("<f4").tobytes(), own_n.astype("<f4").tobytes()), 8 * size)
+                for part in range(SLICES):
+                    both = [own[part * width : (part + 1) * width].astype("<f4").tobytes() for own in (own_z, own_n)]
+                    yield from out.add((part, shard, *both), 8 * width)
             yield from out.flush()
 
-        # SHARDS states of a fixed size
-        states = sorted(shards.mapInArrow(shard_round, schema).collect())
-        if states:
-            z = np.mean([np.frombuffer(s[1], "<f4") for s in states], axis=0, dtype=float)
-            n = np.mean([np.frombuffer(s[2], "<f4") for s in states], axis=0, dtype=float)
+        # one state, in SLICES rows: as the rows of all shards, it fills the driver's memory with copies
+        means = averaged(shards.mapInArrow(shard_round, schema)).toArrow()
+        z, n = z.copy(), n.copy()
+        for part, part_z, part_n in rows_of(means.to_batches()):
+            z[part * width : (part + 1) * width] = np.frombuffer(part_z, "<f8")
+            n[part * width : (part + 1) * width] = np.frombuffer(part_n, "<f8")
         state.destroy()
     return weights_of(z, n).astype(np.float32)
 
