@@ -61,6 +61,10 @@ def test_single_rules(spark):
         ("since 2034", "has_freshness_signals", False),
         ("20249", "has_freshness_signals", False),
         ("As of now", "has_freshness_signals", True),
+        ("a\u017f of now", "has_freshness_signals", True),
+        ("NEW IN this", "has_freshness_signals", True),
+        ("FREQUENTLY ASKED QUESTIONS", "has_faq", True),
+        ("E.G. this, x E.G.y", "has_examples", True),
     ]
     rows = signals_of(spark, [c[0] for c in cases])
     assert [r[c[1]] for r, c in zip(rows, cases)] == [c[2] for c in cases]

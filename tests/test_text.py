@@ -42,3 +42,12 @@ def test_code_blocks_are_dropped(spark):
     text = "a\n```py\n## x\n```\nb\n  ```\nopen"
     row = spark.createDataFrame([(text,)], "t string").select(X.without_code_blocks(F.col("t")).alias("o")).first()
     assert row.o == "a\nb\n"
+
+
+def test_long_texts_are_not_walked_to_be_stripped(spark):
+    """``rtrim`` takes eight bytes for every byte of a text; only a text that ends with white space is handed to it."""
+    df = spark.createDataFrame([("x y",), (" x\u3000",), ("\u2003",), ("",), (None,)], "t string")
+    rows = df.select(X.strip(F.col("t")).alias("s"), X.is_blank(F.col("t")).alias("b")).collect()
+    assert [(r.s, r.b) for r in rows] == [("x y", False), ("x", False), ("", True), ("", True), (None, None)]
+    plan = df.select(X.is_blank(F.col("t")).alias("b"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "ltrim(" in plan.lower() and "rtrim(" not in plan.lower() and " trim(" not in plan.lower()

@@ -1,6 +1,9 @@
 import math
+import random
+import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -51,6 +54,25 @@ def test_hashed_terms_count_every_token(spark, dim):
     assert rows[1].norm == 0
 
 
+def test_terms_are_counted_by_batch(monkeypatch):
+    def bucket(term):
+        calls.append(term)
+        return sum(term) % 5
+
+    rng, calls = random.Random(3), []
+    for rows in (0, 1, 2, 9, 60):
+        texts = ["".join(rng.choice("ab09z -\u00e9.\u4e2d") for _ in range(rng.choice([0, 1, 4, 30]))) if rng.random() < 0.9 else None for _ in range(rows)]
+        batch = pa.array(["ends a", *texts, "b"], pa.string()).slice(1, rows)  # neighbours must not leak in
+        want = [sum(sum(t.encode()) % 5 == k for t in re.findall("[a-z0-9]+", text or "")) for text in texts for k in range(5)]
+        for most in (1, 7, 1 << 20):
+            monkeypatch.setattr(embedding, "_PIECE", most)
+            calls.clear()
+            parts = list(embedding.pieces(batch))
+            assert sum(map(len, parts)) == rows
+            assert [int(x) for p in parts for x in embedding.bucket_counts(p, bucket, 5)] == want
+        assert len(calls) == len(set(calls))  # one call a distinct term of a piece
+
+
 def _model():
     return lambda texts: np.array([[len(t), 1.0] for t in texts])
 
