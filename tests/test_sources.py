@@ -121,6 +121,22 @@ def test_analysis_is_consistent(spark, queries):
     assert a.recommendation_targets.count() == a.recommendations.agg(F.sum("target_count")).first()[0]
 
 
+def test_signals_are_read_where_they_are_shown(spark, queries):
+    docs = spark.createDataFrame([(i, f"## Part\n{TEXT}\n" + "widgets " * i, "all") for i in range(3)], "doc_id long, text string, scope string")
+    stored = []
+
+    def keep(df):
+        stored.append(df)
+        return storage.materialize(df)
+
+    rows = lambda df: sorted(map(repr, df.collect()))
+    kept = analyze(docs, queries, HashedTerms(16), "auto")
+    read = analyze(docs, queries, HashedTerms(16), "auto", keep, keep_signals=False)
+    assert [sorted(set(df.columns) & {"chunks", "signals", "similarity"}) for df in stored] == [["chunks"], ["similarity"]]
+    for name in ("recommendations", "recommendation_targets", "score_card", "next_steps", "readiness", "action_plan"):
+        assert rows(getattr(read, name)) == rows(getattr(kept, name)), name
+
+
 def test_stream_equals_batch(spark, queries, tmp_path):
     docs = spark.createDataFrame([(i, f"{TEXT} {i}", "all") for i in range(6)], "doc_id long, text string, scope string")
     docs.repartition(3).write.parquet(str(tmp_path / "in"))
