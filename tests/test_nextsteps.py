@@ -65,6 +65,27 @@ def test_steps(spark):
     assert N.next_steps(r, max_steps=2).filter("doc_id = 1").count() == 2
 
 
+def test_steps_are_worked_out_once(spark):
+    t, r = reports(spark, {1: ([0.30, 0.40, 0.85, 0.20], BARE), 2: ([0.9, 0.5], FULL)})
+    targets = N.step_targets(N.next_steps(r), t)
+    plan = targets._jdf.queryExecution().optimizedPlan().toString()
+    # the steps of a report once, not once per kind of target, and without the wording that targets do not show
+    assert plan.count("posexplode(") == 1 and "format_string" not in plan
+    assert sorted((x.doc_id, x.step, x.chunk_index) for x in targets.collect()) == [
+        (1, "front_load", 0), (1, "front_load", 1), (1, "front_load", 2), (1, "reduce_drift", 0), (1, "reduce_drift", 1),
+        (1, "reduce_drift", 3), (2, "strengthen_weak", 1),
+    ]
+
+
+def test_targets_of_a_document_that_comes_twice(spark):
+    t, r = reports(spark, {1: ([0.30, 0.40, 0.85, 0.20], BARE)})
+    once, twice = (N.step_targets(N.next_steps(a), b) for a, b in ((r, t), (r.union(r), t.union(t))))
+    steps = [(x.step, x.chunk_index) for x in twice.collect()]
+    assert steps.count(("front_load", 0)) == 2 and steps.count(("front_load", 2)) == 2
+    assert len([s for s, _ in steps if s == "reduce_drift"]) == 5
+    assert once.count() == 6
+
+
 def test_intro_band(spark):
     sims = [0.1, 0.2, 0.3, 0.9, 0.9, 0.4, 0.4, 0.4, 0.4, 0.4, 0.4]
     _, r = reports(spark, {1: (sims, BARE), 2: ([0.1, 0.5], BARE), 3: ([0.2], BARE)})

@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from topicgauge.operators import plain_signals as P
 from topicgauge.operators import signals as G
 from topicgauge.sources.readers import make_queries
 
@@ -97,3 +98,33 @@ def test_query_terms_and_intent(spark):
 def test_no_terms_means_no_coverage(spark):
     (s,) = signals_of(spark, ["This is with that"], "with that")
     assert s.intro_query_term_coverage == 0 and not s.has_definition_near_top
+
+
+def by_expressions(docs):
+    """What the expressions find, whatever the texts are made of."""
+    opened = docs.withColumn("_rest", F.col("text")).withColumns(G._openings(F.col("_rest")))
+    return opened.withColumns(G._rules(F.col("_rest"))).drop("text", "_rest", *G._openings(F.col("_rest")))
+
+
+def test_batches_and_expressions_agree(spark):
+    plain = [chr(c) for c in range(0x2100) if P.is_plain(chr(c))]
+    assert {"a", "\x85", "\u00e9", "\u2019", "\u2028", "\u20ac"} <= set(plain)
+    assert not set("\u00b2\u0130\u0131\u017f\u0301\u0395\u203f") & set(plain)
+    around = [
+        "{0}is{0} 1{0}2 <h2{0} {0}FAQ{0}\nvs{0}\n{0}step {0}1 x\n{0}## x{0}y\nSources{0}\n##{0}a\n{0}|a|{0}\n{0}```\nfaq\n{0}```{0}z\n"
+        "as of{0} [a](http://b) http://a{0}b TL{0}DR", "{0}", "A{0}Summary{0}means{0}", "{0}e.g.{0} For Example{0}\nStep{0}2{0}do {0}201{0}2023",
+    ]
+    edges = [None, "", " \n", " ".join(["w"] * 220), "w " * 219 + "is x", "w " * 220 + "is x", "x" * 795 + " tldr", "a" * 1996 + " as of", DOC]
+    others = ["\u017fources", "\u0661. x", "1\u0661\nx", "\u212a faq\u0301", "\u03a3 vs \u03a3", "x\U0001f600 is", "\u0130s is"]
+    texts = [a.format(c) for c in plain for a in around] + edges + others + [DOC + o for o in others]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r.doc_id: r for r in G.document_signals(docs).collect()}
+    assert found == {r.doc_id: r for r in by_expressions(docs).collect()}
+    judged = docs.select("doc_id", P.plain_signals(F.col("text")).isNotNull().alias("here")).filter("here")
+    assert judged.count() == len(texts) - 1 - 2 * len(others)
+
+
+def test_broken_text_is_left_to_the_expressions(spark):
+    docs = spark.createDataFrame([(1, bytearray(b"vs \xff 1")), (2, bytearray(b"vs 1"))], "doc_id long, raw binary")
+    docs = docs.select("doc_id", F.col("raw").cast("string").alias("text"))
+    assert G.document_signals(docs).orderBy("doc_id").collect() == by_expressions(docs).orderBy("doc_id").collect()
