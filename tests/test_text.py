@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from tests import model
 from topicgauge.functions import text as X
+from workload import corpora
 
 
 def _texts(n=400):
@@ -51,3 +52,15 @@ def test_long_texts_are_not_walked_to_be_stripped(spark):
     assert [(r.s, r.b) for r in rows] == [("x y", False), ("x", False), ("", True), ("", True), (None, None)]
     plan = df.select(X.is_blank(F.col("t")).alias("b"))._jdf.queryExecution().optimizedPlan().toString()
     assert "ltrim(" in plan.lower() and "rtrim(" not in plan.lower() and " trim(" not in plan.lower()
+
+
+def test_rewritten_texts(spark):
+    """Texts are spared a pattern only where it cannot match."""
+    lines = ["To go", "Of it", "In a", "And b", "With c", "Is d", "Or e", "It f", "A g", "That h", "By i", "Ab. c", "Ob. c", "Éa. b", "to x", " To y"]
+    texts = [None, "", *lines, *(f"x\n{line}\n" for line in lines), "\n".join(lines), *(f"{a}\n{b}" for a in lines for b in lines), "x\rTo y"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    plain = F.col("text")
+    for pattern, replacement in corpora.MARKDOWN_REWRITES:
+        plain = F.regexp_replace(plain, "(?dm)" + pattern, replacement)
+    rows = corpora._rewritten(docs.withColumn("want", plain), corpora.MARKDOWN_REWRITES).collect()
+    assert all(r.text == r.want for r in rows) and sum(r.text != texts[r.doc_id] for r in rows) > 200

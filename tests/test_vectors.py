@@ -1,3 +1,4 @@
+import hashlib
 import math
 import random
 import re
@@ -8,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from topicgauge.functions import vectors as V
-from topicgauge.operators import embedding, similarity
+from topicgauge.operators import diagnostics, embedding, similarity
 from topicgauge.operators.embedding import HashedTerms, ModelVectors, PrecomputedVectors
 from topicgauge.sources.readers import make_queries
 
@@ -187,3 +188,21 @@ def test_no_word_is_hashed_or_sorted_in_expressions(spark):
     """Interpreted lambdas over every word took most of the scoring's time."""
     plan = HashedTerms(16).embed(spark.createDataFrame([("a b",)], "text string"), "text")._jdf.queryExecution().optimizedPlan().toString()
     assert "md5" not in plan and "array_sort" not in plan and "ArrowEvalPython" in plan
+
+
+def test_words_and_lengths_are_found_beside_the_terms(spark):
+    characters = [chr(c) for c in (*range(1, 0x250), *range(0x1670, 0x1690), *range(0x2000, 0x2070), 0x212A, 0x3000, 0x1F600)]
+    texts = [f"a{c}B {c} x{c}{c}Y1 {c}" for c in characters] + ["İS KG k i s", "A a\nb\x1cC", "x"]
+    facts = diagnostics.with_text_facts(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    found = embedding.embed_facts(facts, HashedTerms(8))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "RegExpCount" not in plan and "regexp_count" not in plan  # no pattern counts the words once more
+    want = facts.select("doc_id", "word_count", F.lower("text").alias("low")).collect()
+    got = {r.doc_id: r for r in found.select("doc_id", "word_count", "vector", "norm").collect()}
+    bucket = lambda w: int.from_bytes(hashlib.md5(w.encode()).digest()[:4], "big") % 8
+    for r in want:
+        counts = [0.0] * 8
+        for term in re.findall("[a-z0-9]+", r.low):
+            counts[bucket(term)] += 1
+        assert (got[r.doc_id].word_count, got[r.doc_id].vector) == (r.word_count, counts)
+        assert got[r.doc_id].norm == math.sqrt(sum(x * x for x in counts))

@@ -76,7 +76,8 @@ def signals_of(text: str) -> tuple:
     intro = top.split(" ", S.INTRO_WORDS)
     opening, head = low[: S.TLDR_CHARS], low[: S.FRESHNESS_CHARS]
     lines = body.count("\n") + (body != "" and not body.endswith("\n"))
-    numbered = len(_NUMBERED.findall(body)) if _any(body, *"0123456789") else 0
+    digits = _any(body, *"0123456789")
+    numbered = len(_NUMBERED.findall(body)) if digits else 0
     return (
         len(text.split()),
         (len(_H2.findall(body)) if marks else 0) + (len(_TAG2.findall(low)) if "<h2" in low else 0),
@@ -86,7 +87,7 @@ def signals_of(text: str) -> tuple:
         _any(low_body, "faq", "quently asked questions") and _found(_FAQ, low_body),
         _any(opening, "tl", "summary") and _found(_TLDR, opening),
         _any(low_body, *_HEADINGS) and _found(_SOURCES, low_body),
-        _found(_STEP, low_body),
+        digits and _found(_STEP, low_body),
         _any(low_body, "for example", "e.g.", "example:") and _found(_EXAMPLE, low_body),
         _any(low_body, "vs", "versus", "compar", "alternative") and _found(_COMPARISON, low_body),
         _any(head, "updated", "as of", "new in", "201", "202") and _found(_FRESHNESS, head),
